@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A document is the set of hashed 3-, 4- and 5-grams of its lower-cased
+A document is the set of hashed 3- to 6-grams of its lower-cased
 characters. Each feature counts as its log-count ratio ``r`` between toxic and
 clean training documents, vectors are scaled to a fixed length, and a logistic
 regression weighs them. The learned vector (``w * r``, one float a bucket) has
@@ -24,18 +24,18 @@ from pyspark.sql import functions as F
 
 from fluxlane.llm.common import bounded_sample, crc_bucket, in_batches
 
-HASH_BITS = 18
-ORDERS = (3, 4, 5)
+HASH_BITS = 20
+ORDERS = (3, 4, 5, 6)
 #: Documents that the regression is fitted on, about, at most.
-TRAIN_BOUND = 3000
+TRAIN_BOUND = 4000
 #: A feature must be in so many training documents, with such a log-count ratio.
-LEAST_DOCS, LEAST_RATIO = 5, 0.5
+LEAST_DOCS, LEAST_RATIO = 5, 1.0
 LENGTH = 10.0
 PENALTY = 0.01
 STEPS = 100
 #: Characters hashed at once: bounds the memory that a very long text takes.
 BLOCK = 1 << 20
-_MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
+_MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D], np.uint32)
 
 
 def ngram_buckets(text: str | None) -> np.ndarray:
@@ -76,19 +76,20 @@ def fit(documents: DataFrame, labels: DataFrame, bound: int = TRAIN_BOUND, seed:
     rows.sort(key=lambda x: (x["label"], bytes(x["buckets"])))
     y = np.array([x["label"] for x in rows], float)
     sets = [np.frombuffer(x["buckets"], np.int32) for x in rows]
-    row, col = np.repeat(np.arange(len(y)), [len(s) for s in sets]), np.concatenate(sets)
-    return fit_ratios(row, col, y)
-
-
-def fit_ratios(row: np.ndarray, col: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Log-count ratios and the regression, from (document, bucket) pairs and labels."""
-    size = 1 << HASH_BITS
-    bad, good = np.bincount(col, y[row], size), np.bincount(col, 1 - y[row], size)
-    ratio = np.log((bad + 1) / (y.sum() + 2)) - np.log((good + 1) / ((1 - y).sum() + 2))
-    ratio[(bad + good < LEAST_DOCS) | (np.abs(ratio) < LEAST_RATIO)] = 0
-    keep = ratio[col] != 0
-    used, col = np.unique(col[keep], return_inverse=True)
-    row, r = row[keep], ratio[used]
+    return fit_ratios(sets, y)
+
+
+def fit_ratios(sets: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Log-count ratios and the regression, from the buckets and labels of documents."""
+    counts = np.zeros((2, 1 << HASH_BITS))
+    for buckets, label in zip(sets, y, strict=True):
+        counts[int(label), buckets] += 1
+    ratio = np.log((counts[1] + 1) / (y.sum() + 2)) - np.log((counts[0] + 1) / ((1 - y).sum() + 2))
+    ratio[(counts.sum(0) < LEAST_DOCS) | (np.abs(ratio) < LEAST_RATIO)] = 0
+    sets = [b[ratio[b] != 0] for b in sets]
+    row, col = np.repeat(np.arange(len(y), dtype=np.int32), [len(b) for b in sets]), np.concatenate(sets)
+    used, col = np.unique(col, return_inverse=True)
+    r = ratio[used]
     value = r[col] * (LENGTH / np.sqrt(np.maximum(np.bincount(row, r[col] ** 2, len(y)), 1e-12)))[row]
     w, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, STEPS + 1):
@@ -97,7 +98,7 @@ def fit_ratios(row: np.ndarray, col: np.ndarray, y: np.ndarray) -> tuple[np.ndar
         grad = np.append(np.bincount(col, value * miss[row], len(used)) + PENALTY * w[:-1], miss.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    weights = np.zeros(size)
+    weights = np.zeros(1 << HASH_BITS)
     weights[used] = w[:-1] * r
     return weights, ratio, float(w[-1])
 
