@@ -1,4 +1,9 @@
-"""Queries over the test tables, and the SQL they must agree with."""
+"""Queries over the test tables, and the SQL they must agree with.
+
+The tables have no magnetics, so operators run on stand-ins: ``events.value`` is
+a sensor along ``user_id`` (the line), ``embeddings`` a vector sensor with
+features, and ``orders`` averaged by month and customer makes a grid.
+"""
 
 from __future__ import annotations
 
@@ -6,5 +11,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+from fluxlane.plans import fields, navigation, sequences, vectors  # noqa: E402, F401
