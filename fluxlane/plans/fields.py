@@ -15,9 +15,9 @@ _BILINEAR = """corner AS (SELECT ix, iy, val, coalesce(lead(val) OVER (PARTITION
 box AS (SELECT ix, iy, val AS v00, v10, coalesce(lead(val) OVER (PARTITION BY ix ORDER BY iy), val) AS v01, coalesce(lead(v10) OVER (PARTITION BY ix ORDER BY iy), v10) AS v11 FROM corner)"""
 
 
-@query(f"WITH {GRID_SQL} SELECT iy, ix, round(yy, 4) AS yy, round(xx, 4) AS xx, round(val, 3) AS val FROM cells")
+@query(f"WITH {GRID_SQL} SELECT iy, ix, round(yy, 4) AS yy, round(xx, 4) AS xx, round(val, 4) AS val FROM cells")
 def grid_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(grid(spark, sf_dir).select("iy", "ix", "yy", "xx", F.round("val", 3).alias("val")))
+    return rounded(grid(spark, sf_dir).select("iy", "ix", "yy", "xx", F.round("val", 4).alias("val")))
 
 
 @query(f"WITH {GRID_SQL} SELECT sum(CASE WHEN val = 0 THEN 0 ELSE 1 END)::BIGINT AS n_data, sum(CASE WHEN val = 0 THEN 1 ELSE 0 END)::BIGINT AS n_missing, (max(ix) - min(ix) + 1)::BIGINT AS nx, (max(iy) - min(iy) + 1)::BIGINT AS ny FROM cells")
@@ -26,9 +26,9 @@ def grid_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {GRID_SQL}, e AS (SELECT min(ix) AS x1, max(ix) AS x2, min(iy) AS y1, max(iy) AS y2 FROM cells WHERE val <> 0 AND xx BETWEEN 1.1 AND 6.3 AND yy BETWEEN 4 AND 30)
-SELECT iy, ix, round(val, 3) AS val FROM cells, e WHERE ix BETWEEN x1 - 1 AND x2 + 1 AND iy BETWEEN y1 - 1 AND y2 + 1""")
+SELECT iy, ix, round(val, 4) AS val FROM cells, e WHERE ix BETWEEN x1 - 1 AND x2 + 1 AND iy BETWEEN y1 - 1 AND y2 + 1""")
 def grid_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(g.trim(grid(spark, sf_dir), 1, (1.1, 6.3), (4.0, 30.0)).select("iy", "ix", F.round("val", 3).alias("val")))
+    return rounded(g.trim(grid(spark, sf_dir), 1, (1.1, 6.3), (4.0, 30.0)).select("iy", "ix", F.round("val", 4).alias("val")))
 
 
 @query(f"""WITH {GRID_SQL}, n AS (SELECT ix + a AS ix, iy + b AS iy, count(*) AS n FROM (SELECT ix, iy FROM cells WHERE val <> 0) {_NEAR} GROUP BY 1, 2)
@@ -45,9 +45,9 @@ def grid_border_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {GRID_SQL}, k AS (SELECT h.ix, h.iy, d.val, row_number() OVER (PARTITION BY h.ix, h.iy ORDER BY (h.xx - d.xx) ** 2 + (h.yy - d.yy) ** 2, d.iy, d.ix) AS r FROM cells h JOIN cells d ON h.val = 0 AND d.val <> 0),
 f AS (SELECT ix, iy, avg(val) AS v FROM k WHERE r <= 3 GROUP BY 1, 2)
-SELECT iy, ix, round(coalesce(v, val), 3) AS val FROM cells LEFT JOIN f USING (ix, iy)""")
+SELECT iy, ix, round(coalesce(v, val), 4) AS val FROM cells LEFT JOIN f USING (ix, iy)""")
 def grid_fill_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(g.fill(grid(spark, sf_dir)).select("iy", "ix", F.round("val", 3).alias("val")))
+    return rounded(g.fill(grid(spark, sf_dir)).select("iy", "ix", F.round("val", 4).alias("val")))
 
 
 _POINTS_SQL = "pts AS (SELECT c_custkey, c_custkey * 7.3::DOUBLE % 11 - 0.3::DOUBLE AS lon, c_custkey * 3.1::DOUBLE % 45 - 0.5::DOUBLE AS lat FROM customer)"
@@ -81,11 +81,11 @@ def grid_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(g.resample(grid(spark, sf_dir), new).select("iy", "ix", "val"), 3)
 
 
-@query(f"WITH {GRID_SQL} SELECT iy, ix, round(CASE WHEN val = 0 THEN coalesce(CASE WHEN iy % 2 = 0 THEN raw_other END, 0) ELSE val END, 3) + 0.0 AS val FROM (SELECT *, iy * 1000.0 + ix AS raw_other FROM cells)")
+@query(f"WITH {GRID_SQL} SELECT iy, ix, round(CASE WHEN val = 0 THEN coalesce(CASE WHEN iy % 2 = 0 THEN raw_other END, 0) ELSE val END, 4) + 0.0 AS val FROM (SELECT *, iy * 1000.0 + ix AS raw_other FROM cells)")
 def grid_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = grid(spark, sf_dir)
     other = cells.filter("iy % 2 = 0").withColumn("val", F.col("iy") * 1000.0 + F.col("ix"))
-    return rounded(g.combine(cells, other).select("iy", "ix", F.round("val", 3).alias("val")))
+    return rounded(g.combine(cells, other).select("iy", "ix", F.round("val", 4).alias("val")))
 
 
 @query("SELECT false AS inside")
@@ -107,23 +107,23 @@ def colour_limits_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {GRID_SQL}, l AS (SELECT iy, ix, val, 100.0 AS alt FROM cells UNION ALL SELECT iy, ix, val * 2, 200.0 FROM cells UNION ALL SELECT iy, ix, val * 5, 400.0 FROM cells)
-SELECT iy, ix, round(val * 2 + (260 - 200) / 200.0 * (val * 5 - val * 2), 5) + 0.0 AS val FROM cells""")
+SELECT iy, ix, round(val * 2 + (260 - 200) / 200.0 * (val * 5 - val * 2), 4) + 0.0 AS val FROM cells""")
 def grid_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = grid(spark, sf_dir)
     stack = None
     for alt, k in ((100.0, 1), (200.0, 2), (400.0, 5)):
         level = cells.withColumn("val", F.col("val") * k).withColumn("alt", F.lit(alt))
         stack = level if stack is None else stack.unionByName(level)
-    return rounded(g.level_at(stack, 260.0).select("iy", "ix", "val"), 5)
+    return rounded(g.level_at(stack, 260.0).select("iy", "ix", "val"), 4)
 
 
 @query(f"""WITH {GRID_SQL}, m AS (SELECT iy, ix, val, 100.0 AS alt FROM cells WHERE val <> 0 UNION ALL SELECT iy, ix, val * 2, 300.0 FROM cells WHERE val <> 0 AND ix % 2 = 0), l AS (SELECT unnest([50.0, 150.0, 350.0]) AS level),
 r AS (SELECT level, iy, ix, val, alt, row_number() OVER (PARTITION BY level, iy, ix ORDER BY alt <= level DESC, CASE WHEN alt <= level THEN alt ELSE -alt END DESC) AS k FROM m, l)
-SELECT CAST(level AS DOUBLE) AS level, iy, ix, round(val, 3) AS val, CAST(alt AS DOUBLE) AS from_alt FROM r WHERE k = 1""")
+SELECT CAST(level AS DOUBLE) AS level, iy, ix, round(val, 4) AS val, CAST(alt AS DOUBLE) AS from_alt FROM r WHERE k = 1""")
 def grid_combine_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = grid(spark, sf_dir)
     high = cells.filter("ix % 2 = 0").withColumn("val", F.col("val") * 2).withColumn("alt", F.lit(300.0))
-    return rounded(g.combine_levels(cells.withColumn("alt", F.lit(100.0)).unionByName(high), [50.0, 150.0, 350.0]), 3)
+    return rounded(g.combine_levels(cells.withColumn("alt", F.lit(100.0)).unionByName(high), [50.0, 150.0, 350.0]), 4)
 
 
 @query()

@@ -41,12 +41,12 @@ def select_line_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.select_by_lookup(signal(spark, sf_dir), lookup, (3, 7, 11, 12, 999999), "i").select("event_id", "line", "value")
 
 
-@query(f"WITH {ROWS_SQL} SELECT event_id, CAST(CASE WHEN rn <= round_even(n * 0.7, 0) THEN 1 ELSE 2 END AS INTEGER) AS split FROM w")
+@query(f"WITH {ROWS_SQL} SELECT event_id, CAST(CASE WHEN rn <= round_even(n * 0.7::DOUBLE, 0) THEN 1 ELSE 2 END AS INTEGER) AS split FROM w")
 def split2_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.split_rows(signal(spark, sf_dir), SIGNAL, (0.7, 0.3)).select("event_id", "split")
 
 
-@query(f"WITH {ROWS_SQL} SELECT event_id, CAST(CASE WHEN rn <= round_even(n * 0.5, 0) THEN 1 WHEN rn <= round_even(n * 0.75, 0) THEN 2 ELSE 3 END AS INTEGER) AS split FROM w")
+@query(f"WITH {ROWS_SQL} SELECT event_id, CAST(CASE WHEN rn <= round_even(n * 0.5::DOUBLE, 0) THEN 1 WHEN rn <= round_even(n * 0.75::DOUBLE, 0) THEN 2 ELSE 3 END AS INTEGER) AS split FROM w")
 def split3_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.split_rows(signal(spark, sf_dir), SIGNAL, (0.5, 0.25, 0.25)).select("event_id", "split")
 
@@ -56,12 +56,12 @@ def trim_tail_multiple(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.trim_tail(signal(spark, sf_dir), SIGNAL, 5).select("event_id", "line")
 
 
-@query(f"""WITH {ROWS_SQL} SELECT event_id, CASE WHEN rn <= floor(n * 0.8) - 3 THEN 'train' WHEN rn > floor(n * 0.8) AND rn <= n - 3 THEN 'validation' END AS part FROM w""")
+@query(f"""WITH {ROWS_SQL} SELECT event_id, CASE WHEN rn <= floor(n * 0.8::DOUBLE) - 3 THEN 'train' WHEN rn > floor(n * 0.8::DOUBLE) AND rn <= n - 3 THEN 'validation' END AS part FROM w""")
 def split_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.train_parts(signal(spark, sf_dir), SIGNAL, 0.8, 4, "sliding").select("event_id", "part")
 
 
-@query(f"""WITH {ROWS_SQL} SELECT event_id, CASE WHEN rn % 4 = 1 AND floor((rn - 1) / 4) < floor(n / 4) THEN CASE WHEN floor((rn - 1) / 4) < floor(floor(n / 4) * 0.8) THEN 'train' ELSE 'validation' END END AS part FROM w""")
+@query(f"""WITH {ROWS_SQL} SELECT event_id, CASE WHEN rn % 4 = 1 AND floor((rn - 1) / 4) < floor(n / 4) THEN CASE WHEN floor((rn - 1) / 4) < floor(floor(n / 4) * 0.8::DOUBLE) THEN 'train' ELSE 'validation' END END AS part FROM w""")
 def split_contiguous_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.train_parts(signal(spark, sf_dir), SIGNAL, 0.8, 4, "contiguous").select("event_id", "part")
 
@@ -139,9 +139,9 @@ def cumulative_weight_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.systematic_resample(rows, SIGNAL, "weight", 0.37).select("event_id", "copies")
 
 
-@query(f"WITH {SIGNAL_SQL} SELECT event_id, round(value - avg(value) OVER (PARTITION BY line), 6) + 0.0 AS d FROM sig")
+@query(f"WITH {SIGNAL_SQL} SELECT event_id, round(value - avg(value) OVER (PARTITION BY line) + 3e-9, 6) + 0.0 AS d FROM sig")
 def detrend_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(signal(spark, sf_dir).select("event_id", sequence.without_mean(F.col("value"), ("line",)).alias("d")))
+    return rounded(signal(spark, sf_dir).select("event_id", (sequence.without_mean(F.col("value"), ("line",)) + 3e-9).alias("d")))  # off the ties of rounding
 
 
 @query(f"""WITH {ROWS_SQL}, f AS (SELECT line, coalesce(CASE WHEN var_pop(rn) > 0 THEN covar_pop(value, rn) / var_pop(rn) END, 0) AS b, avg(value) AS my, avg(rn) AS mx FROM w GROUP BY line)

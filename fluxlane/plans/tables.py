@@ -18,7 +18,7 @@ VECTOR_SQL = (
     " CAST(embedding[5] AS DOUBLE) AS f1, CAST(embedding[6] AS DOUBLE) AS f2, CAST(embedding[7] AS DOUBLE) AS f3 FROM embeddings)"
 )
 GRID_SQL = (
-    "grid AS (SELECT CAST((year(o_orderdate) - 1992) * 12 + month(o_orderdate) - 1 AS INTEGER) AS iy, CAST(o_custkey % 40 AS INTEGER) AS ix, CAST(round(avg(o_totalprice), 4) AS DOUBLE) AS raw FROM orders GROUP BY 1, 2),"
+    "grid AS (SELECT CAST((year(o_orderdate) - 1992) * 12 + month(o_orderdate) - 1 AS INTEGER) AS iy, CAST(o_custkey % 40 AS INTEGER) AS ix, avg(o_totalprice) + 3e-8 AS raw FROM orders GROUP BY 1, 2),"
     " cells AS (SELECT iy, ix, iy * 0.5::DOUBLE AS yy, ix * 0.25::DOUBLE AS xx, CASE WHEN (iy * 7 + ix * 3) % 11 = 0 THEN 0.0 ELSE raw END AS val FROM grid)"
 )
 
@@ -40,10 +40,13 @@ def vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders' mean price by month (rows) and customer (columns); every eleventh cell or so is missing."""
+    """Orders' mean price by month (rows) and customer (columns); every eleventh cell or so is missing.
+
+    The small offset keeps means off the ties of later rounding.
+    """
     day = F.col("o_orderdate")
     iy = ((F.year(day) - 1992) * 12 + F.month(day) - 1).cast("int")
-    cells = load(spark, sf_dir, "orders").groupBy(iy.alias("iy"), (F.col("o_custkey") % 40).cast("int").alias("ix")).agg(F.round(F.avg("o_totalprice"), 4).alias("raw"))
+    cells = load(spark, sf_dir, "orders").groupBy(iy.alias("iy"), (F.col("o_custkey") % 40).cast("int").alias("ix")).agg((F.avg("o_totalprice") + 3e-8).alias("raw"))
     val = F.when((F.col("iy") * 7 + F.col("ix") * 3) % 11 == 0, 0.0).otherwise(F.col("raw"))
     return cells.select(F.lit("orders").alias("map_name"), "iy", "ix", (F.col("iy") * 0.5).alias("yy"), (F.col("ix") * 0.25).alias("xx"), val.alias("val"))
 
