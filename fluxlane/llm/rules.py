@@ -84,7 +84,9 @@ def line_passes(line: Column) -> Column:
     """Whether a line passes the punctuation, navigation and boilerplate rules."""
     symbols = F.octet_length(line) - F.octet_length(_drop(line, SYMBOLS))
     lettered = line.rlike("\\p{L}")
-    ended = line.rlike("[.!?…。？！:;,\"'”)]") | ~line.rlike("[^\\x20\\x09-\\x0D]+([\\x20\\x09-\\x0D]+[^\\x20\\x09-\\x0D]+){7}")
+    # a split with a limit looks at eight words and no more; a pattern would try every start of a long run
+    few = F.size(F.split(F.trim(line, F.lit(SPACE)), "[\\x20\\x09-\\x0D]+", 9)) < 8
+    ended = line.rlike("[.!?…。？！:;,\"'”)]") | few
     return lettered & (symbols <= F.length(line) * SYMBOL_SHARE) & ended & ~((F.length(line) <= 200) & line.rlike(NAVIGATION)) & ~((F.length(line) <= 400) & line.rlike(BOILERPLATE))
 
 
@@ -127,7 +129,7 @@ WITH base AS (
          CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
          list_filter(lines, lambda x: regexp_matches(x, '\\p{{L}}')
            AND length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) <= length(x) * {SYMBOL_SHARE}
-           AND (regexp_matches(x, '[.!?…。？！:;,"''”)]') OR NOT regexp_matches(x, '[^\\x20\\x09-\\x0D]+([\\x20\\x09-\\x0D]+[^\\x20\\x09-\\x0D]+){{7}}'))
+           AND (regexp_matches(x, '[.!?…。？！:;,"''”)]') OR len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) < 8)
            AND NOT (length(x) <= 200 AND regexp_matches(x, '{NAVIGATION}'))
            AND NOT (length(x) <= 400 AND regexp_matches(x, '{BOILERPLATE}'))) AS passed
   FROM split s LEFT JOIN covered c ON s.rn = c.rn
