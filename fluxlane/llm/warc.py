@@ -59,7 +59,8 @@ def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
     response). headers and digest are those of the resolved answer, else null.
     """
     known = records.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "ts", "kind", "etag", "last_modified", "digest", "headers")
-    edges = sorted(set(known.filter("ts is not null").approxQuantile("ts", [i / slices for i in range(1, slices)], 0.5 / slices)))
+    at = [i / slices for i in range(1, slices)]
+    edges = sorted(set(known.filter("ts is not null").approxQuantile("ts", at, 0.5 / slices))) if at else []
     cut = F.size(F.filter(F.array(*[F.lit(int(e)) for e in edges]).cast("array<bigint>"), lambda e: e <= F.col("ts"))) if edges else F.lit(0)
     known = known.withColumn("slice", cut)
     answer = F.struct(F.col("ts").alias("at"), F.col("record_id").alias("id"), "etag", "last_modified", "digest", "headers")
