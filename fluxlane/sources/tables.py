@@ -55,7 +55,7 @@ def read_map_csv(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A map of files map.csv, xx.csv, yy.csv and alt.csv (degrees, metres) as a long grid in radians."""
     axis = lambda f: [float(r[0]) for r in spark.read.csv(f"{folder}/{f}.csv").collect()]  # noqa: E731  one map's axes
     xx, yy, alt = axis("xx"), axis("yy"), axis("alt")
-    rows = spark.read.text(f"{folder}/map.csv", wholetext=True).select(F.posexplode(F.split(F.trim("value"), "\r?\n")).alias("iy", "row"))
+    rows = spark.read.text(f"{folder}/map.csv", wholetext=True).select(F.posexplode(F.split(F.rtrim("value", F.lit("\r\n ")), "\r?\n")).alias("iy", "row"))
     cells = rows.select("iy", F.posexplode(F.split("row", ",")).alias("ix", "val"))
     at = lambda values, i: F.radians(F.element_at(F.array(*[F.lit(v) for v in values]), F.col(i) + 1))
     return cells.select(F.lit(name).alias("map_name"), "iy", "ix", at(yy, "iy").alias("yy"), at(xx, "ix").alias("xx"), F.lit(alt[0]).alias("alt"), F.expr("coalesce(nanvl(try_cast(trim(val) as double), 0D), 0D)").alias("val"))
