@@ -14,6 +14,7 @@ are read. Rows with a null id are scored like others.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,7 +74,7 @@ def fit(documents: DataFrame, labels: DataFrame, bound: int = TRAIN_BOUND, seed:
     size = 1 << HASH_BITS
     if not rows:
         return np.zeros(size), np.zeros(size), -np.inf
-    rows.sort(key=lambda x: (x["label"], bytes(x["buckets"])))
+    rows.sort(key=lambda x: (x["label"], hashlib.md5(x["buckets"]).digest()))  # any order will do that all runs share
     y = np.array([x["label"] for x in rows], float)
     sets = [np.frombuffer(x["buckets"], np.int32) for x in rows]
     return fit_ratios(sets, y)
