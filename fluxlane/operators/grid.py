@@ -156,10 +156,13 @@ def lookup(points: DataFrame, grid: DataFrame, a: Axes, x: str = "lon", y: str =
     """Bilinear value at each point, null outside the grid: one equi-join of the points' cells with the grid's.
 
     Each grid cell is packed with its right, upper and diagonal neighbours by
-    two windows, so that a point needs one row.
+    two windows, so that a point needs one row. Beyond an edge, and where a
+    neighbour has no row at all, the value of the nearest corner stands in.
     """
     across, up = Window.partitionBy("iy").orderBy("ix"), Window.partitionBy("ix").orderBy("iy")
-    cells = grid.select("ix", "iy", F.col("val").alias("_v00"), F.lead("val").over(across).alias("_v10")).select("*", F.lead("_v00").over(up).alias("_v01"), F.lead("_v10").over(up).alias("_v11"))
+    beside = lambda c, number, w: F.when(F.lead(number).over(w) == F.col(number) + 1, F.lead(c).over(w))
+    cells = grid.select("ix", "iy", F.col("val").alias("_v00"), beside("val", "ix", across).alias("_v10"))
+    cells = cells.select("*", beside("_v00", "iy", up).alias("_v01"), beside("_v10", "iy", up).alias("_v11"))
     fx, fy = (F.col(x) - a.x0) / (a.dx or 1.0), (F.col(y) - a.y0) / (a.dy or 1.0)
     x2, y2 = a.ix0 + a.nx - 1, a.iy0 + a.ny - 1
     inside = (fx >= a.ix0) & (fx <= x2) & (fy >= a.iy0) & (fy <= y2)

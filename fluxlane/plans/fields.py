@@ -11,8 +11,9 @@ from fluxlane.plans.catalog import query
 from fluxlane.plans.tables import GRID_SQL, grid, load, rounded
 
 _NEAR = "JOIN (SELECT unnest([-1, 0, 1]) AS a) p ON true JOIN (SELECT unnest([-1, 0, 1]) AS b) q ON NOT (a = 0 AND b = 0)"
-_BILINEAR = """corner AS (SELECT ix, iy, val, coalesce(lead(val) OVER (PARTITION BY iy ORDER BY ix), val) AS v10 FROM cells),
-box AS (SELECT ix, iy, val AS v00, v10, coalesce(lead(val) OVER (PARTITION BY ix ORDER BY iy), val) AS v01, coalesce(lead(v10) OVER (PARTITION BY ix ORDER BY iy), v10) AS v11 FROM corner)"""
+_BILINEAR = """corner AS (SELECT ix, iy, val, CASE WHEN lead(ix) OVER a = ix + 1 THEN lead(val) OVER a END AS r10 FROM cells WINDOW a AS (PARTITION BY iy ORDER BY ix)),
+raw AS (SELECT ix, iy, val, r10, CASE WHEN lead(iy) OVER u = iy + 1 THEN lead(val) OVER u END AS r01, CASE WHEN lead(iy) OVER u = iy + 1 THEN lead(r10) OVER u END AS r11 FROM corner WINDOW u AS (PARTITION BY ix ORDER BY iy)),
+box AS (SELECT ix, iy, val AS v00, coalesce(r10, val) AS v10, coalesce(r01, val) AS v01, coalesce(r11, r10, r01, val) AS v11 FROM raw)"""
 
 
 @query(f"WITH {GRID_SQL} SELECT iy, ix, round(yy, 4) AS yy, round(xx, 4) AS xx, round(val, 4) AS val FROM cells")
@@ -71,13 +72,13 @@ def grid_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(g.lookup(_points(spark, sf_dir), cells, g.axes(cells)).select("c_custkey", "map_val"), 3)
 
 
-@query(f"""WITH {GRID_SQL}, pts AS (SELECT a.i * 30 + b.j AS c_custkey, 0.6::DOUBLE + b.j * 0.31::DOUBLE AS lon, 3 + a.i * 1.05::DOUBLE AS lat FROM range(20) a(i), range(30) b(j)), {_BILINEAR}, {_LOOKUP_SQL}
+@query(f"""WITH {GRID_SQL}, pts AS (SELECT a.i * 30 + b.j AS c_custkey, 0.607::DOUBLE + b.j * 0.31::DOUBLE AS lon, 3.013::DOUBLE + a.i * 1.05::DOUBLE AS lat FROM range(20) a(i), range(30) b(j)), {_BILINEAR}, {_LOOKUP_SQL}
 SELECT CAST(c_custkey // 30 AS INTEGER) AS iy, CAST(c_custkey % 30 AS INTEGER) AS ix,
  round(coalesce(CASE WHEN (v00 <> 0 OR (1 - fx + jx) * (1 - fy + jy) < 1e-9) AND (v10 <> 0 OR (fx - jx) * (1 - fy + jy) < 1e-9) AND (v01 <> 0 OR (1 - fx + jx) * (fy - jy) < 1e-9) AND (v11 <> 0 OR (fx - jx) * (fy - jy) < 1e-9)
  THEN (1 - (fx - jx)) * (1 - (fy - jy)) * v00 + (fx - jx) * (1 - (fy - jy)) * v10 + (1 - (fx - jx)) * (fy - jy) * v01 + (fx - jx) * (fy - jy) * v11 END, 0), 3) + 0.0 AS val
 FROM hit LEFT JOIN box ON box.ix = jx AND box.iy = jy""")
 def grid_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = g.Axes(0.6, 3.0, 0.31, 1.05, 30, 20)
+    new = g.Axes(0.607, 3.013, 0.31, 1.05, 30, 20)
     return rounded(g.resample(grid(spark, sf_dir), new).select("iy", "ix", "val"), 3)
 
 
