@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxlane.llm.common import SPACE
+from fluxlane.llm.common import SPACE, checkpoint
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
@@ -100,7 +100,8 @@ def shuffled(sized: DataFrame, seed: int) -> DataFrame:
 
 def mix(documents: DataFrame, seed: int = 17, resolution: int = RESOLUTION) -> DataFrame:
     """doc_id, source, size, source_size, target and taken for every row of ``documents``."""
-    sized = documents.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    # texts are read once: later steps need three small columns, which outlive lost executors in the shared folder
+    sized = checkpoint(documents.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")))
     found = [(x["source"], x["n"]) for x in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()]  # a row a source
     found.sort(key=lambda x: (x[0] is None, (x[0] or "").encode("utf-32-be", "replace")))
     total = sum(n for _, n in found)
