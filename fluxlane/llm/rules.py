@@ -3,7 +3,10 @@
 Each line with a word is judged by three rules: punctuation (it has a letter,
 few of its characters are marks of ``[#*$%&|<>]``, and a line of some words ends
 in a sentence mark or has one within), navigation (it isn't a short row of menu
-entries) and boilerplate (it has no notice or prompt of web pages). Lines that
+entries) and boilerplate (it has no notice or prompt of web pages). The navigation
+rule knows rows that begin with a separator or a usual menu word and looks at
+lines of 200 characters or fewer, the boilerplate rule at lines of 400 or fewer:
+longer lines pass them. The query's SQL states the same. Lines that
 fail a rule are taken out; a document that loses more than ``MOST_LOST`` of the
 characters of its words is rejected, as is one that fails the base rules.
 
