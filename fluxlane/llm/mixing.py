@@ -9,7 +9,11 @@ may lie in several. ``taken`` sums, over a document's blocks, the words there
 times the number of slots that take the block, three at most.
 
 The schedule has ``RESOLUTION`` slots or somewhat more, at every size of the
-corpus: what a slot holds grows instead. Prefix sums and ranks are made in two
+corpus: what a slot holds grows instead. A source's blocks are so narrow that
+its target fills ``SLOTS_A_SOURCE`` slots, or has a slot a word; its share of
+the slots is weighted by that width. Each source gets ``SPARE`` slots more than
+it needs, and its last slot is cut where the target, as a whole number, is
+reached. Prefix sums and ranks are made in two
 steps (within buckets, then over sums of buckets), so no source meets in one
 task. Null text has size 0; null sources form the last source; rows are told
 apart by a number of their own, so repeated ids count for each row. An empty
@@ -27,6 +31,8 @@ WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
 #: Slots of the schedule, at least; some for each source at any rate.
 RESOLUTION, SLOTS_A_SOURCE = 1 << 20, 1 << 10
+#: More than the schedule's discrepancy, in slots.
+SPARE = 32
 #: Buckets of the prefix sums: of a source's documents by shuffle key, and of slots by number.
 BUCKETS, SLOT_BUCKET = 1 << 10, 1 << 12
 #: frac((sqrt(5) - 1) / 2) in units of 2**-62: whole numbers keep points exact.
@@ -109,22 +115,29 @@ def mix(documents: DataFrame, seed: int = 17, resolution: int = RESOLUTION) -> D
     number = {s: i for i, (s, _) in enumerate(found)}
     if not found:
         return sized.select("doc_id", "source", "size", F.col("size").alias("source_size"), F.col("size").cast("double").alias("target"), F.col("size").alias("taken"))
-    table = documents.sparkSession.createDataFrame([(s, number[s], n, goal[s]) for s, n in found], "source string, src int, source_size long, target double")
-    known = sized.join(F.broadcast(table.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")  # a row a source
+    # words of a block: at most 1 / slots of all words, and fine enough for the source's own size and target
+    most = max(1, total // max(resolution, SLOTS_A_SOURCE * len(found)))
+    width = {s: max(1, min(most, n // SLOTS_A_SOURCE, int(goal[s]) // SLOTS_A_SOURCE)) for s, n in found}
+    rows = [(s, number[s], n, goal[s], width[s], round(goal[s])) for s, n in found]
+    table = documents.sparkSession.createDataFrame(rows, "source string, src int, source_size long, target double, width long, whole long")
+    known = sized.join(F.broadcast(table.drop("whole").withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")  # a row a source
     if not total:
         return known.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    # a block holds 1 / slots of all words: fine enough for the smallest source
-    width = max(1, total // max(resolution, SLOTS_A_SOURCE * len(found)))
-    slots = -(-total // width)
-    plan = schedule(documents, [(s, goal[s] / total, -(-n // width)) for s, n in found], slots)
-    uses = plan.filter(F.col("pass") < MOST_PASSES).groupBy("src", "block").agg(F.count("*").alias("uses"))
+    need = {s: -(-round(goal[s]) // width[s]) + SPARE if n else 0 for s, n in found}
+    slots = sum(need.values())
+    plan = schedule(documents, [(s, need[s] / slots, -(-n // width[s])) for s, n in found], slots).filter(F.col("pass") < MOST_PASSES)
+    # how far a slot's pass may go into the source, and where its block begins and ends there
+    timed = plan.join(F.broadcast(table.drop("source")), "src").withColumns({"left": F.expr("whole - pass * source_size"), "low": F.expr("block * width"), "high": F.expr("least((block + 1) * width, source_size)")})  # a row a source
+    cut = F.max(F.expr("case when low < left and left < high then left end")).alias("cut")
+    uses = timed.filter("low < left").groupBy("src", "block").agg(F.count_if(F.expr("high <= left")).alias("uses"), cut)
     placed = shuffled(known, seed)
-    blocks = F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {width}"), F.expr(f"(stop - 1) div {width}")))
-    pieces = placed.select("*", F.explode_outer(blocks).alias("block"))
-    overlap = F.least("stop", (F.col("block") + 1) * width) - F.greatest("start", F.col("block") * width)
+    blocks = F.when(F.col("size") > 0, F.sequence(F.expr("start div width"), F.expr("(stop - 1) div width")))
+    pieces = placed.select("*", F.explode_outer(blocks).alias("block")).withColumns({"low": F.expr("greatest(start, block * width)"), "high": F.expr("least(stop, (block + 1) * width)")})
     # start and key tell rows apart, but for rows of no words, which are alike in all that counts
     each = ["doc_id", "source", "size", "source_size", "target", "src", "start"]
-    taken = pieces.join(uses, ["src", "block"], "left").withColumn("words", F.coalesce(overlap * F.col("uses"), F.lit(0)))
+    # least() passes over nulls: a block that isn't cut, or that no slot takes, is cut at 0
+    words = F.expr("(high - low) * coalesce(uses, 0) + greatest(0, least(high, coalesce(cut, 0)) - low)")
+    taken = pieces.join(uses, ["src", "block"], "left").withColumn("words", words)
     summed = taken.filter("size > 0").groupBy(*each).agg(F.sum("words").alias("taken"))
     names = ["doc_id", "source", "size", "source_size", "target", "taken"]
     none = known.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))

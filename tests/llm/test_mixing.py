@@ -74,5 +74,19 @@ def test_coarse_schedules_keep_the_limits(spark, make_docs):
     assert len(got) == 300 and all(r.taken <= 3 * r["size"] for r in got)
 
 
+def test_small_sources_come_near_their_own_targets(spark, make_docs):
+    sizes = {"big0": 3_000_000, "big1": 2_000_000, "s1": 50, "s2": 300, "s3": 1_000, "s4": 3_000, "s5": 10_000}
+    rows = []
+    for s, n in sizes.items():
+        step = max(7, n // 40)
+        rows += [(len(rows) + k, "w " * min(step, n - at), "en", s) for k, at in enumerate(range(0, n, step))]
+    for resolution in (1, 64, mixing.RESOLUTION):
+        got = mixing.mix(make_docs(rows), resolution=resolution).collect()
+        assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r["size"] for r in got)
+        for s, n in sizes.items():
+            own = [r for r in got if r.source == s]
+            assert own[0].source_size == n and abs(sum(r.taken for r in own) - own[0].target) <= 1, (resolution, s)
+
+
 def test_query(spark):
     check(catalog.op7_source_mixing(spark, "/root/testdata/sf0.001").collect())
