@@ -170,4 +170,4 @@ def stream_window_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ekf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fluxlane.streaming import realtime
 
-    return realtime.filter_stream(measured(path(spark, sf_dir)).filter("line < 8"), surface(), MODEL)
+    return realtime.filter_stream(measured(path(spark, sf_dir)), surface(), MODEL)

@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from fluxlane.operators import navigation as nav
 from fluxlane.operators.grid import Interpolant
@@ -41,14 +40,13 @@ def filtered(samples: DataFrame, surface: Interpolant, m: nav.Model) -> DataFram
 
 
 def filter_stream(samples: DataFrame, surface: Interpolant, m: nav.Model) -> DataFrame:
-    """A table run through the streaming filter: written to the shared folder, streamed from there."""
+    """A table run through the streaming filter: written to the shared folder, streamed from there to files beside it."""
     from fluxlane.sources.tables import scratch
 
     spark = samples.sparkSession
     folder = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
-    samples.write.parquet(folder)
-    sink = f"filtered_{uuid.uuid4().hex}"
-    stream = filtered(spark.readStream.schema(samples.schema).parquet(folder), surface, m)
-    run = stream.writeStream.format("memory").queryName(sink).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(sink).select(*[F.col(c) for c in ("line", "tt", "d_lat", "d_lon", "bias", "residual")])
+    samples.write.parquet(f"{folder}/in")
+    stream = filtered(spark.readStream.schema(samples.schema).parquet(f"{folder}/in"), surface, m)
+    out = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(OUT).parquet(f"{folder}/out")

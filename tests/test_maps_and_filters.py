@@ -167,6 +167,19 @@ def test_stepwise_equals_batch(spark):
         nav.run_filter(df, Order(("line",), ("tt",)), s, m, "other")
 
 
+def test_streamed_query_has_all_lines(spark):
+    from fluxlane.plans import navigation
+
+    sf = "/root/testdata/sf0.001"
+    streamed = {(r.line, r.tt): r.d_lat for r in navigation.stream_ekf(spark, sf).collect()}
+    rows = navigation.measured(navigation.path(spark, sf))
+    batch = {(r.line, r.tt): r.x[0] for r in nav.run_filter(rows, navigation.PATH, navigation.surface(), navigation.MODEL).collect()}
+    assert set(streamed) == set(batch) and len(streamed) == spark.read.parquet(f"{sf}/events.parquet").count()
+    assert all(np.isclose(streamed[k], batch[k], rtol=1e-9, atol=1e-15) for k in batch)
+    none = realtime.filter_stream(rows.filter("line is null"), navigation.surface(), navigation.MODEL)
+    assert none.collect() == [] and none.columns == ["line", "tt", "d_lat", "d_lon", "bias", "residual"]
+
+
 def test_chi_square_and_resampling():
     assert np.isclose(nav.chi_square_quantile(0.95, 2), 5.991464547) and np.isclose(nav.chi_square_quantile(0.95, 1), 3.841458821) and np.isclose(nav.chi_square_cdf(7.814727903, 3), 0.95)
     assert nav.resample(np.array([0.0, 1.0, 0.0]), 0.5).tolist() == [1, 1, 1]
