@@ -76,7 +76,7 @@ def crlb_track(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def particle_track(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _filtered(spark, sf_dir, "particle", particles=200)
+    return _filtered(spark, sf_dir, "particle")
 
 
 @query()
@@ -134,7 +134,7 @@ def network_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["f1", "f2", "f3"]
     rows = vector(spark, sf_dir)
     model = networks.fit_columns(rows, names, "mag", networks.Setup(hidden=(8,), epochs=40))
-    return networks.shapley(rows.select("vec_id", *names), "vec_id", names, model, draws=5)
+    return networks.shapley(rows.select("vec_id", *names), "vec_id", names, model)
 
 
 @query()

@@ -180,6 +180,25 @@ def test_streamed_query_has_all_lines(spark):
     assert none.collect() == [] and none.columns == ["line", "tt", "d_lat", "d_lon", "bias", "residual"]
 
 
+def test_queries_run_with_the_operators_defaults(spark, monkeypatch):
+    import inspect
+
+    from fluxlane.operators import networks
+    from fluxlane.plans import navigation
+
+    seen = {}
+    for module, name in ((nav, "run_filter"), (networks, "shapley")):
+
+        def noted(*a, _f=getattr(module, name), _name=name, **b):
+            seen[_name] = inspect.signature(_f).bind(*a, **b).arguments
+            return _f(*a, **b)
+
+        monkeypatch.setattr(module, name, noted)
+    navigation.particle_track(spark, "/root/testdata/sf0.001")
+    navigation.network_importance(spark, "/root/testdata/sf0.001")
+    assert "particles" not in seen["run_filter"] and "draws" not in seen["shapley"]
+
+
 def test_chi_square_and_resampling():
     assert np.isclose(nav.chi_square_quantile(0.95, 2), 5.991464547) and np.isclose(nav.chi_square_quantile(0.95, 1), 3.841458821) and np.isclose(nav.chi_square_cdf(7.814727903, 3), 0.95)
     assert nav.resample(np.array([0.0, 1.0, 0.0]), 0.5).tolist() == [1, 1, 1]
