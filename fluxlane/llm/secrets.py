@@ -11,7 +11,7 @@ value of a password, secret, token or key), ``access`` (an access key id),
 An interval join in each scope (a block between blank lines) links parts whose
 intervals, widened by ``REACH`` characters, meet: a weak secret is reported if an
 identifier (access, ident) is linked to it, an identifier if a secret (opaque,
-assign) is, and an endpoint if both an identifier and a secret are. Parts are
+assign, hex) is, and an endpoint if both an identifier and a secret are. Parts are
 swept in order of place, so the join is linear but for its sort.
 
 Null text counts as empty and gives no span. Offsets are code points, ends
@@ -85,7 +85,7 @@ def find_spans(text: str | None) -> tuple[list[Span], list[Span]]:
     opaque = [(m.start(), m.end(), "opaque") for m in _OPAQUE.finditer(text) if _mixed(m[0])]
     low = text.lower()
     ident = [(m.start(), m.end(), "ident") for m in _IDENT.finditer(text)] if any(w in low for w in ("user", "login", "client", "account")) else []
-    secrets = sorted([*opaque, *(s for s in base if s[2] == "assign")])
+    secrets = sorted([*opaque, *(s for s in base if s[2] in ("assign", "hex"))])
     identifiers = sorted([*ident, *(s for s in base if s[2] == "access")])
     if not secrets or not identifiers:
         return base, base

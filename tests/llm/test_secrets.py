@@ -47,6 +47,13 @@ def test_weak_parts_need_their_complement():
     assert kinds("see https://www.example.com/ for " + "words " * 20) == []
 
 
+def test_hex_runs_are_secrets_of_identifiers():
+    run = "0f" * 16
+    assert kinds(f"user=admin {run} host=db.example.com") == ["ident", "hex", "endpoint"]
+    assert kinds(f"{run}") == ["hex"] and kinds(f"user=admin\n\n{run}") == ["hex"]
+    assert secrets.redact(f"user=admin {run}") == "[IDENT] [HEX]"
+
+
 def test_interval_join_equals_all_pairs():
     import random
 
