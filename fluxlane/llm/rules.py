@@ -1,14 +1,13 @@
 """Quality rules, line first, in DataFrame functions only.
 
-Each line with a word is judged by three rules: punctuation (it has a letter,
-few of its characters are marks of ``[#*$%&|<>]``, and a line of some words ends
-in a sentence mark or has one within), navigation (it isn't a short row of menu
-entries) and boilerplate (it has no notice or prompt of web pages). The navigation
-rule knows rows that begin with a separator or a usual menu word and looks at
-lines of 200 characters or fewer, the boilerplate rule at lines of 400 or fewer:
-longer lines pass them. The query's SQL states the same. Lines that
-fail a rule are taken out; a document that loses more than ``MOST_LOST`` of the
-characters of its words is rejected, as is one that fails the base rules.
+Each line with a word is judged by three rules, whatever its length: punctuation
+(it has a letter, few of its characters are marks of ``[#*$%&|<>]``, and a line of
+some words has a sentence mark), navigation (it isn't a row of menu entries: of
+``LEAST_ENTRIES`` or more entries between ``SEPARATORS``, at least ``SHORT_SHARE``
+are no longer than ``ENTRY_CHARS``) and boilerplate (notices and prompts of web
+pages make up less than ``BOILERPLATE_SHARE`` of it). Lines that fail a rule are
+taken out; a document that loses more than ``MOST_LOST`` of the characters of its
+words is rejected, as is one that fails the base rules.
 
 Null text has no words. Empty and blank texts have neither words nor lines.
 Every row is judged alone, so ties and repeated rows change nothing, and no row
@@ -33,7 +32,10 @@ BOILERPLATE = (
     "(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie(s| policy)|enable javascript|click here|sign up|log ?in to|subscribe (now|to)"
     "|read more|share (this|on)|follow us|licensed under|copyright)"
 )
-NAVIGATION = "(?i)^(home|menu|about( us)?|contact( us)?|next|previous|back to top|skip to content|search|help|sitemap)?([\\x20\\t]*[|>»·/•-][\\x20\\t]*[^|>»·/•]{1,24}){2,}$"
+#: A phrase of these makes a line boilerplate if the phrases hold such a share of its characters.
+BOILERPLATE_SHARE = 0.05
+#: Marks between the entries of a menu, how many entries make one, and how many of them are short.
+SEPARATORS, LEAST_ENTRIES, ENTRY_CHARS, SHORT_SHARE = "[|>»·•]", 3, 24, 0.8
 
 
 def _drop(text: Column, marks: str) -> Column:
@@ -90,7 +92,12 @@ def line_passes(line: Column) -> Column:
     # a split with a limit looks at eight words and no more; a pattern would try every start of a long run
     few = F.size(F.split(F.trim(line, F.lit(SPACE)), "[\\x20\\x09-\\x0D]+", 9)) < 8
     ended = line.rlike("[.!?…。？！:;,\"'”)]") | few
-    return lettered & (symbols <= F.length(line) * SYMBOL_SHARE) & ended & ~((F.length(line) <= 200) & line.rlike(NAVIGATION)) & ~((F.length(line) <= 400) & line.rlike(BOILERPLATE))
+    entries = F.filter(F.split(line, SEPARATORS), lambda e: F.trim(e, F.lit(SPACE)) != "")
+    short = F.filter(entries, lambda e: F.length(F.trim(e, F.lit(SPACE))) <= ENTRY_CHARS)
+    menu = line.rlike(SEPARATORS) & (F.size(entries) >= LEAST_ENTRIES) & (F.size(short) >= F.size(entries) * SHORT_SHARE)
+    notices = F.length(line) - F.length(F.regexp_replace(line, BOILERPLATE, ""))
+    notice = line.rlike(BOILERPLATE) & (notices >= F.length(line) * BOILERPLATE_SHARE)
+    return lettered & (symbols <= F.length(line) * SYMBOL_SHARE) & ended & ~menu & ~notice
 
 
 def clean(documents: DataFrame) -> DataFrame:
@@ -109,6 +116,10 @@ def verdicts(documents: DataFrame) -> DataFrame:
     return clean(documents).drop("clean_text")
 
 
+def _bare(name: str) -> str:
+    return f"regexp_replace({name}, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g')"
+
+
 #: The same in DuckDB's SQL.
 ORACLE = f"""
 WITH base AS (
@@ -133,8 +144,11 @@ WITH base AS (
          list_filter(lines, lambda x: regexp_matches(x, '\\p{{L}}')
            AND length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) <= length(x) * {SYMBOL_SHARE}
            AND (regexp_matches(x, '[.!?…。？！:;,"''”)]') OR len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) < 8)
-           AND NOT (length(x) <= 200 AND regexp_matches(x, '{NAVIGATION}'))
-           AND NOT (length(x) <= 400 AND regexp_matches(x, '{BOILERPLATE}'))) AS passed
+           AND NOT (len(list_filter(string_split_regex(x, '{SEPARATORS}'), lambda e: {_bare("e")} <> '')) >= {LEAST_ENTRIES}
+             AND len(list_filter(string_split_regex(x, '{SEPARATORS}'), lambda e: length({_bare("e")}) BETWEEN 1 AND {ENTRY_CHARS}))
+               >= len(list_filter(string_split_regex(x, '{SEPARATORS}'), lambda e: {_bare("e")} <> '')) * CAST({SHORT_SHARE} AS DOUBLE))
+           AND NOT (regexp_matches(x, '{BOILERPLATE}')
+             AND length(x) - length(regexp_replace(x, '{BOILERPLATE}', '', 'g')) >= length(x) * CAST({BOILERPLATE_SHARE} AS DOUBLE))) AS passed
   FROM split s LEFT JOIN covered c ON s.rn = c.rn
 ), judged AS (
   SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {int(100 * MOST_REPEATED)} * n_words AS base_failed,

@@ -35,6 +35,7 @@ def test_base_counts_equal_brute_force(spark, make_docs):
 
 def test_oracle_agrees_on_odd_texts(spark, make_docs):
     rows = [*enumerate(texts()), *[(1000 + i, t) for i, (_, t) in enumerate(ODD) if "\x00" not in (t or "")]]
+    rows += [(2002 + n, "Home page | " * n + "word " * n + ", all rights reserved, click here" * (n % 3)) for n in range(1, 90)]
     rows += [(2000, "Home | About | Contact\n" + "Good sentence with words. " * 30), (2001, "Copyright notice. All rights reserved\n" * 40 + words(random.Random(1), 80))]
     got = sorted((tuple(r) for r in rules.verdicts(make_docs(rows)).collect()), key=str)
     con = duckdb.connect()
@@ -43,7 +44,11 @@ def test_oracle_agrees_on_odd_texts(spark, make_docs):
 
 
 def test_lines_that_fail(spark):
+    menu = "Home page | " * 30 + "Contact the shop"
     lines = {
+        menu: False, menu + "x" * 400: False, "Some prose, with a | bar in it.": True, "One | two | three.": False, "| thirteenth | fourteenth | fifteenth |": False,
+        "aaaa bbbbbbbbb | cccc dddddddddd | a sentence that goes on for some time, longer than any entry.": True,
+        "Prose of many words. " * 30 + "Copyright law.": True, "x " * 180 + "y. All rights reserved. All rights reserved.": False,
         "A sound sentence, as people write it.": True, "Home | About | Contact | Help": False, "next > previous > top": False, "All Rights Reserved 2020.": False, "*** ### $$$ go": False,
         "1234 5678": False, "Short heading": True, "one two three four five six seven eight nine ten": False, "He said: all is well with the new house": True,
     }
