@@ -8,11 +8,11 @@ value of a password, secret, token or key), ``access`` (an access key id),
 * ``opaque``: a run of 32 or more base-64 characters that mixes cases and digits,
 * ``endpoint``: the host of a URL or of a host, server or endpoint setting.
 
-An interval join in each scope (a block between blank lines) links parts whose
-intervals, widened by ``REACH`` characters, meet: a weak secret is reported if an
-identifier (access, ident) is linked to it, an identifier if a secret (opaque,
-assign, hex) is, and an endpoint if both an identifier and a secret are. Parts are
-swept in order of place, so the join is linear but for its sort.
+An interval join puts parts into scopes: the intervals between blank lines. In
+a scope a weak secret is reported if an identifier (access, ident) is there too,
+an identifier if a secret (opaque, assign, hex) is, and an endpoint if both an
+identifier and a secret are. A part that runs over a blank line belongs to every
+scope it meets. Parts and scopes are sorted, so the join is linear but for that.
 
 Null text counts as empty and gives no span. Offsets are code points, ends
 exclusive. Rows are scanned one by one: ties, repeated rows and extra columns
@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from fluxlane.llm.common import in_batches
 
 KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")
-REACH = 400
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -61,21 +60,9 @@ def _order(s: Span) -> tuple:
     return s[0], KINDS.index(s[2]), s[1]
 
 
-def _near(spans: list[Span], scopes: list[int]) -> dict[int, tuple[list[int], list[int]]]:
-    """By scope: the starts of its spans, and the running largest of their ends."""
-    by: dict[int, tuple[list[int], list[int]]] = {}
-    for s in spans:
-        starts, ends = by.setdefault(bisect.bisect_right(scopes, s[0]), ([], []))
-        starts.append(s[0])
-        ends.append(max(s[1], ends[-1] if ends else 0))
-    return by
-
-
-def _linked(s: Span, others: dict, scopes: list[int]) -> bool:
-    """Whether an interval of the same scope meets ``s`` widened by REACH."""
-    starts, ends = others.get(bisect.bisect_right(scopes, s[0]), ([], []))
-    i = bisect.bisect_left(starts, s[1] + REACH)
-    return i > 0 and ends[i - 1] > s[0] - REACH
+def _scopes(spans: list[Span], cuts: list[int]) -> list[range]:
+    """The scopes, by number, that each span meets; ``cuts``: where scopes but the first start."""
+    return [range(bisect.bisect_right(cuts, start), bisect.bisect_left(cuts, end) + 1) for start, end, _ in spans]
 
 
 def find_spans(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -89,11 +76,12 @@ def find_spans(text: str | None) -> tuple[list[Span], list[Span]]:
     identifiers = sorted([*ident, *(s for s in base if s[2] == "access")])
     if not secrets or not identifiers:
         return base, base
-    scopes = [m.end() for m in _BLANK.finditer(text)]
-    to_secret, to_identifier = _near(secrets, scopes), _near(identifiers, scopes)
-    weak = [s for s in opaque if _linked(s, to_identifier, scopes)] + [s for s in ident if _linked(s, to_secret, scopes)]
+    cuts = [m.end() for m in _BLANK.finditer(text)]
+    with_secret, with_identifier = ({n for r in _scopes(spans, cuts) for n in r} for spans in (secrets, identifiers))
     ends = [(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(text)]
-    weak += [s for s in ends if _linked(s, to_identifier, scopes) and _linked(s, to_secret, scopes)]
+    weak = []
+    for parts, needed in ((opaque, with_identifier), (ident, with_secret), (ends, with_secret & with_identifier)):
+        weak += [s for s, r in zip(parts, _scopes(parts, cuts), strict=True) if any(n in needed for n in r)]
     return base, sorted([*base, *weak], key=_order)
 
 

@@ -43,7 +43,8 @@ def test_weak_parts_need_their_complement():
     assert kinds(f"user=admin {OPAQUE} host=db.example.com") == ["ident", "opaque", "endpoint"]
     assert kinds("user=admin password=hunter22 https://db.example.com/x") == ["ident", "assign", "endpoint"]
     assert kinds(f"{KEY}\n\n{OPAQUE}") == ["access"]  # another scope
-    assert kinds(f"{KEY} {'w ' * 400}{OPAQUE}") == ["access"]  # out of reach
+    assert kinds(f"{KEY} {'w ' * 4000}{OPAQUE}") == ["access", "opaque"]  # far apart in one scope
+    assert kinds(f"{OPAQUE}\n\nuser=admin {OPAQUE}\n \nhost=db.example.com") == ["ident", "opaque"]
     assert kinds("see https://www.example.com/ for " + "words " * 20) == []
 
 
@@ -58,15 +59,12 @@ def test_interval_join_equals_all_pairs():
     import random
 
     rng = random.Random(2)
-    for _ in range(200):
-        a = sorted((s, s + rng.randint(1, 900), "ident") for s in (rng.randint(0, 6000) for _ in range(8)))
-        b = sorted((s, s + rng.randint(1, 900), "opaque") for s in (rng.randint(0, 6000) for _ in range(8)))
-        scopes = sorted(rng.randint(0, 6000) for _ in range(3))
-        scope = lambda s: sum(x <= s[0] for x in scopes)
-        near = secrets._near(b, scopes)
-        for s in a:
-            want = any(scope(s) == scope(o) and o[0] < s[1] + secrets.REACH and o[1] > s[0] - secrets.REACH for o in b)
-            assert secrets._linked(s, near, scopes) == want
+    for _ in range(300):
+        spans = sorted((s, s + rng.randint(1, 900), "ident") for s in (rng.randint(0, 6000) for _ in range(8)))
+        cuts = sorted({rng.randint(1, 6000) for _ in range(5)})
+        edges = [(a, b) for a, b in zip([0, *cuts], [*cuts, 10_000])]
+        for s, r in zip(spans, secrets._scopes(spans, cuts)):
+            assert list(r) == [n for n, (a, b) in enumerate(edges) if s[0] < b and s[1] > a]
 
 
 def test_redaction_leaves_nothing_and_clean_texts_alone(make_docs):
