@@ -61,11 +61,24 @@ def test_odd_tables_blocks_and_stage(spark, make_docs):
         assert sorted(((r.doc_id, r.item_id, r.distance) for r in found.collect()), key=str) == want
         kept = decontamination.keep_clean(docs, bench, block_chars=size)
         assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted([i for i, _ in rows if i not in (50, 51)], key=str)
+    # ids of other types, given back as they are
+    for cast in ("string", "int", "decimal(9,0)"):
+        found = decontamination.leaks(docs, bench.withColumn("item_id", decontamination.F.col("item_id").cast(cast)))
+        assert dict(found.dtypes)["item_id"] == cast and sorted(((r.doc_id, str(r.item_id), r.distance) for r in found.collect()), key=str) == sorted([(i, str(item), d) for i, item, d in want], key=str)
     assert decontamination.leaks(docs, bench.filter("item_id = 3")).collect() == []
     assert decontamination.leaks(make_docs([]), bench).collect() == []
     assert decontamination.keep_clean(docs, bench.filter("item_id = 99")).count() == len(rows)
 
 
+def test_short_items_and_long_texts(spark, make_docs):
+    rng = random.Random(4)
+    leak = words(rng, 30)
+    bench = spark.createDataFrame([("a", "a"), ("b", "Yes"), ("c", leak)], "item_id string, text string")
+    docs = make_docs([(1, "a"), (2, " yes\n"), (3, "a yes a"), (4, words(rng, 60_000) + " " + leak + " " + words(rng, 60_000)), (5, words(rng, 50))])
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()) == [(1, "a"), (2, "b"), (4, "c")]
+    assert sorted(r.doc_id for r in decontamination.keep_clean(docs, bench).collect()) == [3, 5]
+
+
 def test_query_finds_every_exact_item(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r.doc_id: decontamination.normalized(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
