@@ -1,9 +1,64 @@
+import hashlib
 from collections import Counter
 
+import duckdb
+import pyarrow as pa
 from fluxlane.llm import catalog, mixing
 from samples import ODD
 
 
+def targets(sizes, weights=(5, 2, 1), most=3):
+    """The contract's targets, by plain rounds over a list."""
+    order = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode("utf-32-be", "replace")))
+    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
+    size, out = dict(order), {}
+    left, free = float(sum(size.values())), [s for s, _ in order]
+    while free:
+        total = sum(weight[s] for s in free)
+        share = {s: left * weight[s] / total for s in free}
+        above = [s for s in free if share[s] > most * size[s]]
+        if not above:
+            return out | share
+        for s in above:
+            out[s] = float(most * size[s])
+        left -= sum(out[s] for s in above)
+        free = [s for s in free if s not in out]
+    return out
+
+
+def brute_taken(rows):
+    """(doc_id, source, size, taken) of (doc_id, text, source) rows: every word of every source is laid out and taken slot by slot."""
+    size = lambda t: len([w for w in (t or "").translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).split(" ") if w])
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    docs = [(i, s, size(t), int(md5(f"17:{'' if i is None else i}:{size(t)}:{md5(t or '')}")[:15], 16)) for i, t, s in rows]
+    sizes = Counter()
+    for _, s, n, _ in docs:
+        sizes[s] += n
+    goal, total = targets(list(sizes.items())), sum(sizes.values())
+    order = sorted(sizes, key=lambda x: (x is None, (x or "").encode("utf-32-be", "replace")))
+    widest = max(1, total // max(mixing.RESOLUTION, mixing.SLOTS_A_SOURCE * len(order)))
+    width = {s: max(1, min(widest, sizes[s] // mixing.SLOTS_A_SOURCE, int(goal[s]) // mixing.SLOTS_A_SOURCE)) for s in order}
+    whole = {s: int(goal[s] + 0.5) for s in order}
+    need = {s: -(-whole[s] // width[s]) + mixing.SPARE if sizes[s] else 0 for s in order}
+    slots, edges, at = sum(need.values()), [], 0
+    for s in order:
+        at += need[s]
+        edges.append((at * mixing.CIRCLE // slots, s))
+    laid = {s: [k for k in sorted((k for k in range(len(docs)) if docs[k][1] == s), key=lambda k: docs[k][3]) for _ in range(docs[k][2])] for s in order}
+    taken, done = Counter(), Counter()
+    for slot in range(slots):
+        point = slot * mixing.GOLDEN % mixing.CIRCLE
+        s = next(s for hi, s in edges if point < hi)
+        blocks = -(-sizes[s] // width[s])
+        block, turn = done[s] % blocks, done[s] // blocks
+        done[s] += 1
+        if turn < 3:
+            for w in range(block * width[s], min((block + 1) * width[s], sizes[s])):
+                if turn * sizes[s] + w < whole[s]:
+                    taken[laid[s][w]] += 1
+    return [(i, s, n, taken[k]) for k, (i, s, n, _) in enumerate(docs)]
+
+
 def check(rows):
     by = {}
     for r in rows:
@@ -11,7 +66,7 @@ def check(rows):
         s[0], s[1] = s[0] + r["size"], s[1] + r.taken
         assert 0 <= r.taken <= 3 * r["size"]
     total = sum(n for n, _ in by.values())
-    goal = mixing.targets([(s, n) for s, (n, _) in by.items()])
+    goal = targets([(s, n) for s, (n, _) in by.items()])
     assert abs(sum(goal.values()) - total) < 1e-6 * max(total, 1)
     for r in rows:
         assert r.source_size == by[r.source][0] and abs(r.target - goal[r.source]) < 1e-9 * max(total, 1)
@@ -19,11 +74,44 @@ def check(rows):
         assert abs(taken - goal[s]) <= max(8, 1e-4 * total), (s, n, taken, goal[s])
 
 
-def test_targets_stop_at_three_times():
-    assert mixing.targets([("a", 100), ("b", 100)]) == {"a": 200 * 5 / 7, "b": 200 * 2 / 7}
-    assert mixing.targets([("a", 10), ("b", 1000), (None, 1000)]) == {"a": 30.0, "b": 1980 * 2 / 3, None: 1980 / 3}
+def test_targets_stop_at_three_times(spark):
+    assert targets([("a", 100), ("b", 100)]) == {"a": 200 * 5 / 7, "b": 200 * 2 / 7}
+    assert targets([("a", 10), ("b", 1000), (None, 1000)]) == {"a": 30.0, "b": 1980 * 2 / 3, None: 1980 / 3}
     # order by code point: upper case first, marks beyond the basic plane after the private use area
-    assert mixing.targets([("\U0001f600", 700), ("", 700), ("B", 700)])["\U0001f600"] == 2100 / 8
+    assert targets([("\U0001f600", 700), ("\ue000", 700), ("B", 700)])["\U0001f600"] == 2100 / 8
+    for sizes in ([("a", 100), ("b", 100)], [("a", 10), ("b", 1000), (None, 1000)], [("\U0001f600", 700), ("\ue000", 700), ("B", 700)], [("a", 1), ("b", 5), ("c", 60), ("d", 0), ("e", 9000)], [("a", 0)]):
+        table = mixing.numbered(spark.createDataFrame(sizes, "source string, source_size long"))
+        got = {r.source: r.target for r in mixing.with_targets(table, sum(n for _, n in sizes)).collect()}
+        assert got == targets(sizes)
+
+
+def test_taken_words_equal_brute_force(spark, make_docs):
+    rows = [(i, t, s) for (i, t), s in zip(ODD, ["a", None, "b", "b", "a", "c", "c", None, "\ue000", "zero"])]
+    rows += [(100 + i, f"w{i} " * (1 + i * 7 % 40), "abcdefgh"[i % 3 if i % 11 else 7]) for i in range(300)] + [(100, "w0 ", "a")] * 3
+    got = mixing.mix(make_docs([(i, t, "en", s) for i, t, s in rows])).collect()
+    assert sorted(((r.doc_id, r.source, r["size"], r.taken) for r in got), key=str) == sorted(brute_taken(rows), key=str)
+
+
+def test_sql_equals_the_query(spark, make_docs):
+    rows = [(i, f"w{i} " * (1 + i * 7 % 40), "en", ["a", "b", None, "d", "e"][i % 5 if i % 3 else 1]) for i in range(400)] + [(900, None, "en", "x"), (None, " ", "en", "a"), (None, "z y", "en", "a")]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string()), "source": pa.array([r[3] for r in rows], pa.string())}))
+    got = mixing.mix(make_docs(rows)).select("doc_id", "source", "size", "source_size", "target", "taken").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(mixing.ORACLE).fetchall()))
+
+
+def test_very_many_sources(spark):
+    n = 20_000
+    df = spark.range(3 * n).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 7 as int)) as text", f"concat('https://s', id % {n}) as source")
+    for small in (1 << 16, 10):  # broadcast and joined
+        mixing.SMALL_ROWS, was = small, mixing.SMALL_ROWS
+        try:
+            got = mixing.mix(df.union(spark.sql("select -1L, repeat('w ', 200000), 'hot'"))).groupBy("source").agg({"taken": "sum", "target": "max", "size": "sum"}).collect()
+        finally:
+            mixing.SMALL_ROWS = was
+        assert len(got) == n + 1 and all(abs(r["sum(taken)"] - r["max(target)"]) <= 1 for r in got)
+        goal = targets([(r.source, r["sum(size)"]) for r in got])
+        assert all(abs(goal[r.source] - r["max(target)"]) < 1e-6 for r in got)
 
 
 def test_words_are_counted_by_ascii_space(spark):
@@ -33,8 +121,9 @@ def test_words_are_counted_by_ascii_space(spark):
 
 
 def test_every_slot_has_one_rank_and_points_are_even(spark):
-    shares = [("a", 0.5, 7), ("b", 0.3, 4), (None, 0.2, 100)]
-    rows = mixing.schedule(spark.range(1), shares, 10_000).collect()
+    shares, edges = [("a", 0.5, 7), ("b", 0.3, 4), (None, 0.2, 100)], [0, int(0.5 * mixing.CIRCLE), int(0.8 * mixing.CIRCLE), mixing.CIRCLE]
+    arcs = spark.createDataFrame([(k, edges[k], edges[k + 1], n) for k, (_, _, n) in enumerate(shares)], "src long, lo long, hi long, blocks long")
+    rows = mixing.schedule(arcs, 10_000).collect()
     assert sorted(r.slot for r in rows) == list(range(10_000))
     for k, (_, share, blocks) in enumerate(shares):
         own = sorted((r for r in rows if r.src == k), key=lambda r: r.slot)
