@@ -19,10 +19,24 @@ Null, empty and blank texts have fingerprint 0 and are linked like any other.
 Rows with a null doc_id link too, but a component takes the smallest id that is
 not null. Copies share a fingerprint, and only distinct fingerprints are
 joined. Extra columns are ignored.
+
+``keep_one`` links by similarity instead: Jaccard of ``NEAR_WORDS``-word shingles
+of ``NEAR`` or more. Two texts of that similarity differ in about 15 % of their
+SimHash bits, so it takes wider fingerprints (``NEAR_BITS``) of the distinct
+shingles and a budget of three standard deviations above. No block needs to
+agree then; tries are rooted at the values of small sets of bits, as many sets as
+bring ``RECALL`` for pairs just at ``NEAR`` (more for closer ones), by the number
+of fingerprints. A task walks its tries in pairs as above, and emits a minimum
+spanning forest of its links by differing bits, the likeliest links of each
+text; the shingles themselves confirm them. A root of many fingerprints is dealt
+out by pairs of chunks. Fingerprints of very near copies that are all
+different are compared with each other there: time grows with the square of
+such a group's share of a root, though it spreads over tasks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +53,25 @@ ROOT_BOUND = 1 << 15
 #: A task walks so many fingerprints at once, or one trie.
 FOREST = 1 << 16
 #: Node pairs walked at once, and pairs of leaves that a node pair may hold to be compared at once.
-FRONT, LEAVES = 1 << 16, 16
+FRONT, LEAVES, NEAR_LEAVES = 1 << 16, 16, 1024
 #: (left rotation, width) of the blocks.
 BLOCKS = ((0, 21), (21, 21), (42, 22))
+#: Links of ``keep_one``: words of a shingle, least Jaccard similarity, bits of a fingerprint.
+NEAR_WORDS, NEAR, NEAR_BITS = 5, 0.8, 256
+#: Share of the pairs just at ``NEAR`` whose bits meet in some root, about; fingerprints that a root is to hold.
+RECALL, ROOT_SIZE = 0.97, 64
+#: Chunk of a root that is dealt out; a task reads two at once.
+NEAR_CHUNK = 1 << 12
 _CHUNK = 1 << 18
+_ALL = (1 << 64) - 1
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the words have each bit set, lowest bit first."""
+    bits = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    whole = len(bits) // 255 * 255
+    # sums of 255 bits fit a byte
+    return bits[:whole].reshape(-1, 255, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64) + bits[whole:].sum(0, dtype=np.int64)
 
 
 def fingerprint(text: str | None) -> int:
@@ -59,7 +88,7 @@ def fingerprint(text: str | None) -> int:
         n = min(_CHUNK, total - at)
         pairs = zip(start[at : at + n].tolist(), end[at + width - 1 : at + width - 1 + n].tolist(), strict=True)
         h = np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), np.uint64, n)
-        set_bits += np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        set_bits += bit_counts(h)
     return int.from_bytes(np.packbits(2 * set_bits > total, bitorder="little").tobytes(), "little")
 
 
@@ -78,19 +107,26 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     return chosen.mapInArrow(run, f"doc_id {dict(chosen.dtypes)['doc_id']}, print long")
 
 
-def trie_join(keys: np.ndarray, roots: list[tuple[int, int, int, int]], budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
+def differing(keys: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many bits of the rows ``i`` and ``j`` of ``keys`` differ."""
+    return np.bitwise_count(keys[i] ^ keys[j]).sum(1, dtype=np.int16)
+
+
+def trie_join(keys: np.ndarray, roots: list[tuple[int, int, int, int]], budget: int = BUDGET, leaves: int = LEAVES) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j), i != j, of all pairs within ``budget`` bits, from pairs of root ranges.
 
-    ``keys``: unsigned, sorted within each range; those of a range agree in all
-    bits but the ones below. ``roots``: (start, stop, start, stop); a range
-    with itself finds its own pairs.
+    ``keys``: unsigned, or rows of unsigned words, sorted within each range.
+    ``roots``: (start, stop, start, stop); a range with itself finds its own
+    pairs. Node pairs of ``leaves`` pairs or fewer are compared at once.
     """
     found: list[tuple[np.ndarray, np.ndarray]] = []
     zeros: dict[int, np.ndarray] = {}
+    keys = keys.reshape(len(keys), -1)
+    bottom = 64 * keys.shape[1]
 
     def split(depth: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if depth not in zeros:
-            zeros[depth] = np.append(0, np.cumsum((keys >> np.uint64(63 - depth)) & np.uint64(1) == 0))
+            zeros[depth] = np.append(0, np.cumsum((keys[:, depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1) == 0))
         return a + zeros[depth][b] - zeros[depth][a]
 
     stack = [(0, np.array(roots, np.int64).reshape(-1, 4), np.zeros(len(roots), np.int64))]
@@ -100,14 +136,14 @@ def trie_join(keys: np.ndarray, roots: list[tuple[int, int, int, int]], budget:
             stack += [(depth, nodes[at : at + FRONT], off[at : at + FRONT]) for at in range(0, len(nodes), FRONT)]
             continue
         m, n = nodes[:, 1] - nodes[:, 0], nodes[:, 3] - nodes[:, 2]
-        few = m * n <= LEAVES
-        if few.any() or depth == 64:
-            few |= depth == 64
+        few = m * n <= leaves
+        if few.any() or depth == bottom:
+            few |= depth == bottom
             for at in np.array_split(np.flatnonzero(few), max(1, int((m * n)[few].sum() >> 22))):
                 count = (m * n)[at]
                 k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 i, j = np.repeat(nodes[at, 0], count) + k // np.repeat(n[at], count), np.repeat(nodes[at, 2], count) + k % np.repeat(n[at], count)
-                near = (np.bitwise_count(keys[i] ^ keys[j]) <= budget) & (i != j)
+                near = (differing(keys, i, j) <= budget) & (i != j)
                 found.append((i[near], j[near]))
             nodes, off = nodes[~few], off[~few]
             if not len(nodes):
@@ -164,37 +200,49 @@ def links(distinct: DataFrame, root_bound: int = ROOT_BOUND) -> DataFrame:
     group = ["block", "root", "n1", "n2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for b in batches:
-            code = [b.column(c).to_numpy().astype(np.int64) for c in ("block", "root", "n1", "n2", "side")]
-            held.append(np.stack([*code, (code[2] != code[3]).astype(np.int64), b.column("key").to_numpy()], 1))
-            if sum(map(len, held)) >= FOREST:
-                at = np.concatenate(held)
-                # the last group may go on
-                whole = np.flatnonzero((at[1:, :4] != at[:-1, :4]).any(1))
-                if len(whole):
-                    yield from _walk(at[: whole[-1] + 1])
-                    held = [at[whole[-1] + 1 :]]
-                else:
-                    held = [at]
-        if held:
-            yield from _walk(np.concatenate(held))
+        for at in _whole_groups(batches, ["block", "root", "n1", "n2", "side"], 4, lambda b: b.column("key").to_numpy()[:, None]):
+            yield from _walk(at)
 
     return rows.repartition(*group).sortWithinPartitions(*group, "side", "key").mapInArrow(run, "a long, b long")
 
 
-def _walk(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The forests of whole groups of rows (block, root, n1, n2, side, cross, key)."""
-    # keys sort as signed longs; those of one root and side have the same sign, so order holds
+def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str], n_key: int, keys) -> Iterator[np.ndarray]:
+    """Stretches of whole groups as rows of (the columns ``names``, whether n1 and n2 differ, keys); ``n_key`` columns tell groups apart."""
+    held: list[np.ndarray] = []
+    bound = FOREST
+    for b in batches:
+        code = [b.column(c).to_numpy().astype(np.int64) for c in names]
+        held.append(np.concatenate([np.stack([*code, (code[2] != code[3]).astype(np.int64)], 1), keys(b)], 1))
+        if sum(map(len, held)) >= bound:
+            at = np.concatenate(held)
+            # the last group may go on
+            whole = np.flatnonzero((at[1:, :n_key] != at[:-1, :n_key]).any(1))
+            if len(whole):
+                yield at[: whole[-1] + 1]
+            held = [at[whole[-1] + 1 :] if len(whole) else at]
+            bound = max(FOREST, 2 * len(held[0]))
+    if held:
+        yield np.concatenate(held)
+
+
+def _roots(rows: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Pairs of ranges to walk, of rows (block, root, n1, n2, side, cross, ...): a node with itself, or with the other side."""
     cut = np.flatnonzero((rows[1:, :5] != rows[:-1, :5]).any(1)) + 1
     start, stop = np.append(0, cut), np.append(cut, len(rows))
-    keys, roots = np.ascontiguousarray(rows[:, 6]).view(np.uint64), []
+    roots = []
     for k, (a, b) in enumerate(zip(start.tolist(), stop.tolist(), strict=True)):
         if not rows[a, 5]:
             if b - a > 1:
                 roots.append((a, b, a, b))
         elif rows[a, 4] and k and (rows[a, :4] == rows[start[k - 1], :4]).all():
             roots.append((int(start[k - 1]), a, a, b))
+    return roots
+
+
+def _walk(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The forests of whole groups of rows (block, root, n1, n2, side, cross, key)."""
+    # keys sort as signed longs; those of one root and side have the same sign, so order holds
+    keys, roots = np.ascontiguousarray(rows[:, 6]).view(np.uint64), _roots(rows)
     if not roots:
         return
     i, j = trie_join(keys, roots)
@@ -242,14 +290,164 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return prints.join(classes, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
-    """One row of each component, the one of the smallest doc_id, with all its columns.
+def wide_fingerprint(text: str | None) -> bytes:
+    """``NEAR_BITS`` SimHash bits of the text's distinct shingles; zeros if it has no word.
+
+    Each shingle's XXH64 is mixed into as many words as the bits need.
+    """
+    h = shingle_hashes(text)
+    counts = np.zeros(NEAR_BITS, np.int64)
+    for at in range(0, len(h), _CHUNK):
+        for k in range(NEAR_BITS // 64):
+            z = h[at : at + _CHUNK] + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & _ALL)
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            z ^= z >> np.uint64(31)
+            counts[64 * k : 64 * k + 64] += bit_counts(z)
+    return np.packbits(2 * counts > len(h)).tobytes()
+
+
+def shingle_hashes(text: str | None, width: int = NEAR_WORDS) -> np.ndarray:
+    """Sorted distinct XXH64 of the text's shingles, lower-cased; of the whole sequence if it has fewer words."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, width = b" ".join(words), min(width, len(words))
+    end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    start = np.append(0, end[:-1] + 1)
+    digest, total = xxhash.xxh64_intdigest, len(words) - width + 1
+    parts = []
+    for at in range(0, total, _CHUNK):
+        n = min(_CHUNK, total - at)
+        pairs = zip(start[at : at + n].tolist(), end[at + width - 1 : at + width - 1 + n].tolist(), strict=True)
+        parts.append(np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), np.uint64, n))
+    return np.unique(np.concatenate(parts))
+
+
+def flip_share(similarity: float = NEAR) -> float:
+    """Share of bits in which texts of a Jaccard similarity differ: the angle between their shingle sets, of pi."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
 
-    Rows without a doc_id stay. Repeated rows of the kept id leave one.
+def near_budget(similarity: float = NEAR) -> int:
+    p = flip_share(similarity)
+    return math.ceil(NEAR_BITS * p + 3 * math.sqrt(NEAR_BITS * p * (1 - p)))
+
+
+def root_bits(n: int, similarity: float = NEAR, recall: float = RECALL) -> np.ndarray:
+    """Places of the bits of each root set (sets x bits), for ``n`` fingerprints."""
+    width = max(8, math.ceil(math.log2(max(n, 1) / ROOT_SIZE + 1)))
+    sets = math.ceil(math.log(1 - recall) / math.log(1 - (1 - flip_share(similarity)) ** width))
+    rng = np.random.default_rng(8)
+    # sets use all bits in turn
+    deck = np.concatenate([rng.permutation(NEAR_BITS) for _ in range(-(-sets * width // (NEAR_BITS // width * width)))])
+    deck = deck.reshape(-1, NEAR_BITS)[:, : NEAR_BITS // width * width].reshape(-1, width)
+    return deck[:sets]
+
+
+def spanning_forest(i: np.ndarray, j: np.ndarray, cost: np.ndarray, n: int) -> np.ndarray:
+    """Places in (i, j) of a minimum spanning forest: every part takes its cheapest link, until none is left."""
+    order = np.lexsort((j, i, cost))
+    i, j, label, taken = i[order], j[order], np.arange(n), []
+    at = np.arange(len(i))
+    while len(at):
+        a, b = label[i[at]], label[j[at]]
+        at, a, b = at[a != b], a[a != b], b[a != b]
+        if not len(at):
+            break
+        best = np.full(n, len(order))
+        np.minimum.at(best, a, at)
+        np.minimum.at(best, b, at)
+        chosen = np.unique(best[best < len(order)])
+        taken.append(chosen)
+        label = forest(label[i[chosen]], label[j[chosen]], n)[label]
+    return order[np.concatenate(taken)] if taken else np.zeros(0, np.int64)
+
+
+def near_links(distinct: DataFrame, n: int, similarity: float = NEAR, recall: float = RECALL, chunk: int = NEAR_CHUNK) -> DataFrame:
+    """(a, b): fingerprints (column ``print``, binary) within the budget, a minimum spanning forest of each root's links."""
+    places, budget = root_bits(n, similarity, recall), near_budget(similarity)
+    weight = 1 << np.arange(places.shape[1], dtype=np.int64)
+    words = NEAR_BITS // 64
+
+    def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_batches(batches, 1 << 18):
+            prints = b.column("print").to_pylist()
+            bits = np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1), axis=1)
+            for k, at in enumerate(places):
+                yield pa.record_batch({"block": pa.array(np.full(len(prints), k, np.int32)), "root": pa.array(bits[:, at].astype(np.int64) @ weight), "print": pa.array(prints, pa.binary())})
+
+    rows = distinct.select("print").mapInArrow(rooted, "block int, root long, print binary")
+    large = rows.groupBy("block", "root").count().filter(F.col("count") > chunk).select("block", "root", F.ceil(F.col("count") / chunk).cast("long").alias("chunks"))
+    rows = checkpoint(rows).join(large, ["block", "root"], "left")
+    # a chunk of a large root meets every chunk of it
+    mine = F.pmod(F.xxhash64("print"), F.coalesce("chunks", F.lit(1).cast("long")))
+    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1).cast("long")) - 1)))
+    rows = rows.select("block", "root", F.least("mine", "other").alias("n1"), F.greatest("mine", "other").alias("n2"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "print")
+    group = ["block", "root", "n1", "n2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def keys(b: pa.RecordBatch) -> np.ndarray:
+            return np.frombuffer(b"".join(b.column("print").to_pylist()), ">u8").astype(np.uint64).view(np.int64).reshape(-1, words)
+
+        for at in _whole_groups(batches, [*group, "side"], 4, keys):
+            prints, roots = np.ascontiguousarray(at[:, 6:]).view(np.uint64), _roots(at)
+            if not roots:
+                continue
+            i, j = trie_join(prints, roots, budget, NEAR_LEAVES)
+            at = spanning_forest(i, j, differing(prints, i, j), len(prints))
+            if len(at):
+                whole = prints.astype(">u8")
+                yield pa.record_batch({c: pa.array([whole[k].tobytes() for k in x[at].tolist()], pa.binary()) for c, x in (("a", i), ("b", j))})
+
+    return rows.repartition(*group).sortWithinPartitions(*group, "side", "print").mapInArrow(run, "a binary, b binary")
+
+
+def confirmed(links: DataFrame, texts: DataFrame, similarity: float = NEAR) -> DataFrame:
+    """The links (a, b) whose texts (``print``, ``text``; one of each) have a Jaccard similarity of shingles that is large enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_batches(batches):
+            yield pa.record_batch({"print": b.column("print"), "hashes": pa.array([shingle_hashes(t).view(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))})
+
+    links = checkpoint(links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    named = links.select(F.explode(F.array("a", "b")).alias("print")).distinct()
+    sets = checkpoint(texts.join(named, "print", "left_semi").select("print", "text").mapInArrow(run, "print binary, hashes array<long>"))
+    both = links.join(sets.toDF("a", "h"), "a").join(sets.toDF("b", "g"), "b")
+    shared = F.size(F.array_intersect("h", "g"))
+    # the union as a difference: sets have no repeats
+    return both.filter(shared >= similarity * (F.size("h") + F.size("g") - shared)).select("a", "b")
+
+
+def keep_one(documents: DataFrame, similarity: float = NEAR, recall: float = RECALL) -> DataFrame:
+    """One row of each group of near copies, the one of the smallest doc_id, with all its columns.
+
+    Rows without an id come last; of rows of the same id, the one whose text has
+    the smaller hash stays, and of repeated rows the one with the smallest hash of
+    all columns. Texts without a word form one group.
     """
-    kept = checkpoint(near_duplicates(documents).filter("doc_id = component_id").groupBy("doc_id").count())
-    key = F.col("_kept_id")
-    ids = kept.select(F.col("doc_id").alias("_kept_id"), "count")
-    once = documents.join(ids.filter("count = 1").drop("count"), F.col("doc_id") == key, "left_semi")
-    twice = documents.join(ids.filter("count > 1").drop("count"), F.col("doc_id") == key, "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(twice).unionByName(documents.filter("doc_id is null"))
+    text = F.col("text").cast("string")
+    mark = F.xxhash64(text, text.isNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_batches(batches):
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "mark": b.column("mark"), "print": pa.array([wide_fingerprint(t) for t in b.column("text").to_pylist()], pa.binary())})
+
+    chosen = documents.select("doc_id", mark.alias("mark"), text.alias("text"))
+    prints = checkpoint(chosen.mapInArrow(run, f"doc_id {dict(chosen.dtypes)['doc_id']}, mark long, print binary"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    first = checkpoint(prints.groupBy("print").agg(F.min(place).alias("first")))
+    marked = chosen.join(first.select("print", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+    texts = marked.select("print", "text").dropDuplicates(["print"])
+    found = components(confirmed(near_links(first, first.count(), similarity, recall), texts, similarity))
+    linked = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    least = linked.join(first, F.col("node") == F.col("print")).groupBy("root").agg(F.min("first").alias("first"))
+    alone = first.join(linked, F.col("print") == F.col("node"), "left_anti").select("first")
+    kept = checkpoint(alone.unionByName(least.select("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark"))
+    times = prints.withColumnRenamed("mark", "_own").join(kept, same, "left_semi").groupBy("doc_id", "_own").count()
+    times = checkpoint(times.select(F.col("doc_id").alias("_id"), F.col("_own").alias("_mark"), "count"))
+    rows = documents.select(F.struct("*").alias("row"), "doc_id", mark.alias("_own"))
+    once = rows.join(times.filter("count = 1"), same, "left_semi").select("row.*")
+    more = rows.join(times.filter("count > 1"), same, "left_semi").groupBy("doc_id", "_own").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return once.unionByName(more)

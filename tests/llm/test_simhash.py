@@ -124,7 +124,130 @@ def test_components_of_long_chains(spark):
     assert simhash.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-def test_one_of_each_group_stays(make_docs):
-    rows = [(5, "a b c d"), (3, "a b c d"), (3, "a b c d"), (9, "other words stand here"), (None, "a b c d"), (None, None)]
-    kept = simhash.keep_one(make_docs(rows))
-    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, "a b c d"), (9, "other words stand here"), (None, "a b c d"), (None, None)], key=str)
+def shingles(text, n=5):
+    ws = (text or "").lower().split()
+    return {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)} or ({tuple(ws)} if ws else set())
+
+
+def brute_groups(rows):
+    """Groups of places whose texts reach each other over Jaccard similarities of 0.8 and more."""
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = sets[i] | sets[j]
+            if not both or len(sets[i] & sets[j]) / len(both) >= 0.8:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return group
+
+
+def stay(rows):
+    groups = brute_groups(rows)
+    return sorted((min((rows[k] for k in range(len(rows)) if groups[k] == g), key=lambda r: (r[0] is None, r[0])) for g in set(groups)), key=str)
+
+
+def edited(rng, text, n):
+    ws = text.split()
+    for at in rng.sample(range(len(ws)), n):
+        ws[at] = "edit" + str(rng.randrange(10**6))
+    return " ".join(ws)
+
+
+def test_one_of_each_group_of_near_copies_stays(make_docs):
+    rng = random.Random(12)
+    rows = []
+    for n, edits in ((60, 1), (150, 2), (150, 3), (400, 6), (2000, 20), (400, 60)):
+        base = words(rng, n)
+        rows += [(len(rows), base)] + [(len(rows) + 1 + k, edited(rng, base, edits)) for k in range(5)]
+    rows += [(len(rows) + k, words(rng, 80)) for k in range(150)]
+    rng.shuffle(rows)
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(make_docs(rows)).collect()), key=str)
+    assert got == stay(rows)
+    assert len(got) < len(rows) - 15
+
+
+def test_one_of_each_group_stays_with_odd_rows(make_docs):
+    rows = [(5, "a b c d"), (3, "a b c d"), (3, "A b c  d"), (9, "other words stand here"), (None, "a b c d"), (None, "lone words without an id"), (None, None), (7, " "), (8, "")]
+    docs = make_docs(rows)
+    for _ in range(2):
+        kept = sorted(((r.doc_id, (r.text or "").lower().split()) for r in simhash.keep_one(docs).collect()), key=str)
+        assert kept == sorted([(3, "a b c d".split()), (9, "other words stand here".split()), (None, "lone words without an id".split()), (7, [])], key=str)
+        docs = docs.repartition(5)
+    # an id that is repeated with another text loses none, and a copy under it goes
+    one, two = "first text of its own with six", "second text that is quite another one"
+    got = simhash.keep_one(make_docs([(3, one), (3, two)])).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(3, one), (3, two)]
+    got = simhash.keep_one(make_docs([(1, two), (3, one), (3, two)])).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, two), (3, one)]
+    # repeated rows leave one, the same on every run
+    same = make_docs([(4, one, lang, "s") for lang in ("en", "de", "fr", None)] * 3)
+    picks = {tuple(map(tuple, simhash.keep_one(same.repartition(n)).collect())) for n in (1, 2, 5)}
+    assert len(picks) == 1 and len(picks.pop()) == 1
+    assert simhash.keep_one(make_docs([])).collect() == []
+    assert len(simhash.keep_one(make_docs(ODD)).collect()) == len({tuple((t or "").split()) for _, t in ODD})
+
+
+def test_wide_fingerprints_by_hand():
+    text = words(random.Random(3), 90)
+    hashes = sorted({xxhash.xxh64_intdigest(" ".join(s).encode(), 42) for s in shingles(text)})
+    assert simhash.shingle_hashes(text.upper() + "\n").tolist() == hashes
+    full = (1 << 64) - 1
+
+    def mixed(h, k):
+        z = (h + 0x9E3779B97F4A7C15 * (k + 1)) & full
+        z = ((z ^ z >> 30) * 0xBF58476D1CE4E5B9) & full
+        z = ((z ^ z >> 27) * 0x94D049BB133111EB) & full
+        return z ^ z >> 31
+
+    bits = [2 * sum(mixed(h, k) >> b & 1 for h in hashes) > len(hashes) for k in range(4) for b in range(64)]
+    assert np.unpackbits(np.frombuffer(simhash.wide_fingerprint(text), np.uint8)).tolist() == bits
+    assert simhash.wide_fingerprint(None) == simhash.wide_fingerprint(" ") == bytes(32)
+
+
+def test_wide_trie_join_and_forest_equal_brute_force():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, (4, 4), dtype=np.uint64)
+    keys = base[rng.integers(0, 4, 120)]
+    for k in range(120):
+        for at in rng.integers(0, 256, rng.integers(0, 60)):
+            keys[k, at // 64] ^= np.uint64(1) << np.uint64(at % 64)
+    keys = keys[np.lexsort(keys.T[::-1])]
+    bits = lambda a, b: sum(bin(int(x) ^ int(y)).count("1") for x, y in zip(keys[a], keys[b]))
+    want = {(a, b): bits(a, b) for a in range(120) for b in range(a + 1, 120) if bits(a, b) <= 56}
+    for leaves in (16, 1024):
+        i, j = simhash.trie_join(keys, [(0, 120, 0, 120)], 56, leaves)
+        assert {(min(p), max(p)) for p in zip(i.tolist(), j.tolist())} == set(want)
+    cost = simhash.differing(keys, i, j)
+    chosen = simhash.spanning_forest(i, j, cost, 120)
+    parent, total = list(range(120)), 0
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (a, b), c in sorted(want.items(), key=lambda x: x[1]):
+        if root(a) != root(b):
+            parent[root(a)] = root(b)
+            total += c
+    assert len(chosen) == 120 - len({root(k) for k in range(120)}) and cost[chosen].sum() == total
+
+
+def test_large_roots_are_dealt_without_loss(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2, 256)
+    rows = [base ^ (rng.random(256) < 0.1) for _ in range(80)]
+    prints = spark.createDataFrame([(bytearray(np.packbits(r.astype(np.uint8)).tobytes()),) for r in rows], "print binary")
+    for chunk in (4, 1 << 12):
+        edges = [(bytes(r.a), bytes(r.b)) for r in simhash.near_links(prints, 80, chunk=chunk).collect()]
+        parent = {bytes(r.print): bytes(r.print) for r in prints.collect()}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            parent[root(a)] = root(b)
+        assert len({root(x) for x in parent}) == 1
