@@ -404,15 +404,16 @@ def near_links(distinct: DataFrame, n: int, similarity: float = NEAR, recall: fl
 
 
 def confirmed(links: DataFrame, texts: DataFrame, similarity: float = NEAR) -> DataFrame:
-    """The links (a, b) whose texts (``print``, ``text``; one of each) have a Jaccard similarity of shingles that is large enough."""
+    """The links (a, b) whose texts have a Jaccard similarity of shingles that is large enough.
+
+    ``texts``: print and text of each fingerprint that has a link, once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_batches(batches):
             yield pa.record_batch({"print": b.column("print"), "hashes": pa.array([shingle_hashes(t).view(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))})
 
-    links = checkpoint(links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    named = links.select(F.explode(F.array("a", "b")).alias("print")).distinct()
-    sets = checkpoint(texts.join(named, "print", "left_semi").select("print", "text").mapInArrow(run, "print binary, hashes array<long>"))
+    sets = checkpoint(texts.select("print", "text").mapInArrow(run, "print binary, hashes array<long>"))
     both = links.join(sets.toDF("a", "h"), "a").join(sets.toDF("b", "g"), "b")
     shared = F.size(F.array_intersect("h", "g"))
     # the union as a difference: sets have no repeats
@@ -437,9 +438,12 @@ def keep_one(documents: DataFrame, similarity: float = NEAR, recall: float = REC
     prints = checkpoint(chosen.mapInArrow(run, f"doc_id {dict(chosen.dtypes)['doc_id']}, mark long, print binary"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
     first = checkpoint(prints.groupBy("print").agg(F.min(place).alias("first")))
-    marked = chosen.join(first.select("print", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
-    texts = marked.select("print", "text").dropDuplicates(["print"])
-    found = components(confirmed(near_links(first, first.count(), similarity, recall), texts, similarity))
+    pairs = near_links(first, first.count(), similarity, recall)
+    pairs = checkpoint(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # only the texts of fingerprints that have a link are looked at
+    named = first.join(pairs.select(F.explode(F.array("a", "b")).alias("print")), "print", "left_semi").select("print", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
+    texts = chosen.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).dropDuplicates(["print"])
+    found = components(confirmed(pairs, texts, similarity))
     linked = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     least = linked.join(first, F.col("node") == F.col("print")).groupBy("root").agg(F.min("first").alias("first"))
     alone = first.join(linked, F.col("print") == F.col("node"), "left_anti").select("first")
