@@ -26,8 +26,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="fluxlane-checkpoint-"))
+        sc.setCheckpointDir(scratch(df.sparkSession))
     return df.checkpoint()
 
 
@@ -50,6 +49,17 @@ def bounded_sample(df: DataFrame, key: str, bound: int, seed: int) -> DataFrame:
     return df.filter(share < int((1 << 30) * bound / n))
 
 
+def sampled_texts(documents: DataFrame, labels: DataFrame, bound: int, seed: int) -> DataFrame:
+    """text and label of about ``bound`` labelled rows at most; ``labels``: doc_id and label.
+
+    Ids are sampled by a hash. An id of several rows is joined with one label
+    and one text of it (the smallest), so repeats add none.
+    """
+    once = bounded_sample(labels.groupBy("doc_id").agg(F.min("label").alias("label")), "doc_id", bound, seed)
+    found = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(once), "doc_id")  # bound rows of an id and a label
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).select("text", "label")
+
+
 def in_batches(batches: Iterator[pa.RecordBatch], most_chars: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches that hold at most so many bytes, or a single row."""
     for b in batches:
@@ -60,5 +70,15 @@ def in_batches(batches: Iterator[pa.RecordBatch], most_chars: int = 1 << 22) ->
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for tables of a job: spark.checkpoint.dir, or one of our own if that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fluxlane-scratch-")
+    """The shared folder for tables of a job: spark.checkpoint.dir, or, on a local master only, one of our own."""
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="fluxlane-")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours, on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

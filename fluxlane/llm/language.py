@@ -8,7 +8,8 @@ language whose prototype has the largest cosine with its own bundle.
 A text that is null or has no letter is ``und`` with score 0, and so is every
 text if nothing was learned. Equal cosines go to the language first by code
 point. Repeated rows and extra columns change nothing. Blanks frame words;
-digits, marks and white space count as blanks.
+digits, marks and white space count as blanks. Prototypes are bundled from about
+``LANGUAGE_BOUND`` documents of each language, so a rare language has one too.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxlane.llm.common import bounded_sample, crc_bucket, in_batches
+from fluxlane.llm.common import crc_bucket, in_batches
 
 DIMENSIONS = 1024
 #: Letters beyond this number share vectors with others.
 ALPHABET = 4096
-#: Documents that prototypes are bundled from, about, at most.
-TRAIN_BOUND = 4000
+#: Documents that a language's prototype is bundled from, about, at most.
+LANGUAGE_BOUND = 1000
 BLOCK = 1 << 20
 
 
@@ -87,22 +88,24 @@ def _bundled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": list(sums), "vector": [v.tolist() for v in sums.values()]})
 
 
-def fit(documents: DataFrame, bound: int = TRAIN_BOUND, seed: int = 13) -> tuple[list[str], np.ndarray]:
+def fit(documents: DataFrame, bound: int = LANGUAGE_BOUND, seed: int = 13) -> tuple[list[str], np.ndarray]:
     """(languages, unit prototypes), from documents whose crc32(doc_id) mod 4 is not 2.
 
-    A hash sample of about ``bound`` of them is bundled on the executors.
+    A hash sample of about ``bound`` of each language is bundled on the
+    executors; the model, a vector a language, is what comes to the driver.
     """
-    known = documents.select("doc_id", "lang", F.col("text").cast("string").alias("text")).filter((crc_bucket("doc_id", 4) != 2) & F.col("lang").isNotNull())
+    known = documents.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter((crc_bucket("doc_id", 4) != 2) & F.col("lang").isNotNull())
+    # the share of a language that is taken; rows of one id differ by their text
+    share = known.groupBy("lang").agg((F.lit(float(bound)) / F.count("*")).alias("share"))
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = known.join(F.broadcast(share), "lang").filter(draw < F.col("share")).select("lang", "text")  # a row a language, as the model has
     sums: dict[str, np.ndarray] = {}
-    sample = bounded_sample(known.select("doc_id", "lang", "text"), "doc_id", bound, seed)
     for x in sample.mapInPandas(_bundled, "lang string, vector array<double>").collect():
         sums[x["lang"]] = sums.get(x["lang"], 0) + np.array(x["vector"])
     names = sorted(n for n, v in sums.items() if np.any(v))
     if not names:
         return [], np.zeros((0, DIMENSIONS))
-    # what all languages share tells none apart
-    unit = np.stack([sums[n] / np.linalg.norm(sums[n]) for n in names])
-    return names, unit
+    return names, np.stack([sums[n] / np.linalg.norm(sums[n]) for n in names])
 
 
 def identify(documents: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:

@@ -9,7 +9,8 @@ regression weighs them. The learned vector (``w * r``, one float a bucket) has
 Null and empty texts have no feature but the frame of blanks, and get the
 score of that; without any label the score is 0. Ties, repeated rows and extra
 columns change nothing: each row is scored alone, and only the named columns
-are read. Rows with a null id are scored like others.
+are read. Rows with a null id are scored like others. A very long text takes no
+more room than the table of buckets.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxlane.llm.common import bounded_sample, crc_bucket, in_batches
+from fluxlane.llm.common import crc_bucket, in_batches, sampled_texts
 
 HASH_BITS = 20
 ORDERS = (3, 4, 5, 6)
@@ -59,7 +60,22 @@ def ngram_buckets(text: str | None) -> np.ndarray:
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame({"label": b["label"], "buckets": [ngram_buckets(t).tobytes() for t in b["text"]]})
+        yield pd.DataFrame({"label": b["label"], "buckets": [packed(ngram_buckets(t)) for t in b["text"]]})
+
+
+def packed(buckets: np.ndarray) -> bytes:
+    """Buckets as numbers, or, of many, as a bit each: 2 ** HASH_BITS / 8 bytes at most."""
+    if 32 * len(buckets) <= 1 << HASH_BITS:
+        return b"n" + buckets.tobytes()
+    hit = np.zeros(1 << HASH_BITS, bool)
+    hit[buckets] = True
+    return b"b" + np.packbits(hit).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if data[:1] == b"n":
+        return np.frombuffer(data, np.int32, offset=1)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1))).astype(np.int32)
 
 
 def fit(documents: DataFrame, labels: DataFrame, bound: int = TRAIN_BOUND, seed: int = 11) -> tuple[np.ndarray, np.ndarray, float]:
@@ -69,34 +85,49 @@ def fit(documents: DataFrame, labels: DataFrame, bound: int = TRAIN_BOUND, seed:
     their features are made on the executors, from whole texts.
     """
     known = labels.filter((crc_bucket("doc_id", 4) != 2) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").alias("label")).filter("doc_id is not null")
-    sample = bounded_sample(known, "doc_id", bound, seed)
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label").mapInPandas(_features, "label int, buckets binary").collect()
+    rows = sampled_texts(documents, known, bound, seed).mapInPandas(_features, "label int, buckets binary").collect()
     size = 1 << HASH_BITS
     if not rows:
         return np.zeros(size), np.zeros(size), -np.inf
     rows.sort(key=lambda x: (x["label"], hashlib.md5(x["buckets"]).digest()))  # any order will do that all runs share
-    y = np.array([x["label"] for x in rows], float)
-    sets = [np.frombuffer(x["buckets"], np.int32) for x in rows]
-    return fit_ratios(sets, y)
+    return fit_ratios([x["buckets"] for x in rows], np.array([x["label"] for x in rows], float))
+
 
+def fit_ratios(sets: list[bytes], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Log-count ratios and the regression, from the packed buckets and the labels of documents.
 
-def fit_ratios(sets: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Log-count ratios and the regression, from the buckets and labels of documents."""
+    Documents are held as numbers of used buckets, half the room of the packed
+    ones at the most, and walked in batches.
+    """
     counts = np.zeros((2, 1 << HASH_BITS))
-    for buckets, label in zip(sets, y, strict=True):
-        counts[int(label), buckets] += 1
+    for data, label in zip(sets, y, strict=True):
+        counts[int(label), unpacked(data)] += 1
     ratio = np.log((counts[1] + 1) / (y.sum() + 2)) - np.log((counts[0] + 1) / ((1 - y).sum() + 2))
     ratio[(counts.sum(0) < LEAST_DOCS) | (np.abs(ratio) < LEAST_RATIO)] = 0
-    sets = [b[ratio[b] != 0] for b in sets]
-    row, col = np.repeat(np.arange(len(y), dtype=np.int32), [len(b) for b in sets]), np.concatenate(sets)
-    used, col = np.unique(col, return_inverse=True)
+    used = np.flatnonzero(ratio)
+    place = np.full(1 << HASH_BITS, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    held = []
+    for data in sets:
+        at = place[unpacked(data)]
+        held.append(at[at >= 0])
     r = ratio[used]
-    value = r[col] * (LENGTH / np.sqrt(np.maximum(np.bincount(row, r[col] ** 2, len(y)), 1e-12)))[row]
+    scale = np.array([LENGTH / np.sqrt(max((r[at] ** 2).sum(), 1e-12)) for at in held])
+    step_by = 256
+    batches = []
+    for at in range(0, len(y), step_by):
+        part = held[at : at + step_by]
+        batches.append((slice(at, at + len(part)), np.repeat(np.arange(len(part)), [len(x) for x in part]), np.concatenate(part)))
     w, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, STEPS + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[col], len(y)) + w[-1], -30, 30)))
-        miss = (p - y) / len(y)
-        grad = np.append(np.bincount(col, value * miss[row], len(used)) + PENALTY * w[:-1], miss.sum())
+        grad, by_bucket = PENALTY * w, r * w[:-1]
+        grad[-1] = 0
+        for rows, row, col in batches:
+            k = scale[rows]
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, by_bucket[col], len(k)) * k + w[-1], -30, 30)))
+            miss = (p - y[rows]) / len(y)
+            grad[:-1] += np.bincount(col, (miss * k)[row], len(used)) * r
+            grad[-1] += miss.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     weights = np.zeros(1 << HASH_BITS)
@@ -117,7 +148,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float], thr
                 at = ngram_buckets(text)
                 norm = float(square[at].sum(dtype=float))
                 z = b + (LENGTH / np.sqrt(norm) * float(w[at].sum(dtype=float)) if norm else 0.0)
-                out[i] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+                out[i] = 0.0 if z == -np.inf else 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": out, "predicted": (out >= threshold).astype(np.int32)})
 
     chosen = documents.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), F.col("text").cast("string").alias("text"))
