@@ -6,13 +6,16 @@ id). Validators must agree: entity tags by weak comparison if both have one,
 else modification dates, else payload digests. Then the response's headers are
 taken, and those that a 304 answer may bring replace or join them.
 
-The as-of join cuts time into ``SLICES`` quantile slices. A revisit looks at
+The as-of join sorts all events by time (then by URL, and of an instant revisits
+first) and cuts them into slices of about ``SLICE_ROWS`` rows. A revisit looks at
 its own slice of the URL first, and else at the last response of the slices
-before, of which a URL has no more than ``SLICES``: no URL meets in one task.
+before. So neither a URL nor one instant of it meets in one task, whatever its
+share of the crawl.
 
-Rows of null url or time never match; null ids, headers and validators are
-kept as null. Repeated revisits are resolved each; repeated responses count as
-one. An empty table gives no rows. Extra columns are ignored.
+Revisits of null url or time never match and pass by the join; null ids,
+headers and validators are kept as null. Repeated revisits are resolved each;
+repeated responses count as one. An empty table gives no rows. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from fluxlane.llm.common import checkpoint, load
 
-SLICES = 256
+SLICE_ROWS, LEAST_SLICES = 1 << 17, 16
 #: Headers of a 304 answer that replace those stored. Fixed values (RFC 9110, section 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 SCHEMA = "record_id bigint, url string, ts bigint, kind string, etag string, last_modified string, digest string, headers map<string,string>"
@@ -51,7 +54,7 @@ def merged_headers(stored: Column, new: Column) -> Column:
     return F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(left, brought))))
 
 
-def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
+def resolve(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """A row for each revisit: record_id, canonical_url, ts, response_id, outcome, headers and digest.
 
     outcome: ``resolved``, ``mismatch`` (validators differ; the response's id is
@@ -59,27 +62,29 @@ def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
     response). headers and digest are those of the resolved answer, else null.
     """
     known = records.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "ts", "kind", "etag", "last_modified", "digest", "headers")
-    at = [i / slices for i in range(1, slices)]
-    edges = sorted(set(known.filter("ts is not null").approxQuantile("ts", at, 0.5 / slices))) if at else []
-    cut = F.size(F.filter(F.array(*[F.lit(int(e)) for e in edges]).cast("array<bigint>"), lambda e: e <= F.col("ts"))) if edges else F.lit(0)
-    known = known.withColumn("slice", cut)
+    placed = F.col("canonical_url").isNotNull() & F.col("ts").isNotNull()
     answer = F.struct(F.col("ts").alias("at"), F.col("record_id").alias("id"), "etag", "last_modified", "digest", "headers")
-    full = known.filter("kind = 'response' and canonical_url is not null and ts is not null").select("canonical_url", "slice", "ts", "record_id", answer.alias("answer"))
+    full = known.filter((F.col("kind") == "response") & placed).select("canonical_url", "ts", "record_id", answer.alias("answer"))
+    # of responses at one time the largest id counts
+    full = full.groupBy("canonical_url", "ts").agg(F.max("record_id").alias("record_id"), F.max_by("answer", F.struct(F.col("record_id").isNotNull(), "record_id")).alias("answer"))
     asked = known.filter("kind = 'revisit'").drop("kind")
-    # one stream of events by URL and slice: at the same time revisits come first
+    kind = full.schema["answer"].dataType
+    # one stream of events: at the same time revisits come first
     events = (
-        full.select("canonical_url", "slice", "ts", F.lit(1).alias("late"), "record_id", "answer", F.lit(None).cast(asked.schema).alias("ask"))
-        .unionByName(asked.select("canonical_url", "slice", "ts", F.lit(0).alias("late"), "record_id", F.lit(None).cast(full.schema["answer"].dataType).alias("answer"), F.struct(*asked.columns).alias("ask")))
+        full.select("canonical_url", "ts", F.lit(1).alias("late"), "record_id", "answer", F.lit(None).cast(asked.schema).alias("ask"))
+        .unionByName(asked.filter(placed).select("canonical_url", "ts", F.lit(0).alias("late"), "record_id", F.lit(None).cast(kind).alias("answer"), F.struct(*asked.columns).alias("ask")))
     )
-    w = Window.partitionBy("canonical_url", "slice").orderBy("ts", "late", F.col("record_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    slices = max(LEAST_SLICES, -(-known.count() // slice_rows))
+    spread = F.xxhash64("canonical_url"), F.col("late"), F.xxhash64(F.col("record_id").cast("string"))
+    events = checkpoint(events.repartitionByRange(slices, "ts", *spread).withColumn("slice", F.spark_partition_id()))
+    w = Window.partitionBy("canonical_url", "slice").orderBy("ts", "late").rowsBetween(Window.unboundedPreceding, -1)
     own = events.withColumn("own", F.last("answer", ignorenulls=True).over(w)).filter("late = 0")
     # the newest response of each slice, carried into the slices after it
-    newest = full.groupBy("canonical_url", "slice").agg(F.max_by("answer", F.struct("ts", "record_id")).alias("answer"))
-    stops = newest.unionByName(asked.select("canonical_url", "slice").filter("canonical_url is not null").distinct().withColumn("answer", F.lit(None).cast(full.schema["answer"].dataType)))
-    stops = stops.groupBy("canonical_url", "slice").agg(F.max_by("answer", F.col("answer").isNotNull()).alias("answer"))
+    stops = events.groupBy("canonical_url", "slice").agg(F.max_by("answer", F.when(F.col("late") == 1, F.col("ts"))).alias("answer"))
     back = Window.partitionBy("canonical_url").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = stops.select("canonical_url", "slice", F.last("answer", ignorenulls=True).over(back).alias("before")).filter("before is not null")
-    out = own.join(carried, ["canonical_url", "slice"], "left").select("ask.*", F.when(F.col("ts").isNotNull() & F.col("canonical_url").isNotNull(), F.coalesce("own", "before")).alias("found"))
+    out = own.join(carried, ["canonical_url", "slice"], "left").select("ask.*", F.coalesce("own", "before").alias("found"))
+    out = out.unionByName(asked.filter(~placed).withColumn("found", F.lit(None).cast(kind)))
     both = lambda c: F.col(c).isNotNull() & F.col(f"found.{c}").isNotNull()
     agrees = (
         F.when(both("etag"), _weak(F.col("etag")) == _weak(F.col("found.etag")))

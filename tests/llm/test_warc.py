@@ -55,6 +55,18 @@ def test_ties_repeats_and_empty(spark):
     assert {r.record_id: r.body for r in warc.attach_bodies(warc.resolve(records(spark, rows)), bodies).collect()} == {3: None, 4: "two"}
 
 
+def test_a_hot_url_and_a_hot_instant_are_split(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, "http://hot.example.com/", 50 if i % 2 else rng.randrange(100), "revisit" if i % 3 else "response", '"a"', None, None, None) for i in range(1500)]
+    rows += [(2000 + i, None, i, "revisit", '"a"', None, None, None) for i in range(700)] + [(3000, "http://hot.example.com/", None, "response", '"a"', None, None, None)]
+    seen, cut = [], warc.checkpoint
+    monkeypatch.setattr(warc, "checkpoint", lambda df: seen.append(cut(df)) or seen[-1])
+    got = sorted(((r.record_id, r.response_id, r.outcome, r.headers) for r in warc.resolve(records(spark, rows), 100).collect()), key=str)
+    assert got == brute(rows, lambda u: u)
+    slices = seen[0].groupBy("canonical_url", "slice").count().collect()
+    assert len(slices) >= 8 and max(r["count"] for r in slices) < 300 and all(r.canonical_url for r in slices)
+
+
 def test_canonical_urls(spark):
     urls = {
         "http://WWW.Example.com:80/A/?utm_source=feed#top": "example.com/A", "https://example.com/A?page=2&ref=x": "example.com/A?page=2", "https://example.com/A?ref=x&page=2": "example.com/A?page=2",
