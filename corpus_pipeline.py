@@ -3,6 +3,15 @@
 Every stage takes (spark, docs, sf_dir) and works on all that the one before it
 kept; ``docs`` has the columns of ``documents``, and so has what all stages but
 the last return.
+
+Null, empty and blank texts score 0 in the quality classifier and go, as does
+every document if there are no labels to learn from. In the later stages, which
+work by themselves too, they are near copies of each other, hold no item and no
+secret, and have no words to take. Rows with a null id or source are treated
+like others. Of repeated rows and of near copies one stays, whichever stage
+follows; ties are settled by id, then by hashes of the row. Very long texts go
+through whole. Empty tables give empty tables, and columns beside those of
+``documents`` are carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from fluxlane.llm import decontamination, mixing, quality, secrets, simhash
-from fluxlane.llm.common import load, scratch
+from fluxlane.llm.common import load, remove, scratch
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +30,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays, that of the smallest id."""
     return simhash.keep_one(docs)
 
 
@@ -53,11 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
+    """All stages over ``documents``; each stage's rows are written to the shared folder, read again, and deleted once the next stage's are there."""
     docs = load(spark, sf_dir, "documents")
     folder = f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
     for n, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{n}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if n:
+            remove(spark, f"{folder}/{n - 1}")
     return docs
