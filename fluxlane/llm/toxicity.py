@@ -113,11 +113,12 @@ def fit_ratios(sets: list[bytes], y: np.ndarray) -> tuple[np.ndarray, np.ndarray
         held.append(at[at >= 0])
     r = ratio[used]
     scale = np.array([LENGTH / np.sqrt(max((r[at] ** 2).sum(), 1e-12)) for at in held])
-    step_by = 256
+    step_by = 256  # rows of a batch are told by a byte
     batches = []
     for at in range(0, len(y), step_by):
         part = held[at : at + step_by]
-        batches.append((slice(at, at + len(part)), np.repeat(np.arange(len(part)), [len(x) for x in part]), np.concatenate(part)))
+        batches.append((slice(at, at + len(part)), np.repeat(np.arange(len(part), dtype=np.uint8), [len(x) for x in part]), np.concatenate(part)))
+    del held
     w, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, STEPS + 1):
         grad, by_bucket = PENALTY * w, r * w[:-1]
