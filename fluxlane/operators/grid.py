@@ -6,6 +6,7 @@ along rows and columns, so they are dealt out like any join.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -38,8 +39,11 @@ class Axes:
 
 
 def axes(grid: DataFrame) -> Axes:
-    """From one row of aggregates; a step is (last - first) / (n - 1)."""
-    r = grid.agg(F.min("xx"), F.max("xx"), F.min("yy"), F.max("yy"), F.min("ix"), F.max("ix"), F.min("iy"), F.max("iy")).first()
+    """From one row of aggregates; a step is (last - first) / (n - 1). The grid must be of one map."""
+    name = F.col("map_name") if "map_name" in grid.columns else F.lit(None).cast("string")
+    r = grid.agg(F.min("xx"), F.max("xx"), F.min("yy"), F.max("yy"), F.min("ix"), F.max("ix"), F.min("iy"), F.max("iy"), F.min(name), F.max(name)).first()
+    if r[8] != r[9]:
+        raise ValueError(f"a grid of one map is needed, not of {r[8]} and {r[9]}")
     nx, ny = r[5] - r[4] + 1, r[7] - r[6] + 1
     dx, dy = (r[1] - r[0]) / max(nx - 1, 1), (r[3] - r[2]) / max(ny - 1, 1)
     return Axes(r[0] - r[4] * dx, r[2] - r[6] * dy, dx, dy, nx, ny, r[4], r[6])
@@ -196,7 +200,8 @@ def resample(grid: DataFrame, new: Axes, name: str | None = None) -> DataFrame:
 
 
 def combine(grid: DataFrame, fallback: DataFrame) -> DataFrame:
-    """Cells of ``grid``; those without data take the fallback's value at the same cell, 0 if it has none."""
+    """Cells of ``grid``; those without data take the fallback's value at the same cell, 0 if it has none. The fallback must be of one map."""
+    axes(fallback)
     other = fallback.select("ix", "iy", F.col("val").alias("_other"))
     return grid.join(other, ["ix", "iy"], "left").withColumn("val", F.when(is_missing(F.col("val")), F.coalesce("_other", F.lit(0.0))).otherwise(F.col("val"))).drop("_other").select(*grid.columns)
 
@@ -294,9 +299,31 @@ class Interpolant:
         return out
 
     def gradient(self, lat: float, lon: float, delta: float = 1e-8) -> np.ndarray:
-        """Central differences along latitude and longitude."""
+        """Slopes along latitude and longitude: exact on a cubic surface, else central differences."""
+        if self.kind == "cubic":
+            return self.value_and_slopes(lat, lon)[1]
         return np.array([(self(lat + delta, lon) - self(lat - delta, lon)) / (2 * delta), (self(lat, lon + delta) - self(lat, lon - delta)) / (2 * delta)])
 
+    def value_and_slopes(self, lat: float, lon: float) -> tuple[float, np.ndarray]:
+        """Value and slopes at one point, from one 4 x 4 patch; beyond the edges the surface is level."""
+        if self.kind != "cubic":
+            return float(self(lat, lon)), self.gradient(lat, lon)
+        (i, wy, sy), (j, wx, sx) = (
+            _patch((at - zero) / (step or 1), n) for at, zero, step, n in ((lat, self.a.y0, self.a.dy, self.values.shape[0]), (lon, self.a.x0, self.a.dx, self.values.shape[1]))
+        )
+        across = self.coef[i : i + 4, j : j + 4] @ np.array((wx, sx)).T
+        (value, east), (north, _) = (np.array((wy, sy)) @ across).tolist()
+        return value, np.array([north / (self.a.dy or 1), east / (self.a.dx or 1)])
+
+
+def _patch(f: float, n: int) -> tuple[int, tuple, tuple]:
+    """First node of the patch of place ``f`` on an axis of ``n`` nodes, the weights there and their derivatives."""
+    i = min(max(math.floor(f), 0), max(n - 2, 0))
+    u = min(max(f - i, 0.0), 1.0)
+    if u != f - i:
+        return i, _weights(u), (0.0, 0.0, 0.0, 0.0)
+    return i, _weights(u), (-((1 - u) ** 2) / 2, (3 * u**2 - 4 * u) / 2, (-3 * u**2 + 2 * u + 1) / 2, u**2 / 2)
+
 
 def _weights(u: np.ndarray) -> tuple:
     return (1 - u) ** 3 / 6, (3 * u**3 - 6 * u**2 + 4) / 6, (-3 * u**3 + 3 * u**2 + 3 * u + 1) / 6, u**3 / 6

@@ -174,12 +174,13 @@ class State:
     t: float | None = None
 
 
-def measurement_row(surface: Interpolant, lat: float, lon: float, size: int) -> np.ndarray:
-    """Derivative of the measurement by the state: the map's slope, and one for the bias."""
+def measurement(surface: Interpolant, lat: float, lon: float, size: int) -> tuple[float, np.ndarray]:
+    """The map's value, and the derivative of the measurement by the state: the map's slope, and one for the bias."""
+    value, slopes = surface.value_and_slopes(lat, lon)
     h = np.zeros(size)
-    h[:2] = surface.gradient(lat, lon)
+    h[:2] = slopes
     h[-1] = 1
-    return h
+    return value, h
 
 
 def noise_now(m: Model, residuals: Sequence[float], spread: float) -> float:
@@ -195,8 +196,8 @@ def noise_now(m: Model, residuals: Sequence[float], spread: float) -> float:
 def update(s: State, z: float, lat: float, lon: float, surface: Interpolant, m: Model, extra_h: np.ndarray | None = None, extra_value: float = 0.0, noise_factor: float = 1.0) -> tuple[State, float]:
     """One measurement update: the state after it (before it is propagated) and the residual."""
     at = (lat + s.x[0], lon + s.x[1])
-    residual = z - (float(surface(*at)) + extra_value + s.x[-1])
-    h = measurement_row(surface, *at, len(s.x))
+    value, h = measurement(surface, *at, len(s.x))
+    residual = z - (value + extra_value + s.x[-1])
     if extra_h is not None:
         h[17 : 17 + len(extra_h)] = extra_h
     ph = s.p @ h
@@ -251,7 +252,7 @@ def lower_bound(motion: np.ndarray, cnb: np.ndarray, surface: Interpolant, m: Mo
     phi, q, p = transition(motion, cnb, m), process_noise(m), initial_covariance(m, motion[0, 0])
     out = np.zeros((len(motion), m.size, m.size))
     for i in range(len(motion)):
-        h = measurement_row(surface, motion[i, 0], motion[i, 1], m.size)
+        h = measurement(surface, motion[i, 0], motion[i, 1], m.size)[1]
         ph = p @ h
         p = p - np.outer(ph, ph) / (h @ ph + m.noise)
         out[i] = p = (p + p.T) / 2
@@ -335,8 +336,8 @@ def recursive_least_squares(jacobian: np.ndarray, p0: float = 1.0) -> np.ndarray
 FILTER_SCHEMA = "tt double, x array<double>, p array<double>, residual double, converged boolean"
 
 
-def run_filter(df: DataFrame, order: Order, surface: Interpolant, m: Model, kind: str = "ekf", z: str = "z", tt: str = "tt", extra: Sequence[str] = (), x0: Sequence[float] = (), noise_factor: str | None = None, particles: int = 1000, seed: int = 2) -> DataFrame:
-    """States and covariances (row after row) of every sample of every line.
+def run_filter(df: DataFrame, order: Order, surface: Interpolant, m: Model, kind: str = "ekf", z: str = "z", tt: str = "tt", extra: Sequence[str] = (), x0: Sequence[float] = (), noise_factor: str | None = None, particles: int = 1000, seed: int = 2, full: bool = True) -> DataFrame:
+    """States and covariances (row after row, or, unless ``full``, the variances alone) of every sample of every line.
 
     ``df`` has MOTION's columns, ``cnb`` (array of nine, row after row) and the
     measurement. kind: ekf, online (learns the coefficients of the columns
@@ -359,7 +360,8 @@ def run_filter(df: DataFrame, order: Order, surface: Interpolant, m: Model, kind
             h = pdf[list(extra)].to_numpy(float) if kind == "online" else None
             factor = pdf[noise_factor].to_numpy(float) if kind == "noise" else None
             xs, ps, rs = ekf(motion, cnb, values, shared.value, m, h, np.asarray(x0, float) if kind == "online" else None, factor)
-        out = pd.DataFrame({"tt": pdf[tt].to_numpy(float)[: len(xs)], "x": list(xs), "p": [p.ravel() for p in ps], "residual": rs, "converged": done})
+        flat = ps.reshape(len(ps), -1) if full else np.diagonal(ps, axis1=1, axis2=2)
+        out = pd.DataFrame({"tt": pdf[tt].to_numpy(float)[: len(xs)], "x": list(xs), "p": list(flat), "residual": rs, "converged": done})
         for c in reversed(order.by):
             out.insert(0, c, pdf[c].iloc[0])
         return out
@@ -372,9 +374,9 @@ def run_filter(df: DataFrame, order: Order, surface: Interpolant, m: Model, kind
 STATES = ("lat", "lon", "alt", "vn", "ve", "vd", "tn", "te", "td", "ha", "ah", "ax", "ay", "az", "gx", "gy", "gz")
 
 
-def deviations(filtered: DataFrame, lat: Column, size: int) -> DataFrame:
-    """Standard deviations from covariances: <state>_std, the bias's (the last state) and n_std, e_std in metres."""
-    std = lambda i: F.sqrt(F.greatest(F.element_at("p", i * size + i + 1), F.lit(0.0)))
+def deviations(filtered: DataFrame, lat: Column, size: int, full: bool = True) -> DataFrame:
+    """Standard deviations from covariances (variances alone unless ``full``): <state>_std, the bias's (the last state) and n_std, e_std in metres."""
+    std = lambda i: F.sqrt(F.greatest(F.element_at("p", (i * size + i if full else i) + 1), F.lit(0.0)))
     named = {f"{n}_std": std(i) for i, n in enumerate(STATES)} | {"fogm_std": std(size - 1)}
     return filtered.withColumns(named).withColumns({"n_std": geodesy.lat_to_north(F.col("lat_std"), lat), "e_std": geodesy.lon_to_east(F.col("lon_std"), lat)})
 

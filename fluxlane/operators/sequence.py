@@ -127,15 +127,20 @@ def pin_start(df: DataFrame, order: Order, lat: str, lon: str, true_lat: str, tr
 def gauss_markov(df: DataFrame, order: Order, noise: str, sigma: float, tau: float, dt: float, out: str = "fogm") -> DataFrame:
     """First-order Gauss-Markov sequence of given unit noise: x1 = sigma w, then x = phi x + sqrt(q) w.
 
-    The recursion is linear, so it is folded inside an ordered array of each sequence.
+    A recursion along each sequence: one task a sequence, in time linear in its samples.
     """
     phi, q = float(np.exp(-dt / tau)), float(np.sqrt(2 * sigma**2 / tau * dt))
-    rows = df.withColumn("_rn", F.row_number().over(order.window)).groupBy(*order.by).agg(F.array_sort(F.collect_list(F.struct("_rn", F.struct(*df.columns).alias("row")))).alias("_rows"))
-    fold = F.aggregate(
-        "_rows", F.array().cast("array<double>"),
-        lambda a, r: F.concat(a, F.array(F.when(F.size(a) == 0, sigma * r["row"][noise]).otherwise(phi * F.element_at(a, -1) + q * r["row"][noise]))),
-    )
-    return rows.select("_rows", fold.alias("_x")).select(F.explode(F.arrays_zip("_rows", "_x")).alias("_z")).select("_z._rows.row.*", F.col("_z._x").alias(out))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(order.along), kind="stable")
+        x, made = 0.0, []
+        for k, w in enumerate(pdf[noise].tolist()):
+            x = phi * x + q * w if k else sigma * w
+            made.append(x)
+        return pdf.assign(**{out: made})
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in [*df.dtypes, (out, "double")])
+    return df.groupBy(*order.by).applyInPandas(run, schema)
 
 
 def butterworth(low: float, high: float, fs: float = 10.0, poles: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -164,14 +169,14 @@ def butterworth(low: float, high: float, fs: float = 10.0, poles: int = 4) -> tu
 
 
 def _filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    out = np.empty_like(x)
-    z = state.copy()
-    for i, v in enumerate(x):
-        y = b[0] * v + z[0]
-        z[:-1] = b[1:-1] * v + z[1:] - a[1:-1] * y
-        z[-1] = b[-1] * v - a[-1] * y
-        out[i] = y
-    return out
+    """The recursion sample by sample, on plain numbers: blocks of it lose digits where poles lie near the unit circle."""
+    b0, last_b, last_a, taps, out, z = float(b[0]), float(b[-1]), float(a[-1]), list(zip(b[1:-1].tolist(), a[1:-1].tolist(), strict=True)), [], state.tolist()
+    for v in x.tolist():
+        y = b0 * v + z[0]
+        z = [bk * v + zk - ak * y for (bk, ak), zk in zip(taps, z[1:], strict=True)]
+        z.append(last_b * v - last_a * y)
+        out.append(y)
+    return np.array(out)
 
 
 def zero_phase(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:

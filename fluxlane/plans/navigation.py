@@ -55,8 +55,8 @@ def measured(rows: DataFrame) -> DataFrame:
 
 
 def _filtered(spark: SparkSession, sf_dir: str, kind: str, m: nav.Model = MODEL, **more) -> DataFrame:
-    out = nav.run_filter(measured(path(spark, sf_dir)), PATH, surface(), m, kind, **more)
-    return nav.deviations(out, F.lit(LAT0), m.size).select("line", "tt", F.element_at("x", 1).alias("d_lat"), F.element_at("x", 2).alias("d_lon"), F.element_at("x", -1).alias("bias"), "n_std", "e_std", "residual", "converged")
+    out = nav.run_filter(measured(path(spark, sf_dir)), PATH, surface(), m, kind, full=False, **more)
+    return nav.deviations(out, F.lit(LAT0), m.size, full=False).select("line", "tt", F.element_at("x", 1).alias("d_lat"), F.element_at("x", 2).alias("d_lon"), F.element_at("x", -1).alias("bias"), "n_std", "e_std", "residual", "converged")
 
 
 @query()

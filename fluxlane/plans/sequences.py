@@ -170,9 +170,17 @@ def filtfilt_bandpass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.bandpass(signal(spark, sf_dir).select("line", "tt", "event_id", "value"), SIGNAL, ["value"])
 
 
-@query()
+@query(f"""WITH {ROWS_SQL}, size AS (SELECT line, least(64, max(n)) AS m, max(n) AS n FROM w GROUP BY line),
+starts AS (SELECT line, m, unnest(range(0, n - m + 1, greatest(1, m // 2))) AS s FROM size),
+part AS (SELECT st.line, st.m, s, rn - 1 - s AS k, value * CASE WHEN st.m > 1 THEN 0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * (rn - 1 - s) / (st.m - 1)) ELSE 1 END AS x FROM starts st JOIN w ON w.line = st.line AND rn - 1 >= s AND rn - 1 < s + st.m),
+bins AS (SELECT line, m, s, k, x, unnest(range(m // 2 + 1)) AS j FROM part),
+spectrum AS (SELECT line, m, s, j, pow(sum(x * cos(2 * pi() * j * k / m)), 2) + pow(sum(x * sin(2 * pi() * j * k / m)), 2) AS p FROM bins GROUP BY ALL),
+energy AS (SELECT m, sum(pow(CASE WHEN m > 1 THEN 0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * k / (m - 1)) ELSE 1 END, 2)) AS e FROM (SELECT m, unnest(range(m)) AS k FROM (SELECT DISTINCT m FROM size)) GROUP BY m)
+SELECT line, round(j * 10.0 / m, 6) AS frequency, round(avg(p) / (10.0 * any_value(e)) * CASE WHEN j >= 1 AND j < (m + 1) // 2 THEN 2 ELSE 1 END, 4) + 0.0 AS power
+FROM spectrum JOIN energy USING (m) GROUP BY line, j, m""")
 def power_spectral_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.power_spectrum(signal(spark, sf_dir), SIGNAL, "value", 10.0, 64)
+    found = sequence.power_spectrum(signal(spark, sf_dir), SIGNAL, "value", 10.0, 64)
+    return rounded(found.select("line", F.round("frequency", 6).alias("frequency"), F.round("power", 4).alias("power")))
 
 
 @query(f"""WITH RECURSIVE {ROWS_SQL}, g AS (SELECT line, rn, event_id, 3.0 * (value / 100 - 1) AS x FROM w WHERE rn = 1

@@ -16,15 +16,19 @@ from fluxlane.operators.grid import Interpolant
 OUT = "line long, tt double, d_lat double, d_lon double, bias double, residual double"
 
 
-def filtered(samples: DataFrame, surface: Interpolant, m: nav.Model) -> DataFrame:
+def filtered(samples: DataFrame, surface: Interpolant, m: nav.Model, idle_ms: int | None = None) -> DataFrame:
     """Filter outputs of a streaming frame with line, tt, MOTION's columns, cnb and z.
 
     The state of a line (x, P, time, latest residuals) is kept between batches.
     Samples of a batch are taken in order of time; one that isn't later than the
-    line's last is skipped.
+    line's last is skipped. With ``idle_ms``, the state of a line without samples
+    for that long goes, and later samples of it begin anew.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         s = pickle.loads(state.get[0]) if state.exists else None
         rows = pd.concat(list(frames)).sort_values("tt", kind="stable")
         out = []
@@ -34,9 +38,11 @@ def filtered(samples: DataFrame, surface: Interpolant, m: nav.Model) -> DataFram
             s, x, _, residual = nav.step(s, r["tt"], np.array([r[c] for c in nav.MOTION]), np.asarray(r["cnb"], float).reshape(3, 3), r["z"], surface, m)
             out.append((key[0], r["tt"], x[0], x[1], x[-1], residual))
         state.update((pickle.dumps(s),))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["line", "tt", "d_lat", "d_lon", "bias", "residual"])
 
-    return samples.groupBy("line").applyInPandasWithState(run, OUT, "state binary", "append", "NoTimeout")
+    return samples.groupBy("line").applyInPandasWithState(run, OUT, "state binary", "append", "NoTimeout" if idle_ms is None else "ProcessingTimeTimeout")
 
 
 def filter_stream(samples: DataFrame, surface: Interpolant, m: nav.Model) -> DataFrame:

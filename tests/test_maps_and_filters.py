@@ -244,3 +244,25 @@ def test_maps_models_and_paths(spark, tmp_path):
     assert tables.with_extension("a.CSV", ".csv") == "a.csv" and set(tables.with_fields(a, ["w"]).columns) == {"k", "v", "w"}
     with pytest.raises(ValueError):
         tables.has_fields(a, {"v": "string"})
+
+
+def test_grids_of_two_maps_are_refused(spark):
+    one = spark.createDataFrame([("a", y, x, float(y), float(x), 1.0 + x) for y in range(3) for x in range(3)], "map_name string, iy int, ix int, yy double, xx double, val double")
+    two = one.union(one.withColumn("map_name", F.lit("b")))
+    assert g.axes(one).nx == 3
+    for call in (lambda: g.axes(two), lambda: g.fill(two), lambda: g.combine(one, two), lambda: g.interpolant(two)):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_slopes_of_a_patch_equal_differences():
+    rng = np.random.default_rng(4)
+    s = g.Interpolant(rng.normal(size=(6, 7)), g.Axes(1.0, 2.0, 0.5, 0.25, 7, 6))
+    for lat, lon in [(2.3, 1.7), (2.0, 1.0), (3.24, 3.99), (0.0, 9.0)]:
+        value, slopes = s.value_and_slopes(lat, lon)
+        d = 1e-6
+        inside = 2.01 < lat < 3.24 and 1.01 < lon < 3.99
+        assert np.isclose(value, float(s(lat, lon)))
+        if inside:
+            assert np.allclose(slopes, [(s(lat + d, lon) - s(lat - d, lon)) / (2 * d), (s(lat, lon + d) - s(lat, lon - d)) / (2 * d)], atol=1e-5)
+    assert s.value_and_slopes(0.0, 9.0)[1].tolist() == [0.0, 0.0]
