@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,3 +110,54 @@ def field_plane(v_body: list[Column], field_nav: list[Column], body_nav: list[li
 def velocities(east: Column, north: Column, up: Column, dt: float) -> tuple[Column, Column, Column]:
     """(vn, ve, vd) of differences of position over one step."""
     return north / dt, east / dt, -up / dt
+
+
+#: Fixed values of the Universal Transverse Mercator grid: flattening (WGS 84), scale on the central meridian, false easting and northing.
+FLATTENING, UTM_SCALE, UTM_EAST, UTM_NORTH = 1 / 298.257223563, 0.9996, 500_000.0, 10_000_000.0
+_N = FLATTENING / (2 - FLATTENING)
+_RECTIFIED = EARTH_RADIUS / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+
+
+def _series(*rows: tuple[float, ...]) -> list[float]:
+    """Coefficients of a series in the third flattening: a row a harmonic, by rising power from its own order on."""
+    return [sum(c * _N ** (k + j) for k, c in enumerate(row)) for j, row in enumerate(rows, 1)]
+
+
+#: Krueger's series to the fourth order, forward, inverse, and from conformal to geodetic latitude.
+KRUEGER_TO = _series((1 / 2, -2 / 3, 5 / 16, 41 / 180), (13 / 48, -3 / 5, 557 / 1440), (61 / 240, -103 / 140), (49561 / 161280,))
+KRUEGER_FROM = _series((1 / 2, -2 / 3, 37 / 96, -1 / 360), (1 / 48, 1 / 15, -437 / 1440), (17 / 480, -37 / 840), (4397 / 161280,))
+GEODETIC = _series((2, -2 / 3, -2, 116 / 45), (7 / 3, -8 / 5, -227 / 45), (56 / 15, -136 / 35), (4279 / 630,))
+
+
+def _harmonics(coefficients: list[float], wave: Callable[[Column], Column], x: Column, swell: Callable[[Column], Column] | None = None, y: Column | None = None) -> Column:
+    terms = [c * wave(2 * j * x) * (swell(2 * j * y) if swell else F.lit(1.0)) for j, c in enumerate(coefficients, 1)]
+    return sum(terms[1:], terms[0])
+
+
+def utm_zone(lon: Column) -> Column:
+    """The zone of a longitude: 1 from 180 degrees west on, in steps of 6 degrees."""
+    return (F.floor((F.degrees(lon) + 180) / 6) % 60 + 1).cast("int")
+
+
+def central_meridian(zone: Column) -> Column:
+    return F.radians(zone * 6 - 183)
+
+
+def to_utm(lat: Column, lon: Column, zone: Column) -> tuple[Column, Column]:
+    """(easting, northing) in a zone, by Krueger's series; south of the equator with the false northing."""
+    e = 2 * _N**0.5 / (1 + _N)
+    t = F.sinh(F.atanh(F.sin(lat)) - e * F.atanh(e * F.sin(lat)))
+    d = lon - central_meridian(zone)
+    xi, eta = F.atan2(t, F.cos(d)), F.atanh(F.sin(d) / F.sqrt(1 + t * t))
+    east = UTM_EAST + UTM_SCALE * _RECTIFIED * (eta + _harmonics(KRUEGER_TO, F.cos, xi, F.sinh, eta))
+    north = UTM_SCALE * _RECTIFIED * (xi + _harmonics(KRUEGER_TO, F.sin, xi, F.cosh, eta))
+    return east, north + F.when(lat < 0, UTM_NORTH).otherwise(0.0)
+
+
+def from_utm(east: Column, north: Column, zone: Column, is_north: Column) -> tuple[Column, Column]:
+    """(latitude, longitude) of a place in a zone of the northern or southern half."""
+    xi, eta = (north - F.when(is_north, 0.0).otherwise(UTM_NORTH)) / (UTM_SCALE * _RECTIFIED), (east - UTM_EAST) / (UTM_SCALE * _RECTIFIED)
+    x = xi - _harmonics(KRUEGER_FROM, F.sin, xi, F.cosh, eta)
+    y = eta - _harmonics(KRUEGER_FROM, F.cos, xi, F.sinh, eta)
+    chi = F.asin(F.sin(x) / F.cosh(y))
+    return chi + _harmonics(GEODETIC, F.sin, chi), central_meridian(zone) + F.atan2(F.sinh(y), F.cos(x))

@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxlane.functions import geodesy
+
 
 def is_missing(val: Column) -> Column:
     return val.isNull() | F.isnan(val) | (val == 0)
@@ -156,28 +158,57 @@ def fill(grid: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
     return grid.join(filled, ["map_name", "ix", "iy"], "left").withColumn("val", F.coalesce("_fill", "val")).drop("_fill").select(*grid.columns)
 
 
-def lookup(points: DataFrame, grid: DataFrame, a: Axes, x: str = "lon", y: str = "lat", out: str = "map_val") -> DataFrame:
+def lookup(points: DataFrame, grid: DataFrame, a: Axes, x: str = "lon", y: str = "lat", out: str = "map_val", by: Sequence[str] = ()) -> DataFrame:
     """Bilinear value at each point, null outside the grid: one equi-join of the points' cells with the grid's.
 
+    ``by``: columns of both, such as a map's name or level, that tell grids on
+    the same axes apart.
+
     Each grid cell is packed with its right, upper and diagonal neighbours by
     two windows, so that a point needs one row. Beyond an edge, and where a
     neighbour has no row at all, the value of the nearest corner stands in.
     """
-    across, up = Window.partitionBy("iy").orderBy("ix"), Window.partitionBy("ix").orderBy("iy")
+    across, up = Window.partitionBy(*by, "iy").orderBy("ix"), Window.partitionBy(*by, "ix").orderBy("iy")
     beside = lambda c, number, w: F.when(F.lead(number).over(w) == F.col(number) + 1, F.lead(c).over(w))
-    cells = grid.select("ix", "iy", F.col("val").alias("_v00"), beside("val", "ix", across).alias("_v10"))
+    cells = grid.select(*by, "ix", "iy", F.col("val").alias("_v00"), beside("val", "ix", across).alias("_v10"))
     cells = cells.select("*", beside("_v00", "iy", up).alias("_v01"), beside("_v10", "iy", up).alias("_v11"))
     fx, fy = (F.col(x) - a.x0) / (a.dx or 1.0), (F.col(y) - a.y0) / (a.dy or 1.0)
     x2, y2 = a.ix0 + a.nx - 1, a.iy0 + a.ny - 1
     inside = (fx >= a.ix0) & (fx <= x2) & (fy >= a.iy0) & (fy <= y2)
     ix, iy = F.least(F.floor(fx), F.lit(max(x2 - 1, a.ix0))), F.least(F.floor(fy), F.lit(max(y2 - 1, a.iy0)))
     placed = points.withColumn("_ix", F.when(inside, ix)).withColumn("_iy", F.when(inside, iy)).withColumn("_u", fx - F.col("_ix")).withColumn("_w", fy - F.col("_iy"))
-    hit = placed.join(cells.withColumnsRenamed({"ix": "_ix", "iy": "_iy"}), ["_ix", "_iy"], "left")
+    hit = placed.join(cells.withColumnsRenamed({"ix": "_ix", "iy": "_iy"}), [*by, "_ix", "_iy"], "left")
     u, w = F.col("_u"), F.col("_w")
     value = (1 - u) * (1 - w) * F.col("_v00") + u * (1 - w) * F.coalesce("_v10", "_v00") + (1 - u) * w * F.coalesce("_v01", "_v00") + u * w * F.coalesce("_v11", "_v10", "_v01", "_v00")
     return hit.withColumn(out, value).select(*points.columns, out)
 
 
+def lookup_levels(points: DataFrame, stack: DataFrame, a: Axes, x: str = "lon", y: str = "lat", z: str = "alt", out: str = "map_val") -> DataFrame:
+    """Trilinear value at each point: bilinear on the levels (``alt``) below and above it, linear between; the nearest level outside, null off the grid.
+
+    The levels of a stack are few; each point asks for two of them by an equi-join.
+    """
+    levels = [r[0] for r in stack.select("alt").distinct().orderBy("alt").collect()]  # a row a level
+    known = F.array(*[F.lit(v) for v in levels])
+    low = F.coalesce(F.array_max(F.filter(known, lambda v: v <= F.col(z))), F.lit(levels[0]))
+    high = F.coalesce(F.array_min(F.filter(known, lambda v: v >= F.col(z))), F.lit(levels[-1]))
+    share = F.coalesce(F.try_divide(F.col(z) - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0))
+    placed = points.withColumns({"_low": low, "_high": high}).withColumn("_share", share)
+    for side in ("low", "high"):
+        cells = stack.withColumnRenamed("alt", f"_{side}")
+        placed = lookup(placed, cells, a, x, y, f"_at_{side}", [f"_{side}"])
+    return placed.withColumn(out, F.col("_at_low") + F.col("_share") * (F.col("_at_high") - F.col("_at_low"))).select(*points.columns, out)
+
+
+def from_utm(grid: DataFrame, zone: int, new: Axes, north: bool = True, name: str | None = None) -> DataFrame:
+    """A map in metres of a UTM zone (xx east, yy north) on new axes in radians: bilinear, 0 outside and next to missing cells."""
+    lat, lon = F.col("yy"), F.col("xx")
+    east, up = geodesy.to_utm(lat, lon, F.lit(zone))
+    shift = 0.0 if north else geodesy.UTM_NORTH
+    up = up - F.when(lat < 0, geodesy.UTM_NORTH).otherwise(0.0) + shift  # a map that crosses the equator keeps its own half's northing
+    return _regridded(grid, new, name, {"_x": east, "_y": up})
+
+
 def check(points: DataFrame, grid: DataFrame, a: Axes, x: str = "lon", y: str = "lat") -> DataFrame:
     """One row: whether every point lies strictly inside the grid, on cells that all have data."""
     mask = grid.withColumn("val", (~is_missing(F.col("val"))).cast("double"))
@@ -189,11 +220,16 @@ def check(points: DataFrame, grid: DataFrame, a: Axes, x: str = "lon", y: str =
 
 def resample(grid: DataFrame, new: Axes, name: str | None = None) -> DataFrame:
     """The grid on new axes, by bilinear interpolation; 0 outside the old grid and next to missing cells."""
+    return _regridded(grid, new, name, {"_x": F.col("xx"), "_y": F.col("yy")})
+
+
+def _regridded(grid: DataFrame, new: Axes, name: str | None, place: dict[str, Column]) -> DataFrame:
+    """The grid's values at the places (_x, _y) of the cells of new axes."""
     a, spark = axes(grid), grid.sparkSession
     at = spark.range(new.nx * new.ny).select((F.col("id") % new.nx).cast("int").alias("ix"), F.expr(f"cast(id div {new.nx} as int)").alias("iy"))
-    at = at.withColumn("xx", new.x0 + F.col("ix") * new.dx).withColumn("yy", new.y0 + F.col("iy") * new.dy)
-    valued = lookup(at, grid, a, "xx", "yy", "val")
-    mask = lookup(at, grid.withColumn("val", (~is_missing(F.col("val"))).cast("double")), a, "xx", "yy", "_on").select("ix", "iy", "_on")
+    at = at.withColumn("xx", new.x0 + F.col("ix") * new.dx).withColumn("yy", new.y0 + F.col("iy") * new.dy).withColumns(place)
+    valued = lookup(at, grid, a, "_x", "_y", "val")
+    mask = lookup(at, grid.withColumn("val", (~is_missing(F.col("val"))).cast("double")), a, "_x", "_y", "_on").select("ix", "iy", "_on")
     both = valued.join(mask, ["ix", "iy"])
     label = F.lit(name) if name is not None else F.lit(None).cast("string")
     return both.select(label.alias("map_name"), "iy", "ix", "yy", "xx", F.when(F.col("_on") > 1 - 1e-9, F.col("val")).otherwise(0.0).alias("val"))

@@ -60,6 +60,21 @@ def select_by_lookup(df: DataFrame, lookup: DataFrame, lines: Sequence, number:
     return df.join(F.broadcast(bounds), line).filter(F.col(tt).between(F.col("t_start"), F.col("t_end"))).drop("t_start", "t_end")  # a row a line asked for
 
 
+def with_first_match(df: DataFrame, lookup: DataFrame, key: str, number: str) -> DataFrame:
+    """``df`` with the columns of the lookup's first row of its key (in order of ``number``), null where it has none."""
+    rest = [c for c in lookup.columns if c not in (key, number)]
+    first = lookup.groupBy(key).agg(F.min_by(F.struct(*rest), number).alias("_first"))
+    return df.join(first, key, "left").select(*df.columns, *[F.col(f"_first.{c}").alias(c) for c in rest])
+
+
+def overlay(slow: DataFrame, fast: DataFrame, order: Order, every: int, columns: Sequence[str]) -> DataFrame:
+    """``slow`` with columns of a faster record of the same sequences, by position: row k takes row (k - 1) * every + 1, null beyond its end."""
+    picked = fast.withColumn("_k", F.row_number().over(order.window)).filter((F.col("_k") - 1) % every == 0)
+    picked = picked.select(*order.by, F.expr(f"(_k - 1) div {every} + 1").alias("_k"), *columns)
+    numbered = slow.withColumn("_k", F.row_number().over(order.window).cast("long"))
+    return numbered.join(picked, [*order.by, "_k"], "left").select(*slow.columns, *columns)
+
+
 def trim_tail(df: DataFrame, order: Order, multiple: int) -> DataFrame:
     """Rows at the end of each sequence go until its length is a multiple."""
     n = F.count(F.lit(1)).over(order.whole)

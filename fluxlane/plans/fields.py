@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fluxlane.functions import geodesy
 from fluxlane.operators import grid as g
 from fluxlane.operators import spectral
 from fluxlane.plans.catalog import query
@@ -158,3 +159,41 @@ def fft_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drape_to_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     drape = g.fill(grid(spark, sf_dir)).withColumn("alt", 10.0 + F.col("ix") * 0.01)
     return spectral.level_drape(drape, 10.5, 1.0, 1.0, 0.1, 0.01)
+
+
+@query(f"""WITH {GRID_SQL}, {_POINTS_SQL}, {_BILINEAR}, {_LOOKUP_SQL}
+SELECT c_custkey, round(((1 - (fx - jx)) * (1 - (fy - jy)) * v00 + (fx - jx) * (1 - (fy - jy)) * v10 + (1 - (fx - jx)) * (fy - jy) * v01 + (fx - jx) * (fy - jy) * v11)
+ * CASE WHEN z < 100 THEN 1 WHEN z < 200 THEN 1 + (z - 100) / 100 * 2 WHEN z < 400 THEN 3 + (z - 200) / 200 * 1 ELSE 4 END, 3) + 0.0 AS map_val
+FROM (SELECT *, (c_custkey * 37 % 450)::DOUBLE AS z FROM hit) LEFT JOIN box ON box.ix = jx AND box.iy = jy""")
+def grid_trilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stack of three levels whose values are 1, 3 and 4 times the grid's."""
+    cells = grid(spark, sf_dir)
+    level = F.explode(F.array(*[F.struct(F.lit(alt).alias("alt"), F.lit(k).alias("k")) for alt, k in ((100.0, 1.0), (200.0, 3.0), (400.0, 4.0))]))
+    stack = cells.withColumn("level", level).withColumns({"alt": F.col("level.alt"), "val": F.col("val") * F.col("level.k")}).drop("level")
+    points = _points(spark, sf_dir).withColumn("alt", (F.col("c_custkey") * 37 % 450).cast("double"))
+    return rounded(g.lookup_levels(points, stack, g.axes(cells)).select("c_custkey", "map_val"), 3)
+
+
+def _waves(coefficients: list[float], wave: str, x: str, swell: str, y: str) -> str:
+    return " + ".join(f"{c!r}::DOUBLE * {wave}({2 * j} * {x}) * {swell}({2 * j} * {y})" for j, c in enumerate(coefficients, 1))
+
+
+_R = f"({geodesy.UTM_SCALE!r}::DOUBLE * {geodesy._RECTIFIED!r}::DOUBLE)"
+_E = f"{2 * geodesy._N**0.5 / (1 + geodesy._N)!r}::DOUBLE"
+
+
+@query(f"""WITH p AS (SELECT c_custkey, radians(c_custkey * 7.3::DOUBLE % 160 - 80) AS lat, radians(c_custkey * 13.7::DOUBLE % 360 - 180) AS lon FROM customer),
+q AS (SELECT *, CAST(floor((degrees(lon) + 180) / 6) AS INTEGER) % 60 + 1 AS zone, sinh(atanh(sin(lat)) - {_E} * atanh({_E} * sin(lat))) AS t FROM p),
+r AS (SELECT *, atan2(t, cos(lon - radians(zone * 6 - 183))) AS xi, atanh(sin(lon - radians(zone * 6 - 183)) / sqrt(1 + t * t)) AS eta FROM q)
+SELECT c_custkey, zone, round(500000 + {_R} * (eta + {_waves(geodesy.KRUEGER_TO, "cos", "xi", "sinh", "eta")}), 4) AS east,
+ round({_R} * (xi + {_waves(geodesy.KRUEGER_TO, "sin", "xi", "cosh", "eta")}) + CASE WHEN lat < 0 THEN 10000000 ELSE 0 END, 4) AS north, round(lat, 9) + 0.0 AS lat, round(lon, 9) + 0.0 AS lon FROM r""")
+def utm_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places to their zone's metres, and back again: the SQL gives the places themselves."""
+    key = F.col("c_custkey")
+    points = load(spark, sf_dir, "customer").select("c_custkey", F.radians(key * 7.3 % 160 - 80).alias("lat"), F.radians(key * 13.7 % 360 - 180).alias("lon"))
+    zoned = points.withColumn("zone", geodesy.utm_zone(F.col("lon")))
+    east, north = geodesy.to_utm(F.col("lat"), F.col("lon"), F.col("zone"))
+    metres = zoned.withColumns({"east": east, "north": north})
+    lat, lon = geodesy.from_utm(F.col("east"), F.col("north"), F.col("zone"), F.col("lat") >= 0)
+    back = metres.select("c_custkey", "zone", F.round("east", 4).alias("east"), F.round("north", 4).alias("north"), F.round(lat, 9).alias("lat"), F.round(lon, 9).alias("lon"))
+    return rounded(back, 9)

@@ -189,3 +189,22 @@ SELECT event_id, round(x, 6) + 0.0 AS fogm FROM g""")
 def gauss_markov_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = signal(spark, sf_dir).select("line", "tt", "event_id", (F.col("value") / 100 - 1).alias("noise"))
     return rounded(sequence.gauss_markov(rows, SIGNAL, "noise", 3.0, 60.0, 0.1).select("event_id", "fogm"))
+
+
+@query("""WITH f AS (SELECT n_regionkey AS flight, n_name AS file, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation)
+SELECT s_suppkey AS line, s_nationkey % 7 AS flight, file FROM supplier LEFT JOIN f ON f.flight = s_nationkey % 7 AND k = 1""")
+def lines_with_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines (suppliers) with the first file of their flight (nations of a region), if it has one."""
+    lines = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("line"), (F.col("s_nationkey") % 7).alias("flight"))
+    flights = load(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("flight"), F.col("n_nationkey").alias("row"), F.col("n_name").alias("file"))
+    return select.with_first_match(lines, flights, "flight", "row")
+
+
+@query(f"""WITH {SIGNAL_SQL}, fast AS (SELECT line, value, row_number() OVER (PARTITION BY line ORDER BY tt, event_id) AS k FROM sig),
+slow AS (SELECT line, event_id, row_number() OVER (PARTITION BY line ORDER BY tt, event_id) AS k FROM sig WHERE event_type = 'click')
+SELECT s.line, event_id, f.value AS fast_value FROM slow s LEFT JOIN fast f ON f.line = s.line AND f.k = (s.k - 1) * 4 + 1""")
+def overlay_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line's clicks beside every fourth sample of all its events."""
+    rows = signal(spark, sf_dir)
+    fast = rows.withColumnRenamed("value", "fast_value")
+    return select.overlay(rows.filter("event_type = 'click'").select("line", "tt", "event_id"), fast, SIGNAL, 4, ["fast_value"]).select("line", "event_id", "fast_value")

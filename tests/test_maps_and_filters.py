@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from fluxlane.functions import geodesy
 from fluxlane.operators import grid as g
 from fluxlane.operators import navigation as nav
 from fluxlane.operators import simulate, spectral
@@ -266,3 +267,26 @@ def test_slopes_of_a_patch_equal_differences():
         if inside:
             assert np.allclose(slopes, [(s(lat + d, lon) - s(lat - d, lon)) / (2 * d), (s(lat, lon + d) - s(lat, lon - d)) / (2 * d)], atol=1e-5)
     assert s.value_and_slopes(0.0, 9.0)[1].tolist() == [0.0, 0.0]
+
+
+def test_a_utm_map_becomes_a_map_in_radians(spark):
+    """A plane in metres of a zone, looked up at the metres of each new cell."""
+    e0, n0, step = 440_000.0, 4_980_000.0, 500.0
+    rows = [("u", y, x, n0 + y * step, e0 + x * step, 1000 + 3.0 * x + 2.0 * y) for y in range(40) for x in range(40)]
+    utm = spark.createDataFrame(rows, "map_name string, iy int, ix int, yy double, xx double, val double")
+    at = spark.range(1).select(*geodesy.from_utm(F.lit(e0 + 10 * step), F.lit(n0 + 10 * step), F.lit(18), F.lit(True))).first()
+    new = g.Axes(at[1], at[0], 2e-5, 2e-5, 20, 20)
+    got = g.from_utm(utm, 18, new)
+    east, north = geodesy.to_utm(F.col("yy"), F.col("xx"), F.lit(18))
+    errors = got.select(F.abs(F.col("val") - (1000 + 3 * (east - e0) / step + 2 * (north - n0) / step)).alias("e")).agg(F.max("e"), F.count("*")).first()
+    assert errors[0] < 1e-6 and errors[1] == 400
+    far = g.from_utm(utm, 18, g.Axes(at[1] + 1, at[0], 2e-5, 2e-5, 2, 2))
+    assert {r.val for r in far.collect()} == {0.0}
+
+
+def test_utm_of_known_places(spark):
+    """Central meridian at 45 degrees: half the meridian arc's known length (4,984,944.378 m) times the scale; and the zones' edges."""
+    lat, lon = F.radians(F.lit(45.0)), F.radians(F.lit(-75.0))
+    east, north = geodesy.to_utm(lat, lon, F.lit(18))
+    r = spark.range(1).select(east.alias("e"), north.alias("n"), geodesy.utm_zone(lon).alias("z"), geodesy.utm_zone(F.radians(F.lit(180.0))).alias("last")).first()
+    assert abs(r.e - 500_000) < 1e-6 and abs(r.n - 0.9996 * 4_984_944.378) < 2e-3 and (r.z, r.last) == (18, 1)
