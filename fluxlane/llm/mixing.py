@@ -135,7 +135,7 @@ def mix(documents: DataFrame, seed: int = 17, resolution: int = RESOLUTION) -> D
     timed = plan.join(small(table.select("src", "source_size", "width", "whole")), "src").withColumns({"left": F.expr("whole - pass * source_size"), "low": F.expr("block * width"), "high": F.expr("least((block + 1) * width, source_size)")})
     cut = F.max(F.expr("case when low < left and left < high then left end")).alias("cut")
     uses = timed.filter("low < left").groupBy("src", "block").agg(F.count_if(F.expr("high <= left")).alias("uses"), cut)
-    bits = max(4, math.ceil(math.log2(max(all_of["rows"] / ROWS_BUCKET, 1))))
+    bits = max(8, math.ceil(math.log2(max(all_of["rows"] / ROWS_BUCKET, 1))))
     placed = running(known.filter("size > 0").withColumn("bucket", F.shiftright("key", 60 - bits)), ["src"], "bucket", ["key", "doc_id"], F.col("size"), "stop").withColumn("start", F.col("stop") - F.col("size"))
     pieces = placed.select("*", F.explode(F.sequence(F.expr("start div width"), F.expr("(stop - 1) div width"))).alias("block")).withColumns({"low": F.expr("greatest(start, block * width)"), "high": F.expr("least(stop, (block + 1) * width)")})
     # least() passes over nulls: a block that isn't cut, or that no slot takes, is cut at 0
