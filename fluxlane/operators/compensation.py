@@ -2,13 +2,16 @@
 
 Linear models: TL, mod_TL and map_TL (Tolles-Lawson, with the length of the
 field from the vector sensor, a scalar sensor or a map), elasticnet, plsr. Networks: m1 (features
-alone), m2a to m2d (with the Tolles-Lawson matrix), m3tl, m3s, m3v (aircraft
-field as a vector, with a scalar or a vector network).
+alone), m2a to m2d (with the Tolles-Lawson matrix). Models of the aircraft's
+field as a vector, projected on the measured direction, whose coefficients are
+trained on from their ridge fit: m3tl (no network), m3s and m3v (with a scalar or
+a vector network), m3sc and m3vc (the same by a curriculum), m3w (m3s on windows
+of the features). All are fitted on all rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,12 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxlane.operators import linear, networks, tolles_lawson
+from fluxlane.operators.networks import Phase
 from fluxlane.operators.select import Order
-from fluxlane.operators.sequence import difference, without_mean
+from fluxlane.operators.sequence import trailing, without_mean
 
 LINEAR = ("TL", "mod_TL", "map_TL", "elasticnet", "plsr")
-NETWORK_HEADS = {"m1": "plain", "m2a": "dot", "m2b": "add", "m2c": "add", "m2d": "dot_add"}
-VECTOR_MODELS = ("m3tl", "m3s", "m3v")
+#: Head of each network, and whether coefficients are part of it.
+NETWORKS = {"m1": ("plain", False), "m2a": ("dot", False), "m2b": ("plain", True), "m2c": ("plain", True), "m2d": ("dot", True)}
+VECTOR_MODELS = ("m3tl", "m3s", "m3v", "m3sc", "m3vc", "m3w")
+UNIT = ["_u0", "_u1", "_u2"]
 
 
 @dataclass(frozen=True)
@@ -40,9 +46,12 @@ class Params:
     alpha: float = 0.99
     penalty: float = 0.001
     network: networks.Setup = field(default_factory=networks.Setup)
+    #: Rows of a window of m3w, and deviations within which the curriculum begins.
+    window: int = 5
+    within: float = 1.0
 
     def __post_init__(self) -> None:
-        if self.kind not in (*LINEAR, *NETWORK_HEADS, *VECTOR_MODELS):
+        if self.kind not in (*LINEAR, *NETWORKS, *VECTOR_MODELS):
             raise ValueError(f"unknown model {self.kind}")
 
 
@@ -50,14 +59,40 @@ def _columns(p: Params) -> list[str]:
     return tolles_lawson.columns(p.terms)
 
 
+def _inputs(p: Params) -> list[str]:
+    """Columns that the network reads."""
+    return [f"_w{i}_{k}" for i in range(len(p.features)) for k in range(p.window)] if p.kind == "m3w" else list(p.features)
+
+
+def _given(p: Params) -> list[str]:
+    """Columns that the network's head reads."""
+    return [] if p.kind == "m1" else [*(UNIT if p.kind in ("m3v", "m3vc") else []), *_columns(p)]
+
+
 def _prepared(df: DataFrame, order: Order, p: Params) -> DataFrame:
     total = F.col(p.total) if p.total and p.kind in ("mod_TL", "map_TL") else None
     wide = tolles_lawson.with_matrix(df, order, *p.vector, p.terms, total)
-    return wide.withColumns({f"_d{i}": difference(F.col(c), order) for i, c in enumerate(p.vector)})
-
-
-def _sample(df: DataFrame, p: Params, names: Sequence[str]) -> pd.DataFrame:
-    return networks.bounded(df.select(*names, p.y), p.network.bound, p.network.seed).toPandas().sort_values([*names, p.y], kind="stable")
+    if p.kind in ("m3v", "m3vc"):
+        length = F.sqrt(sum((F.col(c) ** 2 for c in p.vector), F.lit(0.0)))
+        wide = wide.withColumns({u: F.coalesce(F.try_divide(F.col(c).cast("double"), length), F.lit(0.0)) for u, c in zip(UNIT, p.vector, strict=True)})
+    if p.kind == "m3w":
+        wide = wide.withColumns({f"_w{i}": trailing(F.col(c).cast("double"), order, p.window) for i, c in enumerate(p.features)})
+        wide = wide.withColumns({f"_w{i}_{k}": F.element_at(f"_w{i}", k + 1) for i in range(len(p.features)) for k in range(p.window)})
+    return wide
+
+
+def phases(p: Params) -> tuple[Phase, ...]:
+    """What is trained when. A curriculum takes up kinds of coefficients one by one, on rows that they explain, then the network, then all."""
+    kinds = [c[0] for c in _columns(p)]
+    only = lambda some: tuple(k in some for k in kinds)
+    if p.kind == "m2b":
+        return (Phase(coef=only("")),)
+    if p.kind == "m3tl":
+        return (Phase(network=False, applied=False),)
+    if p.kind in ("m3sc", "m3vc"):
+        alone = [Phase(since, False, False, only(some), p.within) for since, some in ((0.0, "p"), (0.1, "pi"), (0.2, "pie"))]
+        return (*alone, Phase(0.3, coef=only("")), Phase(0.6))
+    return (Phase(),)
 
 
 def train(df: DataFrame, order: Order, p: Params) -> dict:
@@ -74,48 +109,51 @@ def train(df: DataFrame, order: Order, p: Params) -> dict:
             coef = linear.partial_least_squares(m, min(p.components, len(names)))[-1]
             bias = (m.sum_y - m.sum_x @ coef) / m.n
         return {"coef": coef, "bias": float(bias), "on": names}
-    extra = [*p.vector, *[f"_d{i}" for i in range(3)]] if p.kind in VECTOR_MODELS else []
-    pdf = _sample(wide, p, list(dict.fromkeys([*p.features, *a, *extra])))
-    x, y, design = pdf[list(p.features)].to_numpy(float), pdf[p.y].to_numpy(float), pdf[a].to_numpy(float)
-    (xb, xs), (yb, ys) = networks.scales(x), networks.scales(y)
-    start = np.linalg.solve(design.T @ design + p.ridge * np.eye(len(a)), design.T @ y)
-    if p.kind in NETWORK_HEADS:
-        head = networks.Head(NETWORK_HEADS[p.kind], np.zeros(0) if p.kind in ("m1", "m2a") else start / ys, fixed=p.kind == "m2b")
-        net, head = networks.train((x - xb) / xs, (y - yb) / ys, p.network, None if p.kind == "m1" else design, head)
-        return {"fitted": networks.Fitted(net, xb, xs, float(yb), float(ys), head)}
-    # vector models: the linear part is the aircraft's field along the Earth's, which is the design matrix
-    left = y - design @ start
-    lb, ls = networks.scales(left)
-    if p.kind == "m3tl":
-        return {"start": start, "fitted": None}
-    unit = pdf[list(p.vector)].to_numpy(float)
-    unit = unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
-    head = networks.Head("plain" if p.kind == "m3s" else "dot")
-    net, head = networks.train((x - xb) / xs, (left - lb) / ls, p.network, None if p.kind == "m3s" else unit, head)
-    return {"start": start, "fitted": networks.Fitted(net, xb, xs, float(lb), float(ls), head)}
+    start = None if p.kind in ("m1", "m2a") else linear.ridge(wide, a, p.y, p.ridge)
+    if p.kind in NETWORKS:
+        return {"start": np.zeros(len(a)), "fitted": networks.fit(wide, _inputs(p), p.y, p.network, _given(p), NETWORKS[p.kind][0], start, phases(p))}
+    # what is trained is a change of the ridge fit, on what that leaves
+    left = F.col(p.y) - linear.predict([F.col(c) for c in a], start)
+    kind = "dot" if p.kind in ("m3v", "m3vc") else "plain"
+    return {"start": start, "fitted": networks.fit(wide, _inputs(p), left, p.network, _given(p), kind, np.zeros(len(a)), phases(p))}
+
+
+def _applied(df: DataFrame, order: Order, p: Params, model: dict, parts: bool) -> DataFrame:
+    wide, a = _prepared(df, order, p), _columns(p)
+    fitted, inputs, given, out = model["fitted"], _inputs(p), _given(p), [*([f"y_{k}" for k in PARTS.values()] + ["y_network"] if parts else []), "y_hat"]
+    own = df.columns
+    coef = model["start"] + (fitted.head.coef * fitted.y_scale if len(fitted.head.coef) else 0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            design, new = b[a].to_numpy(float), {}
+            y = design @ model["start"] + fitted(b[inputs].to_numpy(float), b[given].to_numpy(float))
+            if parts:
+                new = {f"y_{k}": design @ (coef * [c[0] == kind for c in a]) for kind, k in PARTS.items()}
+                new["y_network"] = y - sum(new.values())
+            yield b[own].assign(**new, y_hat=y)
+
+    wide = wide.select(*own, *[n for n in dict.fromkeys([*inputs, *given, *a]) if n not in own])
+    return wide.mapInPandas(run, df.selectExpr("*", *[f"cast(0 as double) as {c}" for c in out]).schema)
+
+
+#: Kinds of coefficients by their columns' first letter.
+PARTS = {"p": "permanent", "i": "induced", "e": "eddy"}
 
 
 def predict(df: DataFrame, order: Order, p: Params, model: dict) -> DataFrame:
     """``df`` with y_hat. Linear models stay column expressions; networks run on Arrow batches."""
-    wide, a = _prepared(df, order, p), _columns(p)
     if "coef" in model:
+        wide = _prepared(df, order, p)
         return wide.withColumn("y_hat", linear.predict([F.col(c) for c in model["on"]], model["coef"], model["bias"])).select(*df.columns, "y_hat", F.col(p.y).alias("_y"))
-    names = list(dict.fromkeys([*p.features, *p.vector, *a]))
+    return _applied(df, order, p, model, False).select(*df.columns, "y_hat", F.col(p.y).alias("_y"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x, design = b[list(p.features)].to_numpy(float), b[a].to_numpy(float)
-            if "start" in model:
-                unit = b[list(p.vector)].to_numpy(float)
-                unit = unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
-                y = design @ model["start"] + (model["fitted"](x, unit) if model["fitted"] else 0)
-            else:
-                y = model["fitted"](x, design)
-            yield b.assign(y_hat=y)
-
-    wide = wide.select(*df.columns, *[n for n in names if n not in df.columns])
-    out = wide.mapInPandas(run, wide.selectExpr("*", "cast(0 as double) as y_hat").schema)
-    return out.select(*df.columns, "y_hat", F.col(p.y).alias("_y"))
+
+def explained(df: DataFrame, order: Order, p: Params, model: dict) -> DataFrame:
+    """``df`` with y_hat of a model with a network, and its parts: y_permanent, y_induced, y_eddy and y_network, the rest."""
+    if "coef" in model:
+        raise ValueError(f"{p.kind} has no network")
+    return _applied(df, order, p, model, True)
 
 
 def error(predicted: DataFrame, by: tuple[str, ...]) -> float:

@@ -1,15 +1,25 @@
-"""Small feed-forward networks in numpy: fitted on a bounded sample on the driver, applied as Arrow batches."""
+"""Small feed-forward networks in numpy, fitted on all rows by Adam and applied as Arrow batches.
+
+A row's mini-batch is a hash of its values. A step's gradient is a sum over the
+rows of a mini-batch: taken on the driver if the table is small, else by a Spark
+job over the part of a stored table that holds the mini-batch. Both ways take
+the same steps.
+"""
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fluxlane.sources.tables import remove, scratch
+
 ACTIVATIONS = {
     "relu": (lambda z: np.maximum(z, 0), lambda z: (z > 0).astype(float)),
     "sigmoid": (lambda z: 1 / (1 + np.exp(-z)), lambda z: (s := 1 / (1 + np.exp(-z))) * (1 - s)),
@@ -31,7 +41,9 @@ class Setup:
     group_lasso: float = 0.0
     group_share: float = 1.0
     seed: int = 2
-    #: Rows that are fitted on, about, at most.
+    #: Mini-batches an epoch at most: beyond, batches grow with the table.
+    steps: int = 64
+    #: Tables of more rows stay in Spark while they are fitted on.
     bound: int = 1 << 20
 
 
@@ -82,16 +94,20 @@ class Network:
 
 
 class Adam:
+    """Adam with a count of steps for each number, so that those that rest for a while go on where they were."""
+
     def __init__(self, parameters: list[np.ndarray], rate: float) -> None:
-        self.parameters, self.rate, self.t = parameters, rate, 0
-        self.m, self.v = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
+        self.parameters, self.rate = parameters, rate
+        self.t, self.m, self.v = ([np.zeros_like(p) for p in parameters] for _ in range(3))
 
-    def step(self, grads: Sequence[np.ndarray]) -> None:
-        self.t += 1
-        for p, g, m, v in zip(self.parameters, grads, self.m, self.v, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            p -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
+    def step(self, grads: Sequence[np.ndarray], moves: Sequence[np.ndarray | bool]) -> None:
+        """``moves``: which numbers of each parameter are trained."""
+        for p, g, on, t, m, v in zip(self.parameters, grads, moves, self.t, self.m, self.v, strict=True):
+            on = np.broadcast_to(on, p.shape)
+            t[on] += 1
+            m[on] += 0.1 * (g - m)[on]
+            v[on] += 0.001 * (g * g - v)[on]
+            p[on] -= self.rate * (m[on] / (1 - 0.9 ** t[on])) / (np.sqrt(v[on] / (1 - 0.999 ** t[on])) + 1e-8)
 
 
 def group_penalty(w: np.ndarray, share: float = 1.0) -> np.ndarray:
@@ -105,61 +121,125 @@ def _group_slope(w: np.ndarray, share: float) -> np.ndarray:
 
 @dataclass
 class Head:
-    """How a network's output makes the prediction: the output alone, or with given columns ``a`` and coefficients.
+    """How the prediction is made of a network's output and of given columns ``a``.
 
-    plain: the output; dot: sum of a times output; add: output plus a times
-    coefficients; dot_add: sum of a times (output plus coefficients).
-    ``fixed``: coefficients are not trained.
+    plain: the output; dot: the sum of the output times as many leading columns
+    of ``a``. Either way the last columns of ``a`` times the coefficients, if
+    there are any, are added. ``applied``: whether the output counts.
     """
 
     kind: str = "plain"
     coef: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    fixed: bool = False
-
-    def value(self, out: np.ndarray, a: np.ndarray | None) -> np.ndarray:
-        if self.kind == "plain":
-            return out[:, 0]
-        if self.kind == "dot":
-            return (a * out).sum(1)
-        if self.kind == "add":
-            return out[:, 0] + a @ self.coef
-        return (a * (out + self.coef)).sum(1)
-
-    def slopes(self, miss: np.ndarray, a: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    applied: bool = True
+
+    def value(self, out: np.ndarray, a: np.ndarray) -> np.ndarray:
+        y = np.zeros(len(out)) if not self.applied else out[:, 0] if self.kind == "plain" else (a[:, : out.shape[1]] * out).sum(1)
+        return y + a[:, -len(self.coef) :] @ self.coef if len(self.coef) else y
+
+    def slopes(self, miss: np.ndarray, out: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradients by the output and by the coefficients."""
-        if self.kind == "plain":
-            return miss[:, None], np.zeros(0)
-        if self.kind == "add":
-            return miss[:, None], a.T @ miss
-        by = miss[:, None] * a
-        return by, by.sum(0) if self.kind == "dot_add" else np.zeros(0)
-
-
-def train(x: np.ndarray, y: np.ndarray, s: Setup, a: np.ndarray | None = None, head: Head | None = None) -> tuple[Network, Head]:
-    """A network fitted by Adam on mini-batches; the epoch with the least error on held-out rows is kept."""
-    rng, head = np.random.default_rng(s.seed), head or Head()
-    net = Network.create(x.shape[1], a.shape[1] if head.kind.startswith("dot") else 1, s, rng)
-    order = rng.permutation(len(x))
-    cut = max(1, int(round(len(x) * s.train_share)))
-    fit, held = order[:cut], order[cut:] if cut < len(x) else order
-    learned = [head.coef] if len(head.coef) and not head.fixed else []
-    adam, best = Adam(net.parameters() + learned, s.rate), (np.inf, None)
-    pick = lambda rows: None if a is None else a[rows]
-    for _ in range(s.epochs):
-        for at in np.array_split(rng.permutation(fit), max(1, -(-len(fit) // s.batch))):
-            out, inputs, sums = net.forward(x[at])
-            miss = 2 * (head.value(out, pick(at)) - y[at]) / len(at)
-            by_out, by_coef = head.slopes(miss, pick(at))
-            grads = net.backward(by_out, inputs, sums)
+        by_out = miss[:, None] * (a[:, : out.shape[1]] if self.kind == "dot" else 1.0) * self.applied
+        return by_out, a[:, -len(self.coef) :].T @ miss if len(self.coef) else np.zeros(0)
+
+
+@dataclass(frozen=True)
+class Phase:
+    """What is trained from a share of the epochs on.
+
+    ``network``: the network's weights; ``applied``: the output counts; ``coef``:
+    which coefficients (None: all); ``within``: only rows whose target lies
+    within so many deviations of the mean.
+    """
+
+    since: float = 0.0
+    network: bool = True
+    applied: bool = True
+    coef: tuple[bool, ...] | None = None
+    within: float = math.inf
+
+
+def sums(net: Network, head: Head, x: np.ndarray, a: np.ndarray, y: np.ndarray, within: float = math.inf) -> np.ndarray:
+    """Gradients of the summed squared error by all weights and coefficients, that error and the number of rows, in one array."""
+    if within < math.inf:
+        near = np.abs(y) <= within
+        x, a, y = x[near], a[near], y[near]
+    out, inputs, inner = net.forward(x)
+    miss = head.value(out, a) - y
+    by_out, by_coef = head.slopes(2 * miss, out, a)
+    return np.concatenate([*(g.ravel() for g in net.backward(by_out, inputs, inner)), by_coef, [miss @ miss, len(miss)]])
+
+
+def _parts(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    pick = lambda s: pdf[[c for c in pdf.columns if c.startswith(s)]].to_numpy(float)
+    return pick("_x"), pick("_a"), pdf["_y"].to_numpy(float)
+
+
+class Held:
+    """Rows on the driver, by mini-batch; -1 are those kept from training."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        pdf = rows.toPandas()
+        pdf = pdf.sort_values(list(pdf.columns), kind="stable")
+        self.parts = {int(k): _parts(g) for k, g in pdf.groupby("_step")}
+        self.counts = {k: len(v[2]) for k, v in self.parts.items()}
+
+    def total(self, steps: Sequence[int], net: Network, head: Head, within: float = math.inf) -> np.ndarray:
+        return np.sum([sums(net, head, *self.parts[k], within) for k in steps], axis=0)
+
+    def close(self) -> None:
+        self.parts = {}
+
+
+class Stored:
+    """Rows in the shared folder, a folder a mini-batch: each epoch reads every row once."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.spark, self.path = rows.sparkSession, f"{scratch(rows.sparkSession)}/fit-{uuid.uuid4().hex}"
+        rows.write.partitionBy("_step").parquet(self.path)
+        self.table = self.spark.read.parquet(self.path)
+        self.counts = {r[0]: r[1] for r in self.table.groupBy("_step").count().collect()}  # a row a mini-batch
+
+    def total(self, steps: Sequence[int], net: Network, head: Head, within: float = math.inf) -> np.ndarray:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found = None
+            for b in batches:
+                part = sums(net, head, *_parts(b), within)
+                found = part if found is None else found + part
+            if found is not None:
+                yield pd.DataFrame({"i": np.arange(len(found)), "g": found})
+
+        rows = self.table.filter(F.col("_step").isin([int(k) for k in steps])).drop("_step")
+        by_number = rows.mapInPandas(run, "i long, g double").groupBy("i").agg(F.sum("g"))
+        return np.array([g for _, g in sorted(by_number.collect())])  # a row a weight
+
+    def close(self) -> None:
+        remove(self.spark, self.path)
+
+
+def train(rows: Held | Stored, net: Network, head: Head, s: Setup, phases: Sequence[Phase] = (Phase(),)) -> None:
+    """``net`` and ``head`` fitted in place; the epoch with the least error on held-out rows is kept."""
+    fit = [k for k in sorted(rows.counts) if k >= 0] or sorted(rows.counts)
+    held = [-1] if -1 in rows.counts else fit
+    shapes, sizes = [p.shape for p in net.parameters()], [p.size for p in net.parameters()]
+    adam, best, rng = Adam([*net.parameters(), head.coef], s.rate), (np.inf, None), np.random.default_rng(s.seed)
+    for epoch in range(s.epochs):
+        now = [p for p in phases if epoch >= math.ceil(p.since * s.epochs) - (p.since > 0)][-1]
+        head.applied = now.applied
+        moves = [*[now.network] * len(shapes), True if now.coef is None else np.array(now.coef, bool)]
+        for k in rng.permutation(fit):
+            flat = rows.total([int(k)], net, head, now.within)
+            if not flat[-1]:
+                continue
+            pieces = np.split(flat[:-2] / flat[-1], np.cumsum(sizes))
+            grads = [g.reshape(shape) for g, shape in zip(pieces, shapes, strict=False)]
             if s.group_lasso:
                 grads[0] = grads[0] + s.group_lasso * _group_slope(net.layers[0][0], s.group_share)
-            adam.step([*grads, by_coef] if learned else grads)
-        error = float(np.mean((head.value(net(x[held]), pick(held)) - y[held]) ** 2))
-        if error < best[0]:
-            best = (error, ([(w.copy(), b.copy()) for w, b in net.layers], head.coef.copy()))
+            adam.step([*grads, pieces[-1]], moves)
+        *_, error, n = rows.total(held, net, head)
+        if error / n < best[0]:
+            best = (error / n, ([(w.copy(), b.copy()) for w, b in net.layers], head.coef.copy(), head.applied))
     if best[1]:
-        net.layers, head.coef = best[1]
-    return net, head
+        net.layers, head.coef, head.applied = best[1]
 
 
 @dataclass
@@ -177,25 +257,39 @@ class Fitted:
         return self.head.value(self.net((x - self.x_bias) / self.x_scale), a) * self.y_scale + self.y_bias
 
 
-def bounded(df: DataFrame, bound: int, seed: int) -> DataFrame:
-    """A hash sample of about ``bound`` rows, the same on every run; all rows if there are no more."""
-    n = df.count()
-    if n <= bound:
-        return df
-    return df.filter(F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(1 << 30)) < int((1 << 30) * bound / n))
-
+def fit(df: DataFrame, names: Sequence[str], y: str | Column, s: Setup, a: Sequence[str] = (), kind: str = "plain", coef: np.ndarray | None = None, phases: Sequence[Phase] = (Phase(),)) -> Fitted:
+    """A network of the columns ``names`` fitted to ``y`` on all rows.
 
-def scales(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    s = v.std(0, ddof=1) if len(v) > 1 else np.ones(v.shape[1:])
-    return v.mean(0), np.where(s > 0, s, 1.0)
+    ``a``, ``kind`` and ``coef`` (the coefficients to start from, in y's units)
+    make its head. A column of one value only is divided by 1. About
+    ``train_share`` of the rows, by a hash, is trained on.
+    """
+    target = (F.col(y) if isinstance(y, str) else y).cast("double")
+    columns = [*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(names)], target.alias("_y")]
+    raw = df.select(*columns, *[F.col(c).cast("double").alias(f"_a{i}") for i, c in enumerate(a)])
+    keys = [*[f"_x{i}" for i in range(len(names))], "_y"]
+    row = raw.agg(F.count(F.lit(1)), *[F.avg(c) for c in keys], *[F.stddev_samp(c) for c in keys]).first()
+    if not row[0]:
+        raise ValueError("no rows to fit on")
+    bias = np.array([v or 0.0 for v in row[1 : 1 + len(keys)]], float)
+    scale = np.array([v if v and v > 0 else 1.0 for v in row[1 + len(keys) :]], float)
+    share = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), *raw.columns), F.lit(n))
+    steps = min(s.steps, max(1, math.ceil(row[0] * s.train_share / s.batch)))
+    step = F.when(share(s.seed, 1 << 30) >= int(s.train_share * (1 << 30)), -1).otherwise(share(s.seed + 1, steps)).cast("int")
+    scaled = {c: (F.col(c) - F.lit(float(m))) / F.lit(float(d)) for c, m, d in zip(keys, bias, scale, strict=True)}
+    rows = raw.withColumn("_step", step).withColumns(scaled)
+    head = Head(kind, np.zeros(0) if coef is None else np.asarray(coef, float) / scale[-1])
+    net = Network.create(len(names), 1 if kind == "plain" else len(a) - (0 if coef is None or len(coef) == len(a) else len(coef)), s, np.random.default_rng(s.seed))
+    held = Held(rows) if row[0] <= s.bound else Stored(rows)
+    try:
+        train(held, net, head, s, phases)
+    finally:
+        held.close()
+    return Fitted(net, bias[:-1], scale[:-1], float(bias[-1]), float(scale[-1]), head)
 
 
 def fit_columns(df: DataFrame, names: Sequence[str], y: str, s: Setup) -> Fitted:
-    pdf = bounded(df.select(*names, y), s.bound, s.seed).toPandas().sort_values([*names, y], kind="stable")
-    x, t = pdf[list(names)].to_numpy(float), pdf[y].to_numpy(float)
-    (xb, xs), (yb, ys) = scales(x), scales(t)
-    net, head = train((x - xb) / xs, (t - yb) / ys, s)
-    return Fitted(net, xb, xs, float(yb), float(ys), head)
+    return fit(df, names, y, s)
 
 
 def predict_columns(df: DataFrame, names: Sequence[str], model: Fitted, out: str = "y_hat") -> DataFrame:

@@ -150,15 +150,26 @@ def compensation_train_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of each compensation model on lines that it was fitted on and on others."""
     from fluxlane.operators import compensation
 
-    rows = vector(spark, sf_dir)
+    rows = vector(spark, sf_dir).withColumns({"scalar": F.lit(52000.0) + 10 * F.col("f1"), "map": F.lit(52000.0) + 10 * F.col("f2")})
     out = []
-    for kind in ("TL", "elasticnet", "plsr", "m1", "m2a", "m2b", "m2c", "m2d", "m3tl", "m3s", "m3v"):
-        setup = compensation.Params(kind, features=("f1", "f2", "f3"), vector=("bx", "by", "bz"), y="mag", network=networks.Setup(hidden=(6,), epochs=15))
+    for kind in ("TL", "mod_TL", "map_TL", "elasticnet", "plsr", "m1", "m2a", "m2b", "m2c", "m2d", "m3tl", "m3s", "m3v", "m3sc", "m3vc", "m3w"):
+        setup = compensation.Params(kind, features=("f1", "f2", "f3"), vector=("bx", "by", "bz"), y="mag", total={"mod_TL": "scalar", "map_TL": "map"}.get(kind), network=networks.Setup(hidden=(6,), epochs=15))
         model = compensation.train(rows.filter("line < 7"), VECTOR, setup)
         out += [(kind, part, float(compensation.error(compensation.predict(part_rows, VECTOR, setup, model), ("line",)))) for part, part_rows in (("train", rows.filter("line < 7")), ("test", rows.filter("line >= 7")))]
     return spark.createDataFrame(out, "model string, part string, error_std double")
 
 
+@query()
+def compensation_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each part of the aircraft's field and the network add to a prediction."""
+    from fluxlane.operators import compensation
+
+    rows = vector(spark, sf_dir)
+    setup = compensation.Params("m3vc", features=("f1", "f2", "f3"), vector=("bx", "by", "bz"), y="mag", network=networks.Setup(hidden=(6,), epochs=20))
+    model = compensation.train(rows, VECTOR, setup)
+    return compensation.explained(rows, VECTOR, setup, model).select("vec_id", "y_permanent", "y_induced", "y_eddy", "y_network", "y_hat")
+
+
 @query("SELECT event_type, CAST(epoch_us(time_bucket(INTERVAL '1 hour', ts)) // 1000000 AS BIGINT) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_window_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fluxlane.streaming import windows

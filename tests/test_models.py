@@ -155,7 +155,86 @@ def test_networks_learn_and_group_penalty(table):
     assert np.allclose(networks.group_penalty(np.array([[3.0, 4.0]]), 1.0), 5) and np.allclose(networks.group_penalty(np.array([[3.0, -4.0]]), 0.0), 7)
 
 
-@pytest.mark.parametrize("kind", ["TL", "plsr", "elasticnet", "m1", "m2a", "m2c", "m2d", "m3tl", "m3s", "m3v"])
+@pytest.mark.parametrize("kind,n_a,n_coef", [("plain", 0, 0), ("plain", 5, 5), ("dot", 4, 0), ("dot", 4, 4), ("dot", 7, 4)])
+def test_gradients_with_heads(kind, n_a, n_coef):
+    rng = np.random.default_rng(1)
+    x, a, y = rng.normal(size=(9, 3)), rng.normal(size=(9, n_a)), rng.normal(size=9)
+    head = networks.Head(kind, rng.normal(size=n_coef))
+    net = networks.Network.create(3, 1 if kind == "plain" else n_a - (n_coef if n_coef != n_a else 0), networks.Setup(hidden=(4,)), rng)
+    flat, at = networks.sums(net, head, x, a, y), 0
+    assert flat[-1] == 9 and np.isclose(flat[-2], ((head.value(net(x), a) - y) ** 2).sum())
+    for p in [*net.parameters(), head.coef]:
+        for k in range(p.size):
+            old, error = p.flat[k], []
+            for move in (1e-6, -1e-6):
+                p.flat[k] = old + move
+                error.append(networks.sums(net, head, x, a, y)[-2])
+            p.flat[k] = old
+            assert abs((error[0] - error[1]) / 2e-6 - flat[at]) < 1e-4 * max(1, abs(flat[at]))
+            at += 1
+    assert at == len(flat) - 2
+    head.applied = False
+    assert not networks.sums(net, head, x, a, y)[: sum(p.size for p in net.parameters())].any()
+    assert networks.sums(net, head, x, a, y, within=0.5)[-1] == (np.abs(y) <= 0.5).sum()
+
+
+def test_rows_in_spark_and_on_the_driver_give_one_fit(table, tmp_path):
+    base = networks.Setup(hidden=(5,), epochs=6, batch=20, steps=3, group_lasso=0.01)
+    x = np.random.default_rng(0).normal(size=(10, 3))
+    held = networks.fit_columns(table, ["f1", "f2", "f3"], "y", base)
+    stored = networks.fit_columns(table, ["f1", "f2", "f3"], "y", networks.Setup(**{**base.__dict__, "bound": 0}))
+    assert np.allclose(held(x), stored(x), rtol=1e-6)
+    p = compensation.Params("m3vc", ("f1", "f2", "f3"), ("bx", "by", "bz"), "y", network=base)
+    q = compensation.Params("m3vc", ("f1", "f2", "f3"), ("bx", "by", "bz"), "y", network=networks.Setup(**{**base.__dict__, "bound": 0}))
+    a, b = [{r.t: r.y_hat for r in compensation.predict(table, ORDER, s, compensation.train(table, ORDER, s)).collect()} for s in (p, q)]
+    assert np.allclose([a[k] for k in sorted(a)], [b[k] for k in sorted(b)], rtol=1e-6)
+
+
+def test_fits_of_odd_tables(spark, table):
+    setup = networks.Setup(hidden=(2,), epochs=2)
+    same = table.limit(1).crossJoin(spark.range(40)).drop("id")  # one row, many times
+    assert np.isfinite(networks.fit_columns(same, ["f1"], "y", setup)(np.zeros((1, 1)))).all()
+    with pytest.raises(ValueError):
+        networks.fit_columns(table.filter("false"), ["f1"], "y", setup)
+
+
+def test_adam_leaves_resting_numbers_alone():
+    p = [np.zeros(3), np.zeros(2)]
+    adam = networks.Adam(p, 0.1)
+    adam.step([np.ones(3), np.ones(2)], [np.array([True, False, True]), False])
+    assert np.allclose(p[0], [-0.1, 0, -0.1]) and not p[1].any()
+    adam.step([np.ones(3), np.ones(2)], [True, True])
+    assert np.allclose(p[0], [-0.2, -0.1, -0.2]) and np.allclose(p[1], -0.1)
+
+
+@pytest.mark.parametrize("kind", ["m2b", "m2d", "m3tl", "m3s", "m3vc", "m3w"])
+def test_parts_add_up(table, kind):
+    clash = table.withColumn("y_total", F.lit(1.0))
+    p = compensation.Params(kind, ("f1", "f2", "f3"), ("bx", "by", "bz"), "y", network=networks.Setup(hidden=(4,), epochs=10, batch=64), window=3)
+    model = compensation.train(clash, ORDER, p)
+    rows = compensation.explained(clash, ORDER, p, model).collect()
+    plain = {r.t: r.y_hat for r in compensation.predict(clash, ORDER, p, model).collect()}
+    assert len(rows) == 120 and all(np.isclose(r.y_hat, r.y_permanent + r.y_induced + r.y_eddy + r.y_network) and np.isclose(r.y_hat, plain[r.t]) for r in rows)
+    if kind == "m3tl":  # the network takes no part: what is left is one constant
+        assert np.ptp([r.y_network for r in rows]) < 1e-6
+    with pytest.raises(ValueError):
+        compensation.explained(table, ORDER, compensation.Params("TL", (), ("bx", "by", "bz"), "y"), {"coef": 0})
+
+
+def test_curriculum_takes_up_one_kind_after_the_other():
+    p = compensation.Params("m3sc", ("f1",), ("bx", "by", "bz"), "y")
+    trained = [(x.network, sum(x.coef) if x.coef else None, x.within) for x in compensation.phases(p)]
+    assert trained == [(False, 3, 1.0), (False, 9, 1.0), (False, 18, 1.0), (True, 0, np.inf), (True, None, np.inf)]
+
+
+def test_coefficients_are_trained_on(table):
+    p = compensation.Params("m3tl", ("f1", "f2", "f3"), ("bx", "by", "bz"), "y", ridge=50.0, network=networks.Setup(hidden=(2,), epochs=200, batch=64, rate=0.02))
+    model = compensation.train(table, ORDER, p)
+    start = compensation.error(compensation.predict(table, ORDER, p, {"coef": model["start"], "bias": 0.0, "on": tolles_lawson.columns(p.terms)}), ("line",))
+    assert compensation.error(compensation.predict(table, ORDER, p, model), ("line",)) < start
+
+
+@pytest.mark.parametrize("kind", ["TL", "plsr", "elasticnet", "m1", "m2a", "m2c", "m2d", "m3tl", "m3s", "m3v", "m3sc", "m3vc", "m3w"])
 def test_compensation_models_fit_and_predict(table, kind):
     p = compensation.Params(kind, ("f1", "f2", "f3"), ("bx", "by", "bz"), "y", network=networks.Setup(hidden=(4,), epochs=20, batch=64))
     model = compensation.train(table, ORDER, p)
