@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fluxlane.operators import select, sequence
 from fluxlane.plans.catalog import QUERIES, query
 from fluxlane.plans.tables import ROWS_SQL, SIGNAL, SIGNAL_SQL, load, rounded, signal
+from fluxlane.sources import flights as sources
 
 _LOOKUP = [(i, line, start, end) for i, (line, start, end) in enumerate([(3, 0.0, 1.705e9), (3, 1.0e9, 1.72e9), (7, 1.704e9, 1.71e9), (11, 0.0, 4e9), (12, 5e9, 6e9), (999999, 0.0, 4e9)])]
 _LOOKUP_SQL = "lk(i, line, t_start, t_end) AS (VALUES " + ", ".join(f"({i}, {n}, {a}::DOUBLE, {b}::DOUBLE)" for i, n, a, b in _LOOKUP) + ")"
@@ -208,3 +209,27 @@ def overlay_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = signal(spark, sf_dir)
     fast = rows.withColumnRenamed("value", "fast_value")
     return select.overlay(rows.filter("event_type = 'click'").select("line", "tt", "event_id"), fast, SIGNAL, 4, ["fast_value"]).select("line", "event_id", "fast_value")
+
+
+_RATE = "(CASE WHEN n < 3 THEN 0 WHEN rn = 1 THEN lead({0}) OVER o - {0} WHEN rn = n THEN {0} - lag({0}) OVER o ELSE (lead({0}) OVER o - lag({0}) OVER o) / 2 END / 0.5)"
+
+
+@query(f"""WITH {ROWS_SQL}, m AS (SELECT line, event_id, rn, n, value % 50 AS vn, 70 + value % 7 AS ve, value % 3 - 1 AS vd, value * 3 AS fx, 200 + value AS fy, -300.0::DOUBLE AS fz FROM w),
+d AS (SELECT *, {_RATE.format("vn")} AS dn, {_RATE.format("ve")} AS de, {_RATE.format("vd")} AS dd FROM m WINDOW o AS (PARTITION BY line ORDER BY rn)),
+a AS (SELECT *, CASE WHEN line % 4 = 1 THEN 0 ELSE 0.1 END AS r, CASE WHEN line % 4 = 1 THEN radians(2) ELSE -0.2 END AS p, CASE WHEN line % 4 = 1 THEN atan2(ve, vn) ELSE 1.5 END AS y FROM d)
+SELECT event_id, round((rn - 1) * 0.5, 6) + 0.0 AS tt, round(CASE WHEN line % 3 = 0 THEN dn ELSE 1 END, 6) + 0.0 AS fn, round(CASE WHEN line % 3 = 0 THEN de ELSE 0.5 END, 6) + 0.0 AS fe, round(CASE WHEN line % 3 = 0 THEN dd - 9.80665 ELSE -9.5 END, 6) + 0.0 AS fd,
+ round(cos(p) * cos(y), 6) + 0.0 AS c11, round(cos(r) * cos(y) + sin(r) * sin(p) * sin(y), 6) + 0.0 AS c22, round(sin(r) * cos(p), 6) + 0.0 AS c32, round(CASE WHEN line % 2 = 0 THEN sqrt(fx * fx + fy * fy + fz * fz) ELSE 7 END, 6) + 0.0 AS total FROM a""")
+def flight_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as flights without times: forces lack a value in every third line, attitudes in every fourth, totals in every second."""
+    rn = F.row_number().over(SIGNAL.window)
+    rows = signal(spark, sf_dir).withColumn("rn", rn)
+    gap = lambda when, value: F.when(when & (F.col("rn") == 1), None).otherwise(F.lit(value))
+    third, fourth, second = F.col("line") % 3 == 0, F.col("line") % 4 == 1, F.col("line") % 2 == 0
+    flights = rows.select(
+        "line", "rn", "event_id", F.lit(0.1).alias("lat"), F.lit(0.2).alias("lon"), F.lit(300.0).alias("alt"), (F.col("value") % 50).alias("vn"), (70 + F.col("value") % 7).alias("ve"), (F.col("value") % 3 - 1).alias("vd"),
+        gap(third, 1.0).alias("fn"), F.lit(0.5).alias("fe"), F.lit(-9.5).alias("fd"), gap(fourth, 0.1).alias("roll"), F.lit(-0.2).alias("pitch"), F.lit(1.5).alias("yaw"),
+        (F.col("value") * 3).alias("fx"), (200 + F.col("value")).alias("fy"), F.lit(-300.0).alias("fz"), gap(second, 7.0).alias("total"),
+    )
+    order = select.Order(("line",), ("rn",))
+    out = sources.with_total(sources.with_motion(flights, order, 0.5), order, "fx", "fy", "fz", "total")
+    return rounded(out.select("event_id", "tt", "fn", "fe", "fd", F.col("cnb")[0].alias("c11"), F.col("cnb")[4].alias("c22"), F.col("cnb")[7].alias("c32"), "total"))
