@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fluxlane.llm import chat, decontamination, language, mixing, quality, rules, secrets, simhash, toxicity, warc
+from fluxlane.llm import alignment, chat, decontamination, language, mixing, quality, rules, secrets, simhash, toxicity, warc
 from fluxlane.llm.common import load
 
 
@@ -56,8 +57,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(load(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(load(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return alignment.weigh(aligned.withColumn("groups_sha256", digest).drop("groups"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_quality_classifier, op3_chat_formatting, op4_decontamination, op5_warc_revisits, op6_language_id, op7_source_mixing, op8_simhash, op9_quality_rules, op10_secret_scan)
+    for f in (op1_toxicity, op2_quality_classifier, op3_chat_formatting, op4_decontamination, op5_warc_revisits, op6_language_id, op7_source_mixing, op8_simhash, op9_quality_rules, op10_secret_scan, op11_tokenizer_alignment)
 }
 ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": chat.ORACLE, "op5_warc_revisits": warc.ORACLE, "op7_source_mixing": mixing.ORACLE, "op9_quality_rules": rules.ORACLE}
