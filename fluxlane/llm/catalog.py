@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxlane.llm import alignment, chat, decontamination, language, mixing, quality, rules, secrets, simhash, toxicity, warc
+from fluxlane.llm import alignment, chat, decontamination, jaccard, language, mixing, quality, repair, rules, secrets, simhash, toxicity, warc
 from fluxlane.llm.common import load
 
 
@@ -63,8 +63,17 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.weigh(aligned.withColumn("groups_sha256", digest).drop("groups"))
 
 
+def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = load(spark, sf_dir, "conversations")
+    return repair.repaired(conversations, repair.damaged(conversations))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_quality_classifier, op3_chat_formatting, op4_decontamination, op5_warc_revisits, op6_language_id, op7_source_mixing, op8_simhash, op9_quality_rules, op10_secret_scan, op11_tokenizer_alignment)
+    for f in (op1_toxicity, op2_quality_classifier, op3_chat_formatting, op4_decontamination, op5_warc_revisits, op6_language_id, op7_source_mixing, op8_simhash, op9_quality_rules, op10_secret_scan, op11_tokenizer_alignment, op12_ngram_jaccard, op13_conversation_repair)
 }
 ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": chat.ORACLE, "op5_warc_revisits": warc.ORACLE, "op7_source_mixing": mixing.ORACLE, "op9_quality_rules": rules.ORACLE}
