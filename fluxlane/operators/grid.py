@@ -44,6 +44,8 @@ def axes(grid: DataFrame) -> Axes:
     """From one row of aggregates; a step is (last - first) / (n - 1). The grid must be of one map."""
     name = F.col("map_name") if "map_name" in grid.columns else F.lit(None).cast("string")
     r = grid.agg(F.min("xx"), F.max("xx"), F.min("yy"), F.max("yy"), F.min("ix"), F.max("ix"), F.min("iy"), F.max("iy"), F.min(name), F.max(name)).first()
+    if r[4] is None:
+        raise ValueError("an empty grid has no axes")
     if r[8] != r[9]:
         raise ValueError(f"a grid of one map is needed, not of {r[8]} and {r[9]}")
     nx, ny = r[5] - r[4] + 1, r[7] - r[6] + 1
@@ -187,8 +189,11 @@ def lookup_levels(points: DataFrame, stack: DataFrame, a: Axes, x: str = "lon",
     """Trilinear value at each point: bilinear on the levels (``alt``) below and above it, linear between; the nearest level outside, null off the grid.
 
     The levels of a stack are few; each point asks for two of them by an equi-join.
+    A stack without levels gives null.
     """
     levels = [r[0] for r in stack.select("alt").distinct().orderBy("alt").collect()]  # a row a level
+    if not levels:
+        return points.withColumn(out, F.lit(None).cast("double"))
     known = F.array(*[F.lit(v) for v in levels])
     low = F.coalesce(F.array_max(F.filter(known, lambda v: v <= F.col(z))), F.lit(levels[0]))
     high = F.coalesce(F.array_min(F.filter(known, lambda v: v >= F.col(z))), F.lit(levels[-1]))
@@ -243,7 +248,10 @@ def combine(grid: DataFrame, fallback: DataFrame) -> DataFrame:
 
 
 def combine_levels(grids: DataFrame, levels: Sequence[float], priority: str = "alt") -> DataFrame:
-    """For each level and cell, the value of the highest map at or below it (the lowest map where none is)."""
+    """For each level and cell, the value of the highest map at or below it (the lowest map where none is).
+
+    The maps are layers on the same axes, whatever their names.
+    """
     level = F.explode(F.array(*[F.lit(float(v)) for v in levels])).alias("level")
     long = grids.filter(~is_missing(F.col("val"))).select("*", level)
     rank = F.struct((F.col(priority) <= F.col("level")).alias("below"), F.when(F.col(priority) <= F.col("level"), F.col(priority)).otherwise(-F.col(priority)).alias("near"))
@@ -251,14 +259,15 @@ def combine_levels(grids: DataFrame, levels: Sequence[float], priority: str = "a
 
 
 def level_at(grid3d: DataFrame, alt: float) -> DataFrame:
-    """A level of a stack of maps: linear between the levels around it, the nearest outside."""
+    """A level of each stack (map_name, where there is one): linear between the levels around it, the nearest outside."""
+    by = [c for c in ("map_name",) if c in grid3d.columns]
     below = F.max_by("val", F.when(F.col("alt") <= alt, F.col("alt")))
     above = F.min_by("val", F.when(F.col("alt") >= alt, F.col("alt")))
     a1, a2 = F.max(F.when(F.col("alt") <= alt, F.col("alt"))), F.min(F.when(F.col("alt") >= alt, F.col("alt")))
-    cells = grid3d.groupBy("iy", "ix").agg(F.first("yy").alias("yy"), F.first("xx").alias("xx"), below.alias("_b"), above.alias("_a"), a1.alias("_a1"), a2.alias("_a2"))
+    cells = grid3d.groupBy(*by, "iy", "ix").agg(F.first("yy").alias("yy"), F.first("xx").alias("xx"), below.alias("_b"), above.alias("_a"), a1.alias("_a1"), a2.alias("_a2"))
     share = F.coalesce(F.try_divide(F.lit(alt) - F.col("_a1"), F.col("_a2") - F.col("_a1")), F.lit(0.0))
     value = F.when(F.col("_a1").isNull(), F.col("_a")).when(F.col("_a2").isNull(), F.col("_b")).otherwise(F.col("_b") + share * (F.col("_a") - F.col("_b")))
-    return cells.select("iy", "ix", "yy", "xx", F.lit(alt).alias("alt"), value.alias("val"))
+    return cells.select(*by, "iy", "ix", "yy", "xx", F.lit(alt).alias("alt"), value.alias("val"))
 
 
 def altitude_bucket(alt: Column, dz: float) -> Column:

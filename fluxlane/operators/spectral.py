@@ -1,18 +1,23 @@
 """Field continuation and spectra of map grids by two-dimensional Fourier transforms.
 
-A transform needs its grid whole, so each map level is one group; levels and
-maps run side by side.
+A transform runs along strips of rows, then along strips of columns, where filters
+act and the way back begins, then along rows again (``blocks.along_both``), so
+maps of any size do without a task that holds one. The functions of arrays say what
+the distributed ones compute.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fluxlane.operators import blocks
+from fluxlane.operators.blocks import Sides
+
 SCHEMA = "map_name string, alt double, iy int, ix int, yy double, xx double, val double"
 #: Padding is never wider than this.
 MOST_PAD = 5000
@@ -36,20 +41,24 @@ def wavenumbers(dx: float, dy: float, nx: int, ny: int) -> tuple[np.ndarray, np.
     return np.hypot(kx, ky), kx, ky
 
 
-def expand(values: np.ndarray, pad: int = 1) -> tuple[np.ndarray, int, int]:
-    """(padded grid of 7-smooth dimensions, rows and columns put in front). Edges run linearly into those across."""
-    ny, nx = values.shape
-    my, mx = smooth7(ny + 2 * pad), smooth7(nx + 2 * pad)
-    py, px = (my - ny) // 2, (mx - nx) // 2
+def padding(n: int, pad: int) -> tuple[int, int]:
+    """(places put in front, places in all) of an axis of ``n`` that gets ``pad`` places on each side or more."""
+    total = smooth7(n + 2 * pad)
+    return (total - n) // 2, total
 
-    def along(v: np.ndarray, before: int, total: int) -> np.ndarray:
-        n = len(v)
-        gap = total - n
-        t = (np.arange(1, gap + 1) / (gap + 1))[:, None]
-        ramp = v[-1] * (1 - t) + v[0] * t  # from the last row over to the first
-        return np.concatenate([ramp[gap - before :], v, ramp[: gap - before]])
 
-    return along(along(values, py, my).T, px, mx).T, py, px
+def ramped(v: np.ndarray, before: int, total: int) -> np.ndarray:
+    """Rows put in front of and behind ``v`` that run linearly from the last row over to the first."""
+    gap = total - len(v)
+    t = (np.arange(1, gap + 1) / (gap + 1))[:, None]
+    ramp = v[-1] * (1 - t) + v[0] * t
+    return np.concatenate([ramp[gap - before :], v, ramp[: gap - before]])
+
+
+def expand(values: np.ndarray, pad: int = 1) -> tuple[np.ndarray, int, int]:
+    """(padded grid of 7-smooth dimensions, rows and columns put in front). Edges run linearly into those across."""
+    (py, my), (px, mx) = (padding(n, pad) for n in values.shape)
+    return ramped(ramped(values, py, my).T, px, mx).T, py, px
 
 
 def continued(values: np.ndarray, dx: float, dy: float, dz: float, alpha: float = 0.0, padded: bool = True) -> np.ndarray:
@@ -60,28 +69,36 @@ def continued(values: np.ndarray, dx: float, dy: float, dz: float, alpha: float
     py = px = 0
     wide = values
     if padded:
-        pad = min(MOST_PAD, int(np.ceil(10 * abs(dz) / min(abs(dx), abs(dy)))))
-        wide, py, px = expand(values, pad)
+        wide, py, px = expand(values, pad_of(dz, dx, dy))
     k, _, _ = wavenumbers(dx, dy, wide.shape[1], wide.shape[0])
+    return np.real(np.fft.ifft2(np.fft.fft2(wide) * continuation(k, dz, alpha)))[py : py + ny, px : px + nx]
+
+
+def pad_of(dz: float, dx: float, dy: float) -> int:
+    return min(MOST_PAD, int(np.ceil(10 * abs(dz) / min(abs(dx), abs(dy)))))
+
+
+def continuation(k: np.ndarray, dz: float, alpha: float) -> np.ndarray:
+    """The filter that carries a field ``dz`` up; down, damped by ``alpha``."""
     up = np.exp(-k * dz)
-    h = up / (1 + (alpha if dz < 0 else 0.0) * k**2 * up)
-    return np.real(np.fft.ifft2(np.fft.fft2(wide) * h))[py : py + ny, px : px + nx]
+    return up / (1 + (alpha if dz < 0 else 0.0) * k**2 * up)
 
 
 def vector_components(values: np.ndarray, dx: float, dy: float, declination: float, inclination: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(x, y, z) components of a scalar anomaly along a field direction; their means keep the scalar's."""
     ny, nx = values.shape
-    s, u, v = wavenumbers(dx, dy, nx, ny)
+    f = np.fft.fft2(values)
+    x, y, z = (np.real(np.fft.ifft2(f * h)) for h in direction_filters(*wavenumbers(dx, dy, nx, ny), declination, inclination))
+    return x, y, z
+
+
+def direction_filters(s: np.ndarray, u: np.ndarray, v: np.ndarray, declination: float, inclination: float) -> Iterator[np.ndarray]:
+    """The filters from the field along a direction to its x, y and z components, at wavenumbers (whole, x, y)."""
     east, north, down = np.cos(inclination) * np.cos(declination), np.cos(inclination) * np.sin(declination), np.sin(inclination)
     below = 1j * (u * east + v * north) + down * s
-    below[0, 0] = 1
-    f = np.fft.fft2(values)
-    out = []
+    mean = s == 0
     for above in (1j * u, 1j * v, s.astype(complex)):
-        h = above / below
-        h[0, 0] = 1
-        out.append(np.real(np.fft.ifft2(f * h)))
-    return out[0], out[1], out[2]
+        yield np.where(mean, 1, above / np.where(mean, 1, below))
 
 
 def spectrum(values: np.ndarray, dx: float, dy: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,32 +114,69 @@ def damping_curve(values: np.ndarray, dx: float, dy: float, dz: float, alphas: S
     return [*diffs, diffs[-1] if diffs else 0.0]
 
 
-def as_array(pdf: pd.DataFrame) -> tuple[np.ndarray, float, float]:
-    """(values, dx, dy) of one level's rows; cells that are absent are 0."""
-    iy, ix = pdf["iy"].to_numpy() - pdf["iy"].min(), pdf["ix"].to_numpy() - pdf["ix"].min()
-    values = np.zeros((iy.max() + 1, ix.max() + 1))
-    values[iy, ix] = pdf["val"].to_numpy(float)
-    step = lambda c, n: (pdf[c].max() - pdf[c].min()) / max(n - 1, 1) or 1.0
-    return values, step("xx", values.shape[1]), step("yy", values.shape[0])
+def _columns_of(sides: Sides, mx: int, my: int, at: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(k, kx, ky) of ``n`` columns from ``at`` on of a grid of mx columns and my rows."""
+    kx, ky = np.meshgrid(2 * np.pi * np.fft.fftfreq(mx, sides.dx)[at : at + n], 2 * np.pi * np.fft.fftfreq(my, sides.dy))
+    return np.hypot(kx, ky), kx, ky
+
+
+class Continued:
+    """The three steps of a continuation by several distances at once; ``moves``: (distance, damping) of a level, by its head."""
+
+    def __init__(self, moves) -> None:
+        self.moves = moves
+
+    def _still(self, dz: float, alpha: float) -> bool:
+        return dz == 0 or (dz < 0 and alpha == 0)
+
+    def first(self, head: dict, values: np.ndarray, sides: Sides) -> Iterator[tuple[int, np.ndarray]]:
+        for n, (dz, alpha) in enumerate(self.moves(head)):
+            if self._still(dz, alpha):
+                yield n, values
+            else:
+                px, mx = padding(sides.nx, pad_of(dz, sides.dx, sides.dy))
+                yield n, np.fft.fft(ramped(values.T, px, mx).T, axis=1)
+
+    def second(self, head: dict, variant: int, values: np.ndarray, at: int, sides: Sides) -> Iterator[tuple[int, np.ndarray]]:
+        dz, alpha = self.moves(head)[variant]
+        if not self._still(dz, alpha):
+            pad = pad_of(dz, sides.dx, sides.dy)
+            py, my = padding(sides.ny, pad)
+            k, _, _ = _columns_of(sides, padding(sides.nx, pad)[1], my, at, values.shape[1])
+            values = np.fft.ifft(np.fft.fft(ramped(values, py, my), axis=0) * continuation(k, dz, alpha), axis=0)[py : py + sides.ny]
+        yield variant, values
+
+    def last(self, head: dict, variant: int, strip: np.ndarray, sides: Sides) -> np.ndarray:
+        """A strip of rows of the continued field."""
+        dz, alpha = self.moves(head)[variant]
+        if self._still(dz, alpha):
+            return strip.real
+        px, _ = padding(sides.nx, pad_of(dz, sides.dx, sides.dy))
+        return np.fft.ifft(strip, axis=1).real[:, px : px + sides.nx]
 
 
-def _rows(pdf: pd.DataFrame, values: np.ndarray, alt: float) -> pd.DataFrame:
-    iy, ix = np.indices(values.shape)
-    y0, x0 = pdf["iy"].min(), pdf["ix"].min()
-    yy, xx = np.linspace(pdf["yy"].min(), pdf["yy"].max(), values.shape[0]), np.linspace(pdf["xx"].min(), pdf["xx"].max(), values.shape[1])
-    return pd.DataFrame({"map_name": pdf["map_name"].iloc[0], "alt": alt, "iy": (iy + y0).ravel().astype(np.int32), "ix": (ix + x0).ravel().astype(np.int32), "yy": yy[iy].ravel(), "xx": xx[ix].ravel(), "val": values.ravel()})
+def continue_map(grid: DataFrame, altitudes: Sequence[float], alpha: float = 0.0, cells: int = blocks.CELLS) -> DataFrame:
+    """Each map (map_name, alt and cells) at each altitude. Its cells move once, its spectra twice."""
+    goals = sorted(float(a) for a in altitudes)
+    steps = Continued(lambda head: [(to - float(head["alt"]), alpha) for to in goals])
 
+    def finish(head: dict, at: int, stack: dict[int, np.ndarray], sides: Sides) -> pd.DataFrame:
+        return pd.concat([blocks.cells_of({"map_name": head["map_name"], "alt": goals[n]}, at, steps.last(head, n, strip, sides), sides) for n, strip in stack.items()])
 
-def continue_map(grid: DataFrame, altitudes: Sequence[float], alpha: float = 0.0) -> DataFrame:
-    """Each map (map_name, alt and cells) at each altitude: one group a map and altitude."""
+    return blocks.along_both(grid, ["map_name", "alt"], steps.first, steps.second, finish, SCHEMA, cells=cells)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values, dx, dy = as_array(pdf)
-        to = float(pdf["_to"].iloc[0])
-        return _rows(pdf, continued(values, dx, dy, to - float(pdf["alt"].iloc[0]), alpha), to)
 
-    todo = grid.withColumn("_to", F.explode(F.array(*[F.lit(float(a)) for a in sorted(altitudes)])))
-    return todo.groupBy("map_name", "alt", "_to").applyInPandas(run, SCHEMA)
+def damping_of_map(grid: DataFrame, dz: float, alphas: Sequence[float], cells: int = blocks.CELLS) -> DataFrame:
+    """map_name, alt, alpha and change: the largest change of a downward continuation from each damping to the next (the last one keeps that before it)."""
+    steps = Continued(lambda head: [(dz, a) for a in alphas])
+
+    def finish(head: dict, at: int, stack: dict[int, np.ndarray], sides: Sides) -> pd.DataFrame:
+        maps = [steps.last(head, n, stack[n], sides) for n in sorted(stack)]
+        changes = [float(np.max(np.abs(b - a))) for a, b in zip(maps, maps[1:], strict=False)]
+        return pd.DataFrame([(head["map_name"], head["alt"], float(a), c) for a, c in zip(alphas, [*changes, (changes or [0.0])[-1]], strict=True)], columns=["map_name", "alt", "alpha", "change"])
+
+    strips = blocks.along_both(grid, ["map_name", "alt"], steps.first, steps.second, finish, "map_name string, alt double, alpha double, change double", cells=cells)
+    return strips.groupBy("map_name", "alt", "alpha").agg(F.max("change").alias("change"))
 
 
 def extend_stack(grid3d: DataFrame, low: float, high: float, alpha: float = 0.0) -> DataFrame:
@@ -139,46 +193,70 @@ def extend_stack(grid3d: DataFrame, low: float, high: float, alpha: float = 0.0)
     return out
 
 
-def level_drape(grid: DataFrame, alt: float, down: float = 150.0, up: float = 150.0, dz: float = 5.0, alpha: float = 200.0) -> DataFrame:
+def level_drape(grid: DataFrame, alt: float, down: float = 150.0, up: float = 150.0, dz: float = 5.0, alpha: float = 200.0, cells: int = 1 << 14) -> DataFrame:
     """A drape map (own altitude in each cell) brought to one altitude.
 
     A stack of continuations from the mean drape is made, and each cell takes
-    the level that its own distance asks for, between two levels linearly.
+    the level that its own distance asks for, between two levels linearly. A strip
+    of rows holds all levels at once, so it has fewer cells than others; only
+    levels that some cell of the table asks for are made.
     """
+    move = F.least(F.greatest(alt - F.col("alt"), F.lit(-float(down))), F.lit(float(up)))
+    r = grid.agg(F.min(move), F.max(move)).first()
+    n = np.arange(-np.ceil(down / dz), np.ceil(up / dz) + 1) * dz
+    n = n[(n >= r[0] - dz) & (n <= r[1] + dz)] if r[0] is not None else n
+    steps = Continued(lambda head: [(float(s), alpha) for s in n])
+    heights, values = len(n), len(n) + 1
+
+    def first(head: dict, own: np.ndarray, at: np.ndarray, sides: Sides) -> Iterator[tuple[int, np.ndarray]]:
+        yield from steps.first(head, own, sides)
+        yield heights, at
+        yield values, own
+
+    def second(head: dict, variant: int, strip: np.ndarray, at: int, sides: Sides) -> Iterator[tuple[int, np.ndarray]]:
+        yield from ((variant, strip),) if variant >= heights else steps.second(head, variant, strip, at, sides)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values, dx, dy = as_array(pdf)
-        heights = as_array(pdf.assign(val=pdf["alt"]))[0]
-        move = np.clip(alt - heights, -down, up)
-        steps = np.arange(-np.ceil(down / dz), np.ceil(up / dz) + 1) * dz
-        steps = steps[(steps >= move.min() - dz) & (steps <= move.max() + dz)]
-        stack = np.stack([continued(values, dx, dy, s, alpha) for s in steps])
-        at = np.clip((move - steps[0]) / dz, 0, len(steps) - 1)
-        i = np.minimum(at.astype(int), max(len(steps) - 2, 0))
-        share, j = at - i, np.minimum(i + 1, len(steps) - 1)
-        a, b = np.take_along_axis(stack, i[None], 0)[0], np.take_along_axis(stack, j[None], 0)[0]
-        return _rows(pdf, np.where(values == 0, 0.0, a + share * (b - a)), alt)
+    def finish(head: dict, at: int, stack: dict[int, np.ndarray], sides: Sides) -> pd.DataFrame:
+        moves = np.clip(alt - stack[heights].real, -down, up)
+        place = np.clip((moves - n[0]) / dz, 0, len(n) - 1)
+        low = np.minimum(place.astype(int), max(len(n) - 2, 0))
+        levels = np.stack([steps.last(head, k, stack[k], sides) for k in range(len(n))])
+        a, b = (np.take_along_axis(levels, k[None], 0)[0] for k in (low, np.minimum(low + 1, len(n) - 1)))
+        return blocks.cells_of({"map_name": head["map_name"], "alt": alt}, at, np.where(stack[values].real == 0, 0.0, a + (place - low) * (b - a)), sides)
 
-    return grid.groupBy("map_name").applyInPandas(run, SCHEMA)
+    return blocks.along_both(grid.withColumn("_own", F.col("alt").cast("double")), ["map_name"], first, second, finish, SCHEMA, cells=cells, more=["_own"])
 
 
-def vectors_of_map(grid: DataFrame, declination: float, inclination: float) -> DataFrame:
+def _forward(head: dict, values: np.ndarray, sides: Sides) -> Iterator[tuple[int, np.ndarray]]:
+    yield 0, np.fft.fft(values, axis=1)
+
+
+def vectors_of_map(grid: DataFrame, declination: float, inclination: float, cells: int = blocks.CELLS) -> DataFrame:
     """map_name, iy, ix and the three components of each map."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values, dx, dy = as_array(pdf)
-        x, y, z = vector_components(values, dx, dy, declination, inclination)
-        rows = _rows(pdf, values, 0.0)
+    def second(head: dict, variant: int, strip: np.ndarray, at: int, sides: Sides) -> Iterator[tuple[int, np.ndarray]]:
+        f = np.fft.fft(strip, axis=0)
+        waves = _columns_of(sides, sides.nx, sides.ny, at, strip.shape[1])
+        for n, h in enumerate(direction_filters(*waves, declination, inclination)):
+            yield n, np.fft.ifft(f * h, axis=0)
+
+    def finish(head: dict, at: int, stack: dict[int, np.ndarray], sides: Sides) -> pd.DataFrame:
+        x, y, z = (np.fft.ifft(stack[n], axis=1).real for n in range(3))
+        rows = blocks.cells_of(head, at, x, sides)
         return rows[["map_name", "iy", "ix"]].assign(val_x=x.ravel(), val_y=y.ravel(), val_z=z.ravel())
 
-    return grid.groupBy("map_name").applyInPandas(run, "map_name string, iy int, ix int, val_x double, val_y double, val_z double")
+    return blocks.along_both(grid, ["map_name"], _forward, second, finish, "map_name string, iy int, ix int, val_x double, val_y double, val_z double", cells=cells)
 
 
-def spectrum_of_map(grid: DataFrame) -> DataFrame:
+def spectrum_of_map(grid: DataFrame, cells: int = blocks.CELLS) -> DataFrame:
     """map_name, kx, ky and power of each map."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        power, kx, ky = spectrum(*as_array(pdf))
-        return pd.DataFrame({"map_name": pdf["map_name"].iloc[0], "kx": kx.ravel(), "ky": ky.ravel(), "power": power.ravel()})
+    def second(head: dict, variant: int, strip: np.ndarray, at: int, sides: Sides) -> Iterator[tuple[int, np.ndarray]]:
+        yield 0, np.abs(np.fft.fft(strip, axis=0)) ** 2
+
+    def finish(head: dict, at: int, stack: dict[int, np.ndarray], sides: Sides) -> pd.DataFrame:
+        power = stack[0].real
+        ky, kx = (2 * np.pi * np.fft.fftfreq(n, d) for n, d in ((sides.ny, sides.dy), (sides.nx, sides.dx)))
+        return pd.DataFrame({"map_name": head["map_name"], "kx": np.tile(kx, len(power)), "ky": np.repeat(ky[at : at + len(power)], sides.nx), "power": power.ravel()})
 
-    return grid.groupBy("map_name").applyInPandas(run, "map_name string, kx double, ky double, power double")
+    return blocks.along_both(grid, ["map_name"], _forward, second, finish, "map_name string, kx double, ky double, power double", cells=cells)

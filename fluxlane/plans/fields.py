@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fluxlane.functions import geodesy
 from fluxlane.operators import grid as g
-from fluxlane.operators import spectral
+from fluxlane.operators import spectral, spline
 from fluxlane.plans.catalog import query
 from fluxlane.plans.tables import GRID_SQL, grid, load, rounded
 
@@ -128,31 +128,93 @@ def grid_combine_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(g.combine_levels(cells.withColumn("alt", F.lit(100.0)).unionByName(high), [50.0, 150.0, 350.0]), 4)
 
 
-@query()
-def spline_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    surface = g.interpolant(g.fill(grid(spark, sf_dir)))
-    shared = spark.sparkContext.broadcast(surface)  # one map level of bounded size
+_FILLED_SQL = """near AS (SELECT h.ix, h.iy, d.val, row_number() OVER (PARTITION BY h.ix, h.iy ORDER BY (h.xx - d.xx) ** 2 + (h.yy - d.yy) ** 2, d.iy, d.ix) AS r FROM cells h JOIN cells d ON h.val = 0 AND d.val <> 0),
+holes AS (SELECT ix, iy, avg(val) AS v FROM near WHERE r <= 3 GROUP BY 1, 2), filled AS (SELECT iy, ix, yy, xx, coalesce(v, val) AS val FROM cells LEFT JOIN holes USING (ix, iy))"""
+_SIDES_SQL = "g AS (SELECT min(ix) AS x0, max(ix) - min(ix) + 1 AS nx, min(iy) AS y0, max(iy) - min(iy) + 1 AS ny, (max(xx) - min(xx)) / (max(ix) - min(ix)) AS dx, (max(yy) - min(yy)) / (max(iy) - min(iy)) AS dy FROM cells)"
 
-    def run(batches):
-        for b in batches:
-            yield b.assign(map_val=shared.value(b["lat"].to_numpy(), b["lon"].to_numpy()))
 
-    return _points(spark, sf_dir).mapInPandas(run, "c_custkey long, lon double, lat double, map_val double")
+def _spline_sql(kind: str, value: str) -> str:
+    """The spline's coefficients by the closed form of its equations' inverse, and its value at points by the distance of nodes."""
+    middle, scale = {"quadratic": (6, 8), "cubic": (4, 6)}[kind]
+    basis = {
+        "quadratic": "CASE WHEN abs({t}) <= 0.5 THEN 0.75::DOUBLE - {t} * {t} WHEN abs({t}) <= 1.5 THEN (1.5::DOUBLE - abs({t})) ** 2 / 2 ELSE 0 END",
+        "cubic": "CASE WHEN abs({t}) <= 1 THEN 2 / 3::DOUBLE - {t} * {t} + abs({t}) ** 3 / 2 WHEN abs({t}) <= 2 THEN (2 - abs({t})) ** 3 / 6 ELSE 0 END",
+    }[kind]
+    return f"""WITH {GRID_SQL}, {_FILLED_SQL}, {_SIDES_SQL}, {_POINTS_SQL},
+side AS (SELECT 'x' AS axis, nx AS n FROM g UNION ALL SELECT 'y', ny FROM g),
+inner_ AS (SELECT axis, n, acosh({middle / 2}::DOUBLE) AS a, unnest(range(1, n - 1)) AS i FROM side),
+inverse AS (SELECT p.axis, p.n, p.i, q.i AS j, (CASE WHEN (p.i + q.i) % 2 = 0 THEN 1 ELSE -1 END) * sinh(least(p.i, q.i) * p.a) * sinh((p.n - 1 - greatest(p.i, q.i)) * p.a) / sinh(p.a) / sinh((p.n - 1) * p.a) AS t FROM inner_ p JOIN inner_ q ON p.axis = q.axis),
+base AS (SELECT axis, 1 AS c, 1 AS y, 1::DOUBLE AS w, n FROM side UNION ALL SELECT axis, n, n, 1, n FROM side UNION ALL SELECT axis, i + 1, j + 1, {scale} * t, n FROM inverse
+ UNION ALL SELECT axis, i + 1, 1, -t, n FROM inverse WHERE j = 1 UNION ALL SELECT axis, i + 1, n, -t, n FROM inverse WHERE j = n - 2),
+whole AS (SELECT axis, c, y, w FROM base UNION ALL SELECT axis, 0, y, CASE WHEN c = 1 THEN 2 ELSE -1 END * w FROM base WHERE c IN (1, 2) UNION ALL SELECT axis, n + 1, y, CASE WHEN c = n THEN 2 ELSE -1 END * w FROM base WHERE c IN (n, n - 1)),
+along AS (SELECT iy, c AS cx, sum(w * val) AS val FROM filled, g, whole WHERE axis = 'x' AND y = ix - x0 + 1 GROUP BY 1, 2),
+coef AS (SELECT c AS cy, cx, sum(w * val) AS coef FROM along, g, whole WHERE axis = 'y' AND y = iy - y0 + 1 GROUP BY 1, 2),
+spot AS (SELECT c_custkey, lon, lat, lon / dx - x0 AS fx, lat / dy - y0 AS fy, lon / dx >= x0 AND lon / dx <= x0 + nx - 1 AND lat / dy >= y0 AND lat / dy <= y0 + ny - 1 AS inside FROM pts, g),
+found AS (SELECT c_custkey, sum(coef * {basis.format(t="(fx - cx + 1)")} * {basis.format(t="(fy - cy + 1)")}) AS v FROM spot JOIN coef ON inside AND cx BETWEEN floor(fx) - 1 AND floor(fx) + 4 AND cy BETWEEN floor(fy) - 1 AND floor(fy) + 4 GROUP BY 1)
+{value}"""
 
 
-@query()
-def fft_upward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectral.continue_map(g.fill(grid(spark, sf_dir)).withColumn("alt", F.lit(0.0)), [0.0, 0.5, 2.0])
+_SPLINE_VALUE = "SELECT c_custkey, round(v, 3) + 0.0 AS map_val FROM spot LEFT JOIN found USING (c_custkey)"
 
 
-@query()
-def fft_psd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectral.spectrum_of_map(grid(spark, sf_dir))
+def _splined(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    cells = g.fill(grid(spark, sf_dir))
+    return rounded(spline.interpolated(_points(spark, sf_dir), cells, g.axes(grid(spark, sf_dir)), kind).select("c_custkey", "map_val"), 3)
 
 
-@query()
+@query(_spline_sql("cubic", _SPLINE_VALUE))
+def spline_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _splined(spark, sf_dir, "cubic")
+
+
+@query(_spline_sql("quadratic", _SPLINE_VALUE))
+def spline_quadratic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _splined(spark, sf_dir, "quadratic")
+
+
+_FORWARD_SQL = """kk AS (SELECT unnest(range(nx)) AS k FROM g), ll AS (SELECT unnest(range(ny)) AS l FROM g),
+rowed AS (SELECT iy - y0 AS y, k, sum(val * cos(2 * pi() * k * (ix - x0) / nx)) AS re, -sum(val * sin(2 * pi() * k * (ix - x0) / nx)) AS im FROM cells, g, kk GROUP BY 1, 2),
+f AS (SELECT l, k, sum(re * cos(2 * pi() * l * y / ny) + im * sin(2 * pi() * l * y / ny)) AS re, sum(im * cos(2 * pi() * l * y / ny) - re * sin(2 * pi() * l * y / ny)) AS im FROM rowed, g, ll GROUP BY 1, 2),
+waves AS (SELECT l, k, re, im, 2 * pi() * CASE WHEN k < (nx + 1) // 2 THEN k ELSE k - nx END / (nx * dx) AS u, 2 * pi() * CASE WHEN l < (ny + 1) // 2 THEN l ELSE l - ny END / (ny * dy) AS v FROM f, g)"""
+
+
+@query(f"""WITH {GRID_SQL}, {_FILLED_SQL}, {_SIDES_SQL}, smooth AS (SELECT DISTINCT CAST(2 ** a * 3 ** b * 5 ** c * 7 ** d AS BIGINT) AS n FROM range(13) p(a), range(8) q(b), range(6) r(c), range(5) s(d) WHERE 2 ** a * 3 ** b * 5 ** c * 7 ** d < 4096),
+goal AS (SELECT z, CAST(ceil(10 * z / least(dx, dy)) AS BIGINT) AS pad FROM g, (SELECT unnest([0.5::DOUBLE, 2.0::DOUBLE]) AS z)),
+side AS (SELECT z, axis, n, d, (SELECT min(m.n) FROM smooth m WHERE m.n >= o.n + 2 * pad) AS m FROM (SELECT z, pad, 'x' AS axis, nx AS n, dx AS d FROM goal, g UNION ALL SELECT z, pad, 'y', ny, dy FROM goal, g) o),
+gap AS (SELECT *, (m - n) // 2 AS p, unnest(range(m - n)) AS i FROM side),
+ramp AS (SELECT z, axis, m, n, CASE WHEN i >= m - n - p THEN i - (m - n - p) ELSE p + n + i END AS j, (i + 1) / (m - n + 1)::DOUBLE AS t FROM gap),
+padded AS (SELECT z, axis, m, unnest(range(n)) AS x, unnest(range(n)) + (m - n) // 2 AS j, 1::DOUBLE AS w FROM side UNION ALL SELECT z, axis, m, n - 1, j, 1 - t FROM ramp UNION ALL SELECT z, axis, m, 0, j, t FROM ramp),
+freq AS (SELECT z, axis, m, unnest(range(m)) AS k FROM side),
+way AS (SELECT z, axis, k, x, sum(w * cos(2 * pi() * (k * j % m) / m)) AS c, -sum(w * sin(2 * pi() * (k * j % m) / m)) AS s FROM padded JOIN freq USING (z, axis, m) GROUP BY 1, 2, 3, 4),
+r1 AS (SELECT z, iy - y0 AS y, k, sum(val * c) AS re, sum(val * s) AS im FROM filled, g, way WHERE axis = 'x' AND x = ix - x0 GROUP BY 1, 2, 3),
+r2 AS (SELECT r1.z, way.k AS l, r1.k, sum(re * c - im * s) AS re, sum(re * s + im * c) AS im FROM r1 JOIN way ON way.axis = 'y' AND way.x = r1.y AND way.z = r1.z GROUP BY 1, 2, 3),
+damped AS (SELECT r2.z, l, r2.k, re * h AS re, im * h AS im, a.m AS mx, (a.m - a.n) // 2 AS px, b.m AS my, (b.m - b.n) // 2 AS py FROM (SELECT r2.z, r2.l, r2.k, r2.re, r2.im,
+ exp(-r2.z * sqrt((2 * pi() * CASE WHEN r2.k < (a.m + 1) // 2 THEN r2.k ELSE r2.k - a.m END / (a.m * a.d)) ** 2 + (2 * pi() * CASE WHEN r2.l < (b.m + 1) // 2 THEN r2.l ELSE r2.l - b.m END / (b.m * b.d)) ** 2)) AS h FROM r2 JOIN side a ON a.axis = 'x' AND a.z = r2.z JOIN side b ON b.axis = 'y' AND b.z = r2.z) r2
+ JOIN side a ON a.axis = 'x' AND a.z = r2.z JOIN side b ON b.axis = 'y' AND b.z = r2.z),
+r3 AS (SELECT z, k, y, mx, px, my, sum(re * cos(2 * pi() * (l * (y + py) % my) / my) - im * sin(2 * pi() * (l * (y + py) % my) / my)) AS re, sum(re * sin(2 * pi() * (l * (y + py) % my) / my) + im * cos(2 * pi() * (l * (y + py) % my) / my)) AS im FROM damped, (SELECT unnest(range(ny)) AS y FROM g) GROUP BY 1, 2, 3, 4, 5, 6),
+r4 AS (SELECT z, y, x, sum(re * cos(2 * pi() * (k * (x + px) % mx) / mx) - im * sin(2 * pi() * (k * (x + px) % mx) / mx)) / any_value(mx) / any_value(my) AS val FROM r3, (SELECT unnest(range(nx)) AS x FROM g) GROUP BY 1, 2, 3)
+SELECT 'orders' AS map_name, z AS alt, CAST(y + y0 AS INTEGER) AS iy, CAST(x + x0 AS INTEGER) AS ix, (y + y0) * 0.5::DOUBLE AS yy, (x + x0) * 0.25::DOUBLE AS xx, round(val, 3) + 0.0 AS val FROM r4, g UNION ALL
+SELECT 'orders', 0, CAST(y + y0 AS INTEGER), CAST(x + x0 AS INTEGER), (y + y0) * 0.5::DOUBLE, (x + x0) * 0.25::DOUBLE, round(coalesce(val, 0), 3) + 0.0 FROM g, (SELECT unnest(range(ny)) AS y FROM g), (SELECT unnest(range(nx)) AS x FROM g) LEFT JOIN filled ON iy = y + y0 AND ix = x + x0""")
+def fft_upward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spectral.continue_map(g.fill(grid(spark, sf_dir)).withColumn("alt", F.lit(0.0)), [0.0, 0.5, 2.0]), 3)
+
+
+@query(f"WITH {GRID_SQL}, {_SIDES_SQL}, {_FORWARD_SQL} SELECT 'orders' AS map_name, round(u, 6) + 0.0 AS kx, round(v, 6) + 0.0 AS ky, round(log10(re * re + im * im), 6) + 0.0 AS log_power FROM waves")
+def fft_psd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The power's logarithm, which engines can agree on over its whole range."""
+    return rounded(spectral.spectrum_of_map(grid(spark, sf_dir)).select("map_name", "kx", "ky", F.log10("power").alias("log_power")))
+
+
+@query(f"""WITH {GRID_SQL}, {_SIDES_SQL}, {_FORWARD_SQL},
+below AS (SELECT *, sqrt(u * u + v * v) AS s, sin(1.1::DOUBLE) * sqrt(u * u + v * v) AS br, cos(1.1::DOUBLE) * (u * cos(0.2::DOUBLE) + v * sin(0.2::DOUBLE)) AS bi FROM waves),
+part AS (SELECT *, unnest(['x', 'y', 'z']) AS way FROM below),
+ratio AS (SELECT l, k, way, re, im, CASE WHEN s = 0 THEN 1 WHEN way = 'z' THEN s * br / (br * br + bi * bi) ELSE a * bi / (br * br + bi * bi) END AS hr, CASE WHEN s = 0 THEN 0 WHEN way = 'z' THEN -s * bi / (br * br + bi * bi) ELSE a * br / (br * br + bi * bi) END AS hi FROM (SELECT *, CASE way WHEN 'x' THEN u ELSE v END AS a FROM part)),
+turned AS (SELECT l, k, way, re * hr - im * hi AS re, re * hi + im * hr AS im FROM ratio),
+r3 AS (SELECT way, k, y.l AS y, sum(re * cos(2 * pi() * (t.l * y.l % ny) / ny) - im * sin(2 * pi() * (t.l * y.l % ny) / ny)) AS re, sum(re * sin(2 * pi() * (t.l * y.l % ny) / ny) + im * cos(2 * pi() * (t.l * y.l % ny) / ny)) AS im FROM turned t, ll y, g GROUP BY 1, 2, 3),
+r4 AS (SELECT way, y, x.k AS x, sum(re * cos(2 * pi() * (r3.k * x.k % nx) / nx) - im * sin(2 * pi() * (r3.k * x.k % nx) / nx)) / any_value(nx) / any_value(ny) AS val FROM r3, kk x, g GROUP BY 1, 2, 3)
+SELECT 'orders' AS map_name, CAST(y + y0 AS INTEGER) AS iy, CAST(x + x0 AS INTEGER) AS ix, round(max(CASE WHEN way = 'x' THEN val END), 3) + 0.0 AS val_x, round(max(CASE WHEN way = 'y' THEN val END), 3) + 0.0 AS val_y, round(max(CASE WHEN way = 'z' THEN val END), 3) + 0.0 AS val_z FROM r4, g GROUP BY 1, 2, 3""")
 def fft_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectral.vectors_of_map(grid(spark, sf_dir), 0.2, 1.1)
+    return rounded(spectral.vectors_of_map(grid(spark, sf_dir), 0.2, 1.1), 3)
 
 
 @query()
