@@ -361,6 +361,25 @@ class Interpolant:
         return value, np.array([north / (self.a.dy or 1), east / (self.a.dx or 1)])
 
 
+    def curved(self, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values, slopes (by latitude, longitude) and curvatures (twice by latitude, by both, twice by longitude) of a cubic surface at many points; beyond the edges it is level."""
+        if self.kind != "cubic":
+            raise ValueError("a cubic surface is needed")
+        sides = []
+        for at, zero, step, n in ((lat, self.a.y0, self.a.dy, self.values.shape[0]), (lon, self.a.x0, self.a.dx, self.values.shape[1])):
+            f = (np.asarray(at, float) - zero) / (step or 1)
+            i = np.clip(np.floor(f).astype(int), 0, max(n - 2, 0))
+            u = np.clip(f - i, 0, 1)
+            on, step = (u == f - i).astype(float), step or 1
+            slope = np.stack([-((1 - u) ** 2) / 2, (3 * u - 4) * u / 2, ((-3 * u + 2) * u + 1) / 2, u * u / 2]) * on / step
+            bend = np.stack([1 - u, 3 * u - 2, 1 - 3 * u, u]) * on / step**2
+            sides.append((i, np.stack(_weights(u)), slope, bend))
+        (i, *y), (j, *x) = sides
+        patch = self.coef[i[:, None, None] + np.arange(4)[:, None], j[:, None, None] + np.arange(4)]
+        over = lambda a, b: np.einsum("kn,nkl,ln->n", a, patch, b)
+        return over(y[0], x[0]), np.stack([over(y[1], x[0]), over(y[0], x[1])], 1), np.stack([over(y[2], x[0]), over(y[1], x[1]), over(y[0], x[2])], 1)
+
+
 def _patch(f: float, n: int) -> tuple[int, tuple, tuple]:
     """First node of the patch of place ``f`` on an axis of ``n`` nodes, the weights there and their derivatives."""
     i = min(max(math.floor(f), 0), max(n - 2, 0))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from fluxlane.functions.geodesy import EARTH_RADIUS, EARTH_RATE, ECCENTRICITY
 from fluxlane.functions import geodesy
 from fluxlane.operators.grid import Interpolant
+from fluxlane.operators.networks import Network
 from fluxlane.operators.select import Order
 
 MOTION = ("lat", "lon", "alt", "vn", "ve", "vd", "fn", "fe", "fd")
@@ -211,11 +212,33 @@ def propagate(s: State, phi: np.ndarray, q: np.ndarray) -> State:
     return replace(s, x=phi @ s.x, p=phi @ s.p @ phi.T + q)
 
 
-def ekf(motion: np.ndarray, cnb: np.ndarray, z: np.ndarray, surface: Interpolant, m: Model, extra_h: np.ndarray | None = None, x0: np.ndarray | None = None, noise_factor: np.ndarray | None = None, p0: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class LearntNetwork:
+    """A network whose weights are states of a filter, and what turns its output into a measurement: times ``scale``, plus ``bias``."""
+
+    net: Network
+    bias: float = 0.0
+    scale: float = 1.0
+
+    @property
+    def weights(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in self.net.parameters()])
+
+    def at(self, x: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray]:
+        """The measurement's part and its slopes by the weights, for one row of inputs."""
+        now = self.net.with_parameters(weights)
+        y, inputs, sums = now.forward(x[None])
+        slopes = now.backward(np.ones((1, 1)), inputs, sums)
+        return float(y[0, 0]) * self.scale + self.bias, np.concatenate([g.ravel() for g in slopes]) * self.scale
+
+
+def ekf(motion: np.ndarray, cnb: np.ndarray, z: np.ndarray, surface: Interpolant, m: Model, extra_h: np.ndarray | None = None, x0: np.ndarray | None = None, noise_factor: np.ndarray | None = None, p0: np.ndarray | None = None, network: LearntNetwork | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(states, covariances, residuals) of one line, each as it is after its update.
 
     ``extra_h`` (a row a sample) makes the filter learn that many coefficients
-    too, from ``x0`` on: Tolles-Lawson columns, or slopes of a network.
+    too, from ``x0`` on: Tolles-Lawson columns, or slopes of a network. With
+    ``network``, ``extra_h`` holds its inputs, and the coefficients are its weights:
+    its output and slopes are taken anew at each sample, at the weights of then.
     """
     phi, q = transition(motion, cnb, m), process_noise(m)
     s = State(np.zeros(m.size), initial_covariance(m, motion[0, 0]) if p0 is None else p0)
@@ -224,7 +247,10 @@ def ekf(motion: np.ndarray, cnb: np.ndarray, z: np.ndarray, surface: Interpolant
     xs, ps, rs = np.zeros((len(z), m.size)), np.zeros((len(z), m.size, m.size)), np.zeros(len(z))
     for i, value in enumerate(z):
         h = None if extra_h is None else extra_h[i]
-        extra = 0.0 if h is None else float(h @ s.x[17 : 17 + len(h)])
+        if network is not None:
+            extra, h = network.at(h, s.x[17 : 17 + len(x0)])
+        else:
+            extra = 0.0 if h is None else float(h @ s.x[17 : 17 + len(h)])
         s, rs[i] = update(s, float(value), motion[i, 0], motion[i, 1], surface, m, h, extra, 1.0 if noise_factor is None else 1.0 + noise_factor[i])
         xs[i], ps[i] = s.x, s.p
         s = propagate(s, phi[i], q)
@@ -336,12 +362,14 @@ def recursive_least_squares(jacobian: np.ndarray, p0: float = 1.0) -> np.ndarray
 FILTER_SCHEMA = "tt double, x array<double>, p array<double>, residual double, converged boolean"
 
 
-def run_filter(df: DataFrame, order: Order, surface: Interpolant, m: Model, kind: str = "ekf", z: str = "z", tt: str = "tt", extra: Sequence[str] = (), x0: Sequence[float] = (), noise_factor: str | None = None, particles: int = 1000, seed: int = 2, full: bool = True) -> DataFrame:
+def run_filter(df: DataFrame, order: Order, surface: Interpolant, m: Model, kind: str = "ekf", z: str = "z", tt: str = "tt", extra: Sequence[str] = (), x0: Sequence[float] = (), noise_factor: str | None = None, particles: int = 1000, seed: int = 2, full: bool = True, network: LearntNetwork | None = None) -> DataFrame:
     """States and covariances (row after row, or, unless ``full``, the variances alone) of every sample of every line.
 
     ``df`` has MOTION's columns, ``cnb`` (array of nine, row after row) and the
     measurement. kind: ekf, online (learns the coefficients of the columns
-    ``extra``), noise (variance times 1 + ``noise_factor``), particle, crlb.
+    ``extra``), network (learns the weights of ``network``, whose inputs the columns
+    ``extra`` are; ``m.extra`` has a deviation for each weight), noise (variance
+    times 1 + ``noise_factor``), particle, crlb.
     """
     shared = df.sparkSession.sparkContext.broadcast(surface)  # one map level of bounded size
     keys = [f"{n} {t}" for n, t in df.select(*order.by).dtypes]
@@ -357,17 +385,20 @@ def run_filter(df: DataFrame, order: Order, surface: Interpolant, m: Model, kind
             xs, ps, done = particle_filter(motion, cnb, values, shared.value, m, particles, seed=seed)
             rs = np.full(len(xs), np.nan)
         else:
-            h = pdf[list(extra)].to_numpy(float) if kind == "online" else None
+            h = pdf[list(extra)].to_numpy(float) if kind in ("online", "network") else None
             factor = pdf[noise_factor].to_numpy(float) if kind == "noise" else None
-            xs, ps, rs = ekf(motion, cnb, values, shared.value, m, h, np.asarray(x0, float) if kind == "online" else None, factor)
+            xs, ps, rs = ekf(motion, cnb, values, shared.value, m, h, start, factor, network=network if kind == "network" else None)
         flat = ps.reshape(len(ps), -1) if full else np.diagonal(ps, axis1=1, axis2=2)
         out = pd.DataFrame({"tt": pdf[tt].to_numpy(float)[: len(xs)], "x": list(xs), "p": list(flat), "residual": rs, "converged": done})
         for c in reversed(order.by):
             out.insert(0, c, pdf[c].iloc[0])
         return out
 
-    if kind not in ("ekf", "online", "noise", "particle", "crlb"):
+    if kind not in ("ekf", "online", "network", "noise", "particle", "crlb"):
         raise ValueError(f"unknown filter {kind}")
+    start = network.weights if kind == "network" and not len(x0) else np.asarray(x0, float) if kind in ("online", "network") else None
+    if start is not None and len(start) != len(m.extra):
+        raise ValueError(f"{len(start)} coefficients but {len(m.extra)} deviations")
     return df.groupBy(*order.by).applyInPandas(run, ", ".join([*keys, FILTER_SCHEMA]))
 
 

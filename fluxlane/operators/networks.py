@@ -84,6 +84,14 @@ class Network:
     def parameters(self) -> list[np.ndarray]:
         return [p for layer in self.layers for p in layer]
 
+    def with_parameters(self, flat: np.ndarray) -> Network:
+        """The network of other parameters, in the order of ``parameters``, one behind the other."""
+        layers, at = [], 0
+        for w, b in self.layers:
+            layers.append((flat[at : at + w.size].reshape(w.shape), flat[at + w.size : at + w.size + b.size]))
+            at += w.size + b.size
+        return Network(layers, self.activation)
+
     def jacobian(self, x: np.ndarray) -> np.ndarray:
         """The output's slope by every parameter, a row a sample: what filters with weights as states need."""
         rows = []

@@ -26,4 +26,4 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return add
 
 
-from fluxlane.plans import earth, fields, navigation, sequences, vectors  # noqa: E402, F401
+from fluxlane.plans import earth, fields, navigation, recurrent, sequences, vectors  # noqa: E402, F401
