@@ -6,13 +6,14 @@ alone), m2a to m2d (with the Tolles-Lawson matrix). Models of the aircraft's
 field as a vector, projected on the measured direction, whose coefficients are
 trained on from their ridge fit: m3tl (no network), m3s and m3v (with a scalar or
 a vector network), m3sc and m3vc (the same by a curriculum), m3w (m3s on windows
-of the features). All are fitted on all rows.
+of the features), m3tf (a transformer on such windows). All are fitted on all rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxlane.operators import linear, networks, tolles_lawson
+from fluxlane.operators.attention import Transformer
 from fluxlane.operators.networks import Phase
 from fluxlane.operators.select import Order
 from fluxlane.operators.sequence import trailing, without_mean
@@ -27,7 +29,8 @@ from fluxlane.operators.sequence import trailing, without_mean
 LINEAR = ("TL", "mod_TL", "map_TL", "elasticnet", "plsr")
 #: Head of each network, and whether coefficients are part of it.
 NETWORKS = {"m1": ("plain", False), "m2a": ("dot", False), "m2b": ("plain", True), "m2c": ("plain", True), "m2d": ("dot", True)}
-VECTOR_MODELS = ("m3tl", "m3s", "m3v", "m3sc", "m3vc", "m3w")
+VECTOR_MODELS = ("m3tl", "m3s", "m3v", "m3sc", "m3vc", "m3w", "m3tf")
+WINDOWED = ("m3w", "m3tf")
 UNIT = ["_u0", "_u1", "_u2"]
 
 
@@ -46,8 +49,9 @@ class Params:
     alpha: float = 0.99
     penalty: float = 0.001
     network: networks.Setup = field(default_factory=networks.Setup)
-    #: Rows of a window of m3w, and deviations within which the curriculum begins.
+    #: Rows of a window of m3w and m3tf, attention heads of m3tf, and deviations within which the curriculum begins.
     window: int = 5
+    heads: int = 2
     within: float = 1.0
 
     def __post_init__(self) -> None:
@@ -61,7 +65,7 @@ def _columns(p: Params) -> list[str]:
 
 def _inputs(p: Params) -> list[str]:
     """Columns that the network reads."""
-    return [f"_w{i}_{k}" for i in range(len(p.features)) for k in range(p.window)] if p.kind == "m3w" else list(p.features)
+    return [f"_w{i}_{k}" for i in range(len(p.features)) for k in range(p.window)] if p.kind in WINDOWED else list(p.features)
 
 
 def _given(p: Params) -> list[str]:
@@ -75,7 +79,7 @@ def _prepared(df: DataFrame, order: Order, p: Params) -> DataFrame:
     if p.kind in ("m3v", "m3vc"):
         length = F.sqrt(sum((F.col(c) ** 2 for c in p.vector), F.lit(0.0)))
         wide = wide.withColumns({u: F.coalesce(F.try_divide(F.col(c).cast("double"), length), F.lit(0.0)) for u, c in zip(UNIT, p.vector, strict=True)})
-    if p.kind == "m3w":
+    if p.kind in WINDOWED:
         wide = wide.withColumns({f"_w{i}": trailing(F.col(c).cast("double"), order, p.window) for i, c in enumerate(p.features)})
         wide = wide.withColumns({f"_w{i}_{k}": F.element_at(f"_w{i}", k + 1) for i in range(len(p.features)) for k in range(p.window)})
     return wide
@@ -115,7 +119,8 @@ def train(df: DataFrame, order: Order, p: Params) -> dict:
     # what is trained is a change of the ridge fit, on what that leaves
     left = F.col(p.y) - linear.predict([F.col(c) for c in a], start)
     kind = "dot" if p.kind in ("m3v", "m3vc") else "plain"
-    return {"start": start, "fitted": networks.fit(wide, _inputs(p), left, p.network, _given(p), kind, np.zeros(len(a)), phases(p))}
+    create = partial(Transformer.create, window=p.window, heads=p.heads) if p.kind == "m3tf" else networks.Network.create
+    return {"start": start, "fitted": networks.fit(wide, _inputs(p), left, p.network, _given(p), kind, np.zeros(len(a)), phases(p), create)}
 
 
 def _applied(df: DataFrame, order: Order, p: Params, model: dict, parts: bool) -> DataFrame:

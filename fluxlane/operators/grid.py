@@ -214,13 +214,18 @@ def from_utm(grid: DataFrame, zone: int, new: Axes, north: bool = True, name: st
     return _regridded(grid, new, name, {"_x": east, "_y": up})
 
 
-def check(points: DataFrame, grid: DataFrame, a: Axes, x: str = "lon", y: str = "lat") -> DataFrame:
-    """One row: whether every point lies strictly inside the grid, on cells that all have data."""
+def on_data(points: DataFrame, grid: DataFrame, a: Axes, x: str = "lon", y: str = "lat", out: str = "on_data") -> DataFrame:
+    """Whether each point lies strictly inside the grid, on cells that all have data."""
     mask = grid.withColumn("val", (~is_missing(F.col("val"))).cast("double"))
-    on = lookup(points, mask, a, x, y, "_on")
+    on = lookup(points, mask, a, x, y, "_share")
     fx, fy = (F.col(x) - a.x0) / (a.dx or 1.0), (F.col(y) - a.y0) / (a.dy or 1.0)
     strict = (fx > a.ix0) & (fx < a.ix0 + a.nx - 1) & (fy > a.iy0) & (fy < a.iy0 + a.ny - 1)
-    return on.agg(F.coalesce(F.bool_and(strict & (F.coalesce("_on", F.lit(0.0)) > 1 - 1e-9)), F.lit(True)).alias("inside"))
+    return on.withColumn(out, F.coalesce(strict & (F.col("_share") > 1 - 1e-9), F.lit(False))).select(*points.columns, out)
+
+
+def check(points: DataFrame, grid: DataFrame, a: Axes, x: str = "lon", y: str = "lat") -> DataFrame:
+    """One row: whether every point is ``on_data``."""
+    return on_data(points, grid, a, x, y, "_on").agg(F.coalesce(F.bool_and("_on"), F.lit(True)).alias("inside"))
 
 
 def resample(grid: DataFrame, new: Axes, name: str | None = None) -> DataFrame:

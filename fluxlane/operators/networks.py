@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -265,8 +265,8 @@ class Fitted:
         return self.head.value(self.net((x - self.x_bias) / self.x_scale), a) * self.y_scale + self.y_bias
 
 
-def fit(df: DataFrame, names: Sequence[str], y: str | Column, s: Setup, a: Sequence[str] = (), kind: str = "plain", coef: np.ndarray | None = None, phases: Sequence[Phase] = (Phase(),)) -> Fitted:
-    """A network of the columns ``names`` fitted to ``y`` on all rows.
+def fit(df: DataFrame, names: Sequence[str], y: str | Column, s: Setup, a: Sequence[str] = (), kind: str = "plain", coef: np.ndarray | None = None, phases: Sequence[Phase] = (Phase(),), create: Callable[..., Network] = Network.create) -> Fitted:
+    """A network of the columns ``names``, made by ``create``, fitted to ``y`` on all rows.
 
     ``a``, ``kind`` and ``coef`` (the coefficients to start from, in y's units)
     make its head. A column of one value only is divided by 1. About
@@ -287,7 +287,7 @@ def fit(df: DataFrame, names: Sequence[str], y: str | Column, s: Setup, a: Seque
     scaled = {c: (F.col(c) - F.lit(float(m))) / F.lit(float(d)) for c, m, d in zip(keys, bias, scale, strict=True)}
     rows = raw.withColumn("_step", step).withColumns(scaled)
     head = Head(kind, np.zeros(0) if coef is None else np.asarray(coef, float) / scale[-1])
-    net = Network.create(len(names), 1 if kind == "plain" else len(a) - (0 if coef is None or len(coef) == len(a) else len(coef)), s, np.random.default_rng(s.seed))
+    net = create(len(names), 1 if kind == "plain" else len(a) - (0 if coef is None or len(coef) == len(a) else len(coef)), s, np.random.default_rng(s.seed))
     held = Held(rows) if row[0] <= s.bound else Stored(rows)
     try:
         train(held, net, head, s, phases)
