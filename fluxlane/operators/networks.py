@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxlane.sources.tables import remove, scratch
@@ -41,6 +41,11 @@ class Setup:
     group_lasso: float = 0.0
     group_share: float = 1.0
     seed: int = 2
+    #: adam, or lbfgs: an epoch is then a step with the gradient of all rows, and a few jobs.
+    optimizer: str = "adam"
+    #: Steps that lbfgs remembers, and how often it halves a step that doesn't lower the error.
+    memory: int = 10
+    halvings: int = 12
     #: Mini-batches an epoch at most: beyond, batches grow with the table.
     steps: int = 64
     #: Tables of more rows stay in Spark while they are fitted on.
@@ -250,6 +255,85 @@ def train(rows: Held | Stored, net: Network, head: Head, s: Setup, phases: Seque
         net.layers, head.coef, head.applied = best[1]
 
 
+class Curve:
+    """What limited-memory BFGS knows of the error's curvature: the latest moves and what they changed in the gradient."""
+
+    def __init__(self, memory: int) -> None:
+        self.memory, self.pairs = memory, []
+
+    def learn(self, move: np.ndarray, change: np.ndarray) -> None:
+        if move @ change > 1e-10 * (change @ change):  # else the curve bends the wrong way there
+            self.pairs = [*self.pairs, (move, change)][-self.memory :]
+
+    def direction(self, slope: np.ndarray) -> np.ndarray:
+        """Downhill, by the two loops over the pairs."""
+        q, shares = slope.copy(), []
+        for move, change in reversed(self.pairs):
+            shares.append((move @ q) / (move @ change))
+            q -= shares[-1] * change
+        if self.pairs:
+            move, change = self.pairs[-1]
+            q *= (move @ change) / (change @ change)
+        for (move, change), share in zip(self.pairs, reversed(shares), strict=True):
+            q += move * (share - (change @ q) / (move @ change))
+        return -q
+
+
+def train_by_curve(rows: Held | Stored, net: Network, head: Head, s: Setup, phases: Sequence[Phase] = (Phase(),)) -> list[float]:
+    """As ``train``, by limited-memory BFGS on the gradient of all rows; the error on the rows fitted on, before each step and at the end."""
+    fit = [k for k in sorted(rows.counts) if k >= 0] or sorted(rows.counts)
+    held = [-1] if -1 in rows.counts else fit
+    parameters = [*net.parameters(), head.coef]
+    cuts = np.cumsum([p.size for p in parameters])
+
+    def put(flat: np.ndarray) -> None:
+        for p, new in zip(parameters, np.split(flat, cuts), strict=False):
+            p[...] = new.reshape(p.shape)
+
+    def look(flat: np.ndarray, on: np.ndarray, within: float) -> tuple[float, np.ndarray]:
+        """The error and its slope, 0 along what is not trained."""
+        put(flat)
+        *sums_, error, n = rows.total(fit, net, head, within)
+        n = max(n, 1)
+        error, slope = error / n, np.array(sums_) / n
+        if s.group_lasso:
+            w = net.layers[0][0]
+            error += s.group_lasso * float(group_penalty(w, s.group_share).sum())
+            slope[: w.size] += s.group_lasso * _group_slope(w, s.group_share).ravel()
+        return error, slope * on
+
+    now, errors, best = np.concatenate([p.ravel() for p in parameters]), [], (np.inf, None, True)
+    starts = [math.ceil(p.since * s.epochs) - (p.since > 0) for p in phases]
+    for phase, first, last in zip(phases, starts, [*starts[1:], s.epochs], strict=True):
+        head.applied = phase.applied
+        on = np.concatenate([*(np.full(p.size, float(phase.network)) for p in net.parameters()), np.ones(head.coef.size) if phase.coef is None else np.array(phase.coef, float)])
+        curve, (error, slope) = Curve(s.memory), look(now, on, phase.within)
+        for _ in range(last - first):
+            errors.append(error)
+            way = curve.direction(slope)
+            if way @ slope >= 0:
+                curve, way = Curve(s.memory), -slope
+            size = 1.0 if curve.pairs else min(1.0, 1 / max(np.abs(slope).sum(), 1e-300))
+            for _ in range(s.halvings):
+                there = now + size * way
+                new_error, new_slope = look(there, on, phase.within)
+                if new_error <= error + 1e-4 * size * (way @ slope):
+                    break
+                size /= 2
+            else:
+                break  # no way down that is worth a step
+            curve.learn(there - now, new_slope - slope)
+            now, error, slope = there, new_error, new_slope
+            *_, miss, n = rows.total(held, net, head) if held != fit else (error, 1)
+            if miss / n < best[0]:
+                best = (miss / n, now.copy(), head.applied)
+        errors.append(error)
+    if best[1] is not None:
+        now, head.applied = best[1], best[2]
+    put(now)
+    return errors
+
+
 @dataclass
 class Fitted:
     """A network with what normalizes its columns."""
@@ -290,7 +374,7 @@ def fit(df: DataFrame, names: Sequence[str], y: str | Column, s: Setup, a: Seque
     net = create(len(names), 1 if kind == "plain" else len(a) - (0 if coef is None or len(coef) == len(a) else len(coef)), s, np.random.default_rng(s.seed))
     held = Held(rows) if row[0] <= s.bound else Stored(rows)
     try:
-        train(held, net, head, s, phases)
+        {"adam": train, "lbfgs": train_by_curve}[s.optimizer](held, net, head, s, phases)
     finally:
         held.close()
     return Fitted(net, bias[:-1], scale[:-1], float(bias[-1]), float(scale[-1]), head)
@@ -331,6 +415,43 @@ def shapley(df: DataFrame, key: str, names: Sequence[str], model: Fitted, draws:
     return effects.groupBy("feature").agg(F.avg(F.abs("effect")).alias("importance")).orderBy(F.desc("importance"))
 
 
+def morris(spark: SparkSession, ranges: dict[str, tuple[float, float]], model: Callable[[np.ndarray], np.ndarray], trajectories: int = 10, levels: int = 4, seed: int = 2) -> DataFrame:
+    """feature, mu, mu_star and sigma: mean, mean magnitude and deviation of the elementary effects along random trajectories.
+
+    A trajectory starts on a grid of ``levels`` places a feature and moves every
+    feature once, in a random order, by levels / (2 (levels - 1)) of its range. An
+    effect is the model's change by a whole range. A feature without a range has
+    effects of 0.
+    """
+    names = list(ranges)
+    low, high = (np.array([ranges[c][k] or 0.0 for c in names], float) for k in (0, 1))
+    move = levels / (2 * (levels - 1))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for t in b["id"]:
+                rng = np.random.default_rng([seed, int(t)])
+                # from the lower half up, or from the upper half down
+                way = rng.choice([-1.0, 1.0], len(names))
+                start = rng.integers(0, levels // 2, len(names)) / (levels - 1)
+                at = np.where(way > 0, start, 1 - start)
+                order, path = rng.permutation(len(names)), [at.copy()]
+                for j in order:
+                    at[j] += way[j] * move
+                    path.append(at.copy())
+                y = model(low + np.array(path) * (high - low))
+                yield pd.DataFrame({"feature": [names[j] for j in order], "effect": np.diff(y) / (way[order] * move)})
+
+    effects = spark.range(trajectories).mapInPandas(run, "feature string, effect double")
+    return effects.groupBy("feature").agg(F.avg("effect").alias("mu"), F.avg(F.abs("effect")).alias("mu_star"), F.stddev_samp("effect").alias("sigma"))
+
+
+def trajectory_effects(df: DataFrame, names: Sequence[str], model: Callable[[np.ndarray], np.ndarray], trajectories: int = 10, levels: int = 4, seed: int = 2) -> DataFrame:
+    """``morris`` over the ranges of the columns ``names``."""
+    r = df.agg(*[F.min(c).cast("double") for c in names], *[F.max(c).cast("double") for c in names]).first()
+    return morris(df.sparkSession, {c: (r[i], r[len(names) + i]) for i, c in enumerate(names)}, model, trajectories, levels, seed)
+
+
 def elementary_effects(df: DataFrame, key: str, names: Sequence[str], model: Fitted, share: float = 0.1) -> DataFrame:
     """feature and mean_effect: the prediction's mean change, by unit, as each feature moves by a share of its range."""
     r = df.agg(*[F.max(c) - F.min(c) for c in names]).first()

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxlane.functions import geodesy
 from fluxlane.operators import grid as g
-from fluxlane.operators import spectral, spline
+from fluxlane.operators import mapcache, spectral, spline
 from fluxlane.plans.catalog import query
 from fluxlane.plans.tables import GRID_SQL, grid, load, rounded
+from fluxlane.sources.tables import scratch
 
 _NEAR = "JOIN (SELECT unnest([-1, 0, 1]) AS a) p ON true JOIN (SELECT unnest([-1, 0, 1]) AS b) q ON NOT (a = 0 AND b = 0)"
 _BILINEAR = """corner AS (SELECT ix, iy, val, CASE WHEN lead(ix) OVER a = ix + 1 THEN lead(val) OVER a END AS r10 FROM cells WINDOW a AS (PARTITION BY iy ORDER BY ix)),
@@ -90,10 +93,55 @@ def grid_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(g.combine(cells, other).select("iy", "ix", F.round("val", 4).alias("val")))
 
 
-@query("SELECT false AS inside")
-def grid_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _on_data_sql(cells: str) -> str:
+    """Of points pts: on_data(c_custkey, on_): whether each lies strictly inside the cells, on corners that all have data."""
+    masked = f"mask AS (SELECT iy, ix, CASE WHEN val = 0 THEN 0::DOUBLE ELSE 1 END AS val FROM {cells}), " + f"{_BILINEAR}, {_LOOKUP_SQL}".replace("FROM cells", "FROM mask")
+    share = "(1 - (fx - jx)) * (1 - (fy - jy)) * v00 + (fx - jx) * (1 - (fy - jy)) * v10 + (1 - (fx - jx)) * (fy - jy) * v01 + (fx - jx) * (fy - jy) * v11"
+    return f"{masked}, on_data AS (SELECT c_custkey, coalesce(fx > lx AND fx < mx AND fy > ly AND fy < my AND {share} > 1 - 1e-9, false) AS on_ FROM hit LEFT JOIN box ON box.ix = jx AND box.iy = jy, lim)"
+
+
+@query(f"WITH {GRID_SQL}, {_POINTS_SQL}, {_on_data_sql('cells')} SELECT c_custkey, on_ AS on_data FROM on_data")
+def grid_on_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = grid(spark, sf_dir)
-    return g.check(_points(spark, sf_dir), cells, g.axes(cells))
+    return g.on_data(_points(spark, sf_dir), cells, g.axes(cells)).select("c_custkey", "on_data")
+
+
+_CLEAR = "lon > 1 AND lon < 9 AND lat > 19 AND lat < 37 AND (CAST(floor(lat / 0.5) AS BIGINT) * 7 + CAST(floor(lon / 0.25) AS BIGINT) * 3) % 11 NOT IN (0, 1, 4, 8)"
+
+
+@query(f"WITH {GRID_SQL}, {_POINTS_SQL}, {_on_data_sql('cells')} SELECT 'all' AS part, bool_and(on_) AS inside FROM on_data UNION ALL SELECT 'clear', coalesce(bool_and(on_), true) FROM on_data JOIN pts USING (c_custkey) WHERE {_CLEAR}")
+def grid_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all points lie on the map, and whether those in cells without a missing corner do."""
+    cells, points = grid(spark, sf_dir), _points(spark, sf_dir)
+    found = [g.check(p, cells, g.axes(cells)).select(F.lit(part).alias("part"), "inside") for part, p in (("all", points), ("clear", points.filter(_CLEAR)))]
+    return found[0].unionByName(found[1])
+
+
+_CACHE_POINTS_SQL = _POINTS_SQL.replace("AS lat FROM", "AS lat, (c_custkey * 37 % 450) / 100::DOUBLE AS alt FROM")
+
+
+def _cache(spark: SparkSession, sf_dir: str, folder: str) -> tuple[mapcache.MapCache, DataFrame]:
+    """A filled map at 0 and a map of its left half, with holes, at 1.5; levels every 1."""
+    columns = ["map_name", "iy", "ix", "yy", "xx", "alt", "val"]
+    base = g.fill(grid(spark, sf_dir)).withColumns({"map_name": F.lit("base"), "alt": F.lit(0.0)})
+    high = grid(spark, sf_dir).filter("ix <= 20").withColumns({"map_name": F.lit("high"), "alt": F.lit(1.5)})
+    points = _points(spark, sf_dir).withColumn("alt", F.col("c_custkey") * 37 % 450 / 100)
+    return mapcache.MapCache(base.select(columns).unionByName(high.select(columns)), "base", folder, 1.0), points
+
+
+@query(f"""WITH {GRID_SQL}, {_CACHE_POINTS_SQL}, half AS (SELECT * FROM cells WHERE ix <= 20), {_on_data_sql("half")}
+SELECT c_custkey, CASE WHEN on_ AND alt >= 1.5 THEN 'high' ELSE 'base' END AS map_name, CASE WHEN on_ AND alt >= 1.5 THEN greatest(floor(alt), 1.5::DOUBLE) ELSE floor(alt) END AS level FROM on_data JOIN pts USING (c_custkey)""")
+def map_cache_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which map and level serves each point."""
+    cache, points = _cache(spark, sf_dir, "")
+    return cache.placed(points).select("c_custkey", "map_name", "level")
+
+
+@query()
+def map_cache_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The levels' values, from a store that the query fills."""
+    cache, points = _cache(spark, sf_dir, f"{scratch(spark)}/levels-{uuid.uuid4().hex}")
+    return cache.values(points).select("c_custkey", "map_name", "level", "map_val")
 
 
 @query("SELECT o_orderkey, floor(o_totalprice / 5000) * 5000 AS bucket, CASE WHEN floor(o_totalprice / 5000) * 5000 >= 200000 THEN 'high' WHEN floor(o_totalprice / 5000) * 5000 >= 60000 THEN 'mid' WHEN floor(o_totalprice / 5000) * 5000 >= 1000 THEN 'low' END AS map_name FROM orders")

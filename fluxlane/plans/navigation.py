@@ -145,6 +145,22 @@ def network_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return networks.elementary_effects(rows.select("vec_id", *names), "vec_id", names, model)
 
 
+@query()
+def network_morris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sensitivity along trajectories of a network that is fitted by limited-memory BFGS on a stored table."""
+    names = ["f1", "f2", "f3"]
+    rows = vector(spark, sf_dir)
+    model = networks.fit_columns(rows, names, "mag", networks.Setup(hidden=(8,), epochs=6, optimizer="lbfgs", bound=0, steps=1))
+    return networks.trajectory_effects(rows, names, model, 20)
+
+
+@query("""WITH r AS (SELECT max(f1) - min(f1) AS r1, max(f2) - min(f2) AS r2, max(f3) - min(f3) AS r3 FROM (SELECT CAST(embedding[5] AS DOUBLE) AS f1, CAST(embedding[6] AS DOUBLE) AS f2, CAST(embedding[7] AS DOUBLE) AS f3 FROM embeddings))
+SELECT unnest(['f1', 'f2', 'f3']) AS feature, round(unnest([3 * r1, -2 * r2, 0.5::DOUBLE * r3]), 6) + 0.0 AS mu, round(unnest([3 * r1, 2 * r2, 0.5::DOUBLE * r3]), 6) + 0.0 AS mu_star, 0::DOUBLE AS sigma FROM r""")
+def morris_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trajectories over a linear model: every effect is the coefficient times the range."""
+    return rounded(networks.trajectory_effects(vector(spark, sf_dir), ["f1", "f2", "f3"], lambda x: x @ np.array([3.0, -2.0, 0.5]) + 7, 20))
+
+
 @query()
 def compensation_train_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of each compensation model on lines that it was fitted on and on others."""
