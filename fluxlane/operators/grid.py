@@ -214,6 +214,24 @@ def from_utm(grid: DataFrame, zone: int, new: Axes, north: bool = True, name: st
     return _regridded(grid, new, name, {"_x": east, "_y": up})
 
 
+def limits(x: Column, share: float = 0.0) -> tuple[Column, Column]:
+    """Aggregates: the least and greatest value, moved apart by a share of their distance on each side."""
+    gap = (F.max(x) - F.min(x)) * share
+    return F.min(x) - gap, F.max(x) + gap
+
+
+def utm_limits(grid: DataFrame, zone: int, north: bool = True) -> DataFrame:
+    """One row a map in metres of a UTM zone: the longitudes of its four corners and the extreme latitudes of its lowest and highest row, each sorted, in radians."""
+    edge = grid.groupBy(F.col("map_name").alias("_map")).agg(*[f(c).alias(f"_{n}{c}") for n, f in (("a", F.min), ("b", F.max)) for c in ("ix", "iy")])
+    # meridians bend little along the sides, parallels do along the rows
+    rows = grid.join(edge, F.col("map_name").eqNullSafe(F.col("_map"))).filter(F.col("iy").isin(F.col("_aiy"), F.col("_biy")))
+    lat, lon = geodesy.from_utm(F.col("xx"), F.col("yy"), F.lit(zone), F.lit(north))
+    corner, low = F.col("ix").isin(F.col("_aix"), F.col("_bix")), F.col("iy") == F.col("_aiy")
+    at = rows.select("map_name", lat.alias("lat"), lon.alias("lon"), corner.alias("corner"), low.alias("low"))
+    ends = [f(F.when(F.col("low") == side, F.col("lat"))) for side in (True, False) for f in (F.min, F.max)]
+    return at.groupBy("map_name").agg(F.array_sort(F.collect_list(F.when(F.col("corner"), F.col("lon")))).alias("lons"), F.array_sort(F.array(*ends)).alias("lats"))
+
+
 def on_data(points: DataFrame, grid: DataFrame, a: Axes, x: str = "lon", y: str = "lat", out: str = "on_data") -> DataFrame:
     """Whether each point lies strictly inside the grid, on cells that all have data."""
     mask = grid.withColumn("val", (~is_missing(F.col("val"))).cast("double"))

@@ -172,3 +172,13 @@ def best_rotation(df: DataFrame, a: Sequence[str], b: Sequence[str]) -> np.ndarr
 def rotated(df: DataFrame, names: Sequence[str], r: np.ndarray) -> DataFrame:
     v = [F.col(c) for c in names]
     return df.withColumns({c: sum((float(r[i, j]) * v[j] for j in (1, 2)), float(r[i, 0]) * v[0]) for i, c in enumerate(names)})
+
+
+def unpacked_norms(norms: Sequence) -> tuple:
+    """(A bias, A scale, rotation of x, x bias, x scale, y bias, y scale) of four to seven of them: matrix A's pair and the rotation may be absent."""
+    norms = tuple(norms)
+    if not 4 <= len(norms) <= 7:
+        raise ValueError(f"{len(norms)} normalizations, not 4 to 7")
+    a, rest = (norms[:2], norms[2:]) if len(norms) > 5 else ((0, 1), norms)
+    turn, rest = (rest[0], rest[1:]) if len(rest) == 5 else (np.eye(np.atleast_2d(rest[1]).shape[1]), rest)
+    return (*a, turn, *rest)

@@ -434,15 +434,66 @@ def evaluate(filtered: DataFrame, truth: DataFrame, keys: Sequence[str], size: i
     return position_errors(both, "lat", "lon", "true_lat", "true_lon")
 
 
-def ellipse(a: Column, b: Column, c: Column, points: int = 61, level: float = 0.95) -> Column:
-    """Array of (x, y) on the confidence ellipse of the covariance [[a, b], [b, c]]."""
+def filter_outputs(filtered: DataFrame, truth: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
+    """``evaluate`` with every state and its error against the truth.
+
+    States beyond the sixth are the filter's own. ``truth`` also has true_<state>
+    of the first six, and ins_cnb and true_cnb (body to navigation, row after row):
+    the tilts' errors are against the turn from the one to the other.
+    """
+    out = evaluate(filtered, truth, keys, size)
+    out = out.withColumns({n: F.element_at("x", i + 1) for i, n in enumerate(STATES) if i >= 6})
+    entry = lambda m, i, j: F.element_at(m, 3 * i + j + 1)
+    turn = lambda i, j: sum((entry("ins_cnb", i, k) * entry("true_cnb", j, k) for k in (1, 2)), entry("ins_cnb", i, 0) * entry("true_cnb", j, 0))
+    tilts = {"tn": turn(2, 1), "te": turn(0, 2), "td": turn(1, 0)}
+    errors = {f"{n}_err": F.col(n) - F.col(f"true_{n}") for n in STATES[:6]} | {f"{n}_err": F.col(n) - t for n, t in tilts.items()}
+    return out.withColumns(errors)
+
+
+def ins_outputs(truth: DataFrame, size: int) -> DataFrame:
+    """The inertial record's errors (lat_err, lon_err, alt_err, n_err, e_err) and, where it has covariances (ins_p, row after row), their deviations."""
+    out = truth.withColumns({f"{n}_err": F.col(f"ins_{n}") - F.col(f"true_{n}") for n in STATES[:3]})
+    out = position_errors(out, "ins_lat", "ins_lon", "true_lat", "true_lon")
+    if "ins_p" not in truth.columns:
+        return out
+    std = lambda i: F.sqrt(F.greatest(F.element_at("ins_p", i * size + i + 1), F.lit(0.0)))
+    out = out.withColumns({f"{n}_std": std(i) for i, n in enumerate(STATES[:3])})
+    return out.withColumns({"n_std": geodesy.lat_to_north(F.col("lat_std"), F.col("true_lat")), "e_std": geodesy.lon_to_east(F.col("lon_std"), F.col("true_lat"))})
+
+
+def results(filtered: DataFrame, bound: DataFrame, truth: DataFrame, keys: Sequence[str], size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A run's outputs: of its Cramer-Rao bound, of the inertial record, and of the filter."""
+    limits = deviations(bound.join(truth.select(*keys, "true_lat"), list(keys)), F.col("true_lat"), size)
+    return limits, ins_outputs(truth, size), filter_outputs(filtered, truth, keys, size)
+
+
+def ellipse_units(a: Column, b: Column, c: Column, units: str = "m", lat: Column | None = None) -> tuple[Column, Column, Column]:
+    """The covariance [[a, b], [b, c]] of latitude and longitude (radians) in the squares of rad, deg, m or ft, metres at a latitude."""
+    if units == "rad":
+        return a, b, c
+    if units == "deg":
+        return tuple(F.degrees(F.degrees(v)) for v in (a, b, c))
+    if units not in ("m", "ft"):
+        raise ValueError(f"units {units!r} are neither rad, deg, m nor ft")
+    lat = F.lit(float(np.deg2rad(45))) if lat is None else lat
+    foot = 1.0 if units == "m" else 0.3048
+    north, east = geodesy.lat_to_north(F.lit(1.0), lat) / foot, geodesy.lon_to_east(F.lit(1.0), lat) / foot
+    return a * north * north, b * north * east, c * east * east
+
+
+def ellipse(a: Column, b: Column, c: Column, points: int = 61, level: float = 0.95, clip: float | None = None) -> Column:
+    """Array of (x, y) on the confidence ellipse of the covariance [[a, b], [b, c]]; those farther out than ``clip`` are null."""
     mid, half = (a + c) / 2, F.sqrt(((a - c) / 2) ** 2 + b * b)
     big, small = F.sqrt(F.greatest(mid + half, F.lit(0.0))), F.sqrt(F.greatest(mid - half, F.lit(0.0)))
     turn, scale = F.atan2(2 * b, a - c) / 2, float(np.sqrt(chi_square_quantile(level, 2)))
     angles = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: i * (2 * np.pi / (points - 1)))
-    return F.transform(
+    around = F.transform(
         angles, lambda t: F.struct((scale * (big * F.cos(t) * F.cos(turn) - small * F.sin(t) * F.sin(turn))).alias("x"), (scale * (big * F.cos(t) * F.sin(turn) + small * F.sin(t) * F.cos(turn))).alias("y"))
     )
+    if clip is None:
+        return around
+    inside = lambda p: F.hypot(p["x"], p["y"]) <= clip
+    return F.transform(around, lambda p: F.struct(F.when(inside(p), p["x"]).alias("x"), F.when(inside(p), p["y"]).alias("y")))
 
 
 def chi_square_cdf(x: float, k: int = 1) -> float:

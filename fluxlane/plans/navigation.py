@@ -116,6 +116,26 @@ def ellipse_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("n_nationkey", "i", F.col("p.x").alias("x"), F.col("p.y").alias("y")), 5)
 
 
+@query("""WITH o AS (SELECT o_orderkey, (o_orderkey % 160 - 80) * 0.017::DOUBLE AS tl, (o_custkey % 40) * 1e-6 AS d, (o_orderkey % 23 - 11) * 1e-3 AS w FROM orders),
+q AS (SELECT *, tl + 2 * d - 3 * d AS lat, sqrt(1 - pow(0.0818191908426 * sin(tl), 2)) AS q FROM o)
+SELECT o_orderkey, round((2 * d - 3 * d) / q * 6378137, 4) + 0.0 AS n_err, round((d + 2 * d) / q * 6378137 * cos(tl), 4) + 0.0 AS e_err, round(5 * d - 7 * d, 9) + 0.0 AS alt_err, round(4e-3 - sin(w), 9) + 0.0 AS td_err, round(4e-3 * 2, 9) + 0.0 AS tn_err,
+ round(sqrt(1e-12) / q * 6378137, 6) + 0.0 AS n_std, round(sqrt(0.25::DOUBLE), 6) AS fogm_std, round(abs(1e-12 * (6378137 / q) * (6378137 / q)), 6) AS n_var FROM q""")
+def filter_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs of a filter whose states and covariances are made of orders: errors, tilts against a turn in the plane, deviations, and a variance in metres."""
+    key = F.col("o_orderkey")
+    d, true_lat, w = F.col("o_custkey") % 40 * 1e-6, (key % 160 - 80) * 0.017, (key % 23 - 11) * 1e-3
+    base = load(spark, sf_dir, "orders").select("o_orderkey", d.alias("d"), true_lat.alias("true_lat"), w.alias("w"))
+    zero, c, s = F.lit(0.0), F.cos("w"), F.sin("w")
+    states = [-3 * F.col("d"), 2 * F.col("d"), -7 * F.col("d"), zero, zero, zero, F.lit(8e-3), zero, F.lit(4e-3), *[zero] * 9]
+    variance = [F.lit(1e-12) if i == 0 else F.lit(0.25) if i == 17 else zero for i in range(18)]
+    filtered = base.select("o_orderkey", F.array(*states).alias("x"), F.array(*[variance[i] if i == j else zero for i in range(18) for j in range(18)]).alias("p"))
+    true = {f"true_{n}": zero for n in ("lon", "alt", "vn", "ve", "vd")} | {"true_cnb": F.array(*[F.lit(float(i == j)) for i in range(3) for j in range(3)])}
+    ins = {"ins_lat": F.col("true_lat") + 2 * F.col("d"), "ins_lon": F.col("d"), "ins_alt": 5 * F.col("d"), "ins_vn": zero, "ins_ve": zero, "ins_vd": zero, "ins_cnb": F.array(c, -s, zero, s, c, zero, zero, zero, F.lit(1.0))}
+    out = nav.filter_outputs(filtered, base.withColumns(true | ins), ["o_orderkey"], 18)
+    variances = nav.ellipse_units(F.lit(1e-12), zero, zero, "m", F.col("true_lat"))
+    return rounded(out.withColumn("n_var", F.abs(variances[0])).select("o_orderkey", F.round("n_err", 4).alias("n_err"), F.round("e_err", 4).alias("e_err"), F.round("alt_err", 9).alias("alt_err"), F.round("td_err", 9).alias("td_err"), F.round("tn_err", 9).alias("tn_err"), F.round("n_std", 6).alias("n_std"), F.round("fogm_std", 6).alias("fogm_std"), F.round("n_var", 6).alias("n_var")), 9)
+
+
 @query()
 def simulated_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
     flights = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("seed"))
