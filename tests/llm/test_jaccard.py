@@ -127,6 +127,30 @@ def test_hot_signatures_need_no_common_task(spark, make_docs):
     assert plain and plain == {tuple(r) for r in jaccard.shared_signatures(sketches, hot=2).collect()}
 
 
+def test_bitmaps_bound_what_is_common():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 15, 16, 17, 100, 300, 2000):
+        a = rng.integers(0, 1 << 64, n, np.uint64)
+        for kept in (0, n // 2, n - n // 20, n):
+            b = np.concatenate([a[:kept], rng.integers(0, 1 << 64, max(1, n * 6 // 5 - kept), np.uint64)])
+            most = jaccard.most_common(jaccard.bitmap(a), len(a), jaccard.bitmap(b), len(b))
+            assert kept <= most <= kept + 0.4 * (n - kept) + 3
+
+
+def test_clusters_and_pairs_hold_all_that_share_a_signature(spark):
+    rng = random.Random(4)
+    rows = sorted({(s, rng.randrange(60)) for s in range(80) for _ in range(rng.choice([2, 2, 3, 9]))})
+    shared = spark.createDataFrame([(s, n) for s, n in rows if sum(t == s for t, _ in rows) > 1], "signature long, node long")
+    clusters = jaccard.clusters_of(shared, 2)
+    of = {r.node: r.cluster for r in clusters.collect()}
+    nodes: dict[int, list[int]] = {}
+    for s, n in shared.collect():
+        nodes.setdefault(s, []).append(n)
+    expected = {(a, b) for group in nodes.values() for a in group for b in group if a < b and of.get(a, a) != of.get(b, b)}
+    got = [tuple(r) for r in jaccard.cross_pairs(shared, clusters).collect()]
+    assert set(got) == expected and len(got) == len(expected)
+
+
 def test_query_on_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = catalog.op12_ngram_jaccard(spark, SF).collect()
