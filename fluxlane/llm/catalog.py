@@ -76,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_toxicity, op2_quality_classifier, op3_chat_formatting, op4_decontamination, op5_warc_revisits, op6_language_id, op7_source_mixing, op8_simhash, op9_quality_rules, op10_secret_scan, op11_tokenizer_alignment, op12_ngram_jaccard, op13_conversation_repair)
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": chat.ORACLE, "op5_warc_revisits": warc.ORACLE, "op7_source_mixing": mixing.ORACLE, "op9_quality_rules": rules.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": chat.ORACLE, "op5_warc_revisits": warc.ORACLE, "op7_source_mixing": mixing.ORACLE, "op9_quality_rules": rules.ORACLE, "op12_ngram_jaccard": jaccard.ORACLE, "op13_conversation_repair": repair.ORACLE}

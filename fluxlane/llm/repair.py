@@ -268,3 +268,27 @@ def repaired(conversations: DataFrame, rows: DataFrame) -> DataFrame:
         found = found.join(more, F.col("conv_id").eqNullSafe(F.col(f"_{n}")), "left").drop(f"_{n}")
     zeros = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return found.select("conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
+
+
+#: SQL of the query: crc32 bit by bit, costs and audits layer by layer, turns told by the place of their letters.
+ORACLE = """WITH RECURSIVE spaced AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+hashed AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS how FROM spaced),
+hurt AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN how = 3 THEN [1, 2] ELSE [1] END) AS copy FROM hashed WHERE how > 0),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+ rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS before FROM hurt),
+faulty AS (SELECT *, CASE WHEN said = '' THEN 1 WHEN seen > 1 THEN 2 WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM ordered),
+counted AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+ count(*) FILTER (i > 1 AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id),
+inserts(q, via, letters, c) AS (VALUES (0, 0, '', 0), (1, 1, '', 0), (2, 2, '', 0), (3, 3, '', 0), (0, 2, 'I', 2), (0, 3, 'II', 4), (1, 2, 'I', 2), (1, 3, 'II', 4), (2, 3, 'I', 2), (3, 2, 'I', 2)),
+steps(q, z, initial) AS (VALUES (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (3, 2, 'u'), (2, 3, 'a')),
+arcs AS (SELECT conv_id, i, q, q AS z, 'D' AS letter, 3 AS c FROM faulty, (SELECT unnest([0, 1, 2, 3]) AS q) UNION ALL SELECT conv_id, i, q, z, 'K', CASE WHEN fault = 3 THEN 1 ELSE 0 END FROM faulty JOIN steps ON initial = left(role, 1) WHERE fault IN (0, 3)
+ UNION ALL SELECT conv_id, i, q, z, 'R', CASE WHEN fault = 3 THEN 3 ELSE 2 END FROM faulty, steps WHERE fault IN (0, 3) AND initial <> 's'),
+walk AS (SELECT conv_id, 0::BIGINT AS i, 0 AS q, {'cost': 0::BIGINT, 'audit': ''} AS best FROM counted
+ UNION ALL SELECT w.conv_id, w.i + 1, a.z, min({'cost': w.best.cost + t.c + a.c, 'audit': w.best.audit || t.letters || a.letter}) FROM walk w JOIN inserts t ON t.q = w.q JOIN arcs a ON a.conv_id IS NOT DISTINCT FROM w.conv_id AND a.i = w.i + 1 AND a.q = t.via GROUP BY 1, 2, 3),
+ended AS (SELECT w.conv_id, min({'cost': w.best.cost + t.c, 'audit': w.best.audit || t.letters}) AS best FROM walk w JOIN inserts t ON t.q = w.q JOIN counted k ON k.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = k.n WHERE t.via IN (0, 3) GROUP BY 1),
+letters AS (SELECT conv_id, j, substr(best.audit, j, 1) AS letter, j - length(replace(left(best.audit, j), 'I', '')) AS inserted FROM (SELECT *, unnest(range(1, length(best.audit) + 1)) AS j FROM ended)),
+left_ AS (SELECT l.conv_id, l.letter, f.role, f.text, row_number() OVER (PARTITION BY l.conv_id ORDER BY l.j) AS e FROM letters l LEFT JOIN faulty f ON l.letter <> 'I' AND f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = l.j - l.inserted WHERE l.letter <> 'D'),
+turned AS (SELECT *, max(CASE WHEN e = 1 AND letter = 'K' AND left(role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS s FROM left_),
+said_ AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (e - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY e) AS whole FROM turned GROUP BY conv_id)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted k ON k.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN said_ d ON d.conv_id IS NOT DISTINCT FROM o.conv_id"""
