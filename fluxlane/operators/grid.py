@@ -350,20 +350,56 @@ class Interpolant:
 
     def __post_init__(self) -> None:
         if self.kind == "cubic":
-            self.coef = natural_spline(natural_spline(self.values, 0), 1)
+            self.coef = np.ascontiguousarray(natural_spline(natural_spline(self.values, 0), 1))
 
     def __call__(self, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
         fy, fx = (np.asarray(lat, float) - self.a.y0) / (self.a.dy or 1), (np.asarray(lon, float) - self.a.x0) / (self.a.dx or 1)
+        if self.kind == "cubic" and fy.size > 64 and fy.ndim == 1 and fy.shape == fx.shape and (few := self._few_cells(fy, fx)) is not None:
+            return few
         iy, ix = (np.clip(np.floor(f).astype(int), 0, max(n - 2, 0)) for f, n in ((fy, self.values.shape[0]), (fx, self.values.shape[1])))
         u, v = np.clip(fy - iy, 0, 1), np.clip(fx - ix, 0, 1)  # outside, the value of the edge
         if self.kind != "cubic":
             y1, x1 = np.minimum(iy + 1, self.values.shape[0] - 1), np.minimum(ix + 1, self.values.shape[1] - 1)
             g = self.values
             return (1 - u) * ((1 - v) * g[iy, ix] + v * g[iy, x1]) + u * ((1 - v) * g[y1, ix] + v * g[y1, x1])
-        out = 0.0
+        out, across, flat, wide = 0.0, _weights(v), self.coef.ravel(), self.coef.shape[1]
+        at = iy * wide + ix
         for i, wy in enumerate(_weights(u)):
-            for j, wx in enumerate(_weights(v)):
-                out = out + wy * wx * self.coef[iy + i, ix + j]
+            row = 0.0
+            for j, wx in enumerate(across):
+                row = row + wx * flat[i * wide + j :].take(at, mode="clip")
+            out = out + wy * row
+        return out
+
+    def _few_cells(self, fy: np.ndarray, fx: np.ndarray) -> np.ndarray | None:
+        """Values at many places of a few cells, by a polynomial a cell; None if they lie in many, or outside."""
+        low, wide = [], 0
+        for f, n in ((fy, self.values.shape[0]), (fx, self.values.shape[1])):
+            least, most = float(f.min()), float(f.max())
+            if not (least >= 0 and most < n - 1):
+                return None
+            low.append(math.floor(least))
+            wide += math.floor(most) - low[-1]
+        if wide > 2:
+            return None
+        for f, i in zip((fy, fx), low, strict=True):
+            near = f < i + 1
+            if wide and not near.all():
+                out, far = np.empty(len(f)), ~near
+                out[near], out[far] = self._few_cells(fy[near], fx[near]), self._few_cells(fy[far], fx[far])
+                return out
+        i, j = low
+        u, v = fy - i, fx - j
+        powers = np.empty((4, *v.shape))
+        powers[0], powers[1] = 1, v
+        np.multiply(v, v, out=powers[2])
+        np.multiply(powers[2], v, out=powers[3])
+        across = np.tensordot(POWERS.T @ self.coef[i : i + 4, j : j + 4] @ POWERS, powers, 1)
+        out = across[3] * u
+        for k in (2, 1, 0):
+            out += across[k]
+            if k:
+                out *= u
         return out
 
     def gradient(self, lat: float, lon: float, delta: float = 1e-8) -> np.ndarray:
@@ -383,6 +419,21 @@ class Interpolant:
         (value, east), (north, _) = (np.array((wy, sy)) @ across).tolist()
         return value, np.array([north / (self.a.dy or 1), east / (self.a.dx or 1)])
 
+    def values_and_slopes(self, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``value_and_slopes`` at many points: values, and slopes a row a point."""
+        if self.kind != "cubic":
+            return self(lat, lon), self.gradient(lat, lon).T
+        sides = []
+        for at, zero, step, n in ((lat, self.a.y0, self.a.dy, self.values.shape[0]), (lon, self.a.x0, self.a.dx, self.values.shape[1])):
+            f = (np.asarray(at, float) - zero) / (step or 1)
+            i = np.clip(np.floor(f), 0, max(n - 2, 0))
+            u = np.clip(f - i, 0, 1)
+            slope = np.stack([-((1 - u) ** 2) / 2, (3 * u - 4) * u / 2, ((-3 * u + 2) * u + 1) / 2, u * u / 2], 1) * (u == f - i)[:, None] / (step or 1)
+            sides.append((np.nan_to_num(i).astype(int), np.stack(_weights(u), 1), slope))
+        (i, y, by_y), (j, x, by_x) = sides
+        patch = self.coef[i[:, None, None] + np.arange(4)[:, None], j[:, None, None] + np.arange(4)]
+        across, along = np.einsum("nkl,nl->nk", patch, x), np.einsum("nkl,nl->nk", patch, by_x)
+        return np.einsum("nk,nk->n", across, y), np.stack([np.einsum("nk,nk->n", across, by_y), np.einsum("nk,nk->n", along, y)], 1)
 
     def curved(self, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Values, slopes (by latitude, longitude) and curvatures (twice by latitude, by both, twice by longitude) of a cubic surface at many points; beyond the edges it is level."""
@@ -403,6 +454,10 @@ class Interpolant:
         return over(y[0], x[0]), np.stack([over(y[1], x[0]), over(y[0], x[1])], 1), np.stack([over(y[2], x[0]), over(y[1], x[1]), over(y[0], x[2])], 1)
 
 
+#: The weights of a patch by powers of the place in its cell: a row a node, a column a power.
+POWERS = np.array([[1.0, -3, 3, -1], [4, 0, -6, 3], [1, 3, 3, -3], [0, 0, 0, 1]]) / 6
+
+
 def _patch(f: float, n: int) -> tuple[int, tuple, tuple]:
     """First node of the patch of place ``f`` on an axis of ``n`` nodes, the weights there and their derivatives."""
     i = min(max(math.floor(f), 0), max(n - 2, 0))
@@ -413,7 +468,9 @@ def _patch(f: float, n: int) -> tuple[int, tuple, tuple]:
 
 
 def _weights(u: np.ndarray) -> tuple:
-    return (1 - u) ** 3 / 6, (3 * u**3 - 6 * u**2 + 4) / 6, (-3 * u**3 + 3 * u**2 + 3 * u + 1) / 6, u**3 / 6
+    v, square = 1 - u, u * u
+    cube = square * u
+    return v * v * v / 6, (3 * cube - 6 * square + 4) / 6, (-3 * cube + 3 * square + 3 * u + 1) / 6, cube / 6
 
 
 def interpolant(grid: DataFrame, kind: str = "cubic", most_cells: int = 1 << 24) -> Interpolant:

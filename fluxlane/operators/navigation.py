@@ -6,25 +6,29 @@ gyroscope biases; then compensation coefficients or network weights, if any;
 three vector sensor states, if any; and last the sensor bias (first-order
 Gauss-Markov).
 
-A recursion needs the samples of its line in order, so a line is one group;
-lines run side by side. All matrices that don't depend on the state are made
-for a whole line at once.
+A recursion needs the samples of its line in order: partitions hold whole lines
+in order and stream through in Arrow batches. All lines of a batch step together
+as stacked arrays, and the state of its last line is carried to the next batch, so
+no line is held whole. All matrices that don't depend on the state are made for
+many samples at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field, replace
+import math
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, fields, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxlane.functions.geodesy import EARTH_RADIUS, EARTH_RATE, ECCENTRICITY
 from fluxlane.functions import geodesy
+from fluxlane.operators import sequence
 from fluxlane.operators.grid import Interpolant
-from fluxlane.operators.networks import Network
+from fluxlane.operators.networks import ACTIVATIONS, Network
 from fluxlane.operators.select import Order
 
 MOTION = ("lat", "lon", "alt", "vn", "ve", "vd", "fn", "fe", "fd")
@@ -158,58 +162,65 @@ def exponential(a: np.ndarray) -> np.ndarray:
     return out
 
 
-def transition(motion: np.ndarray, cnb: np.ndarray, m: Model) -> np.ndarray:
-    return exponential(dynamics(motion, cnb, m) * m.dt)
+def transition(motion: np.ndarray, cnb: np.ndarray, m: Model, dt: np.ndarray | float | None = None) -> np.ndarray:
+    """Transitions over ``m.dt``, or over a time of its own for each sample.
+
+    States beyond the seventeenth touch no others, so only the first ones take a matrix exponential.
+    """
+    step, out = np.broadcast_to(m.dt if dt is None else dt, len(motion))[:, None, None], np.zeros((len(motion), m.size, m.size))
+    for at in range(0, len(motion), CHUNK):
+        part = slice(at, at + CHUNK)
+        f = dynamics(motion[part], cnb[part], m) * step[part]
+        out[part, :CORE, :CORE] = exponential(f[:, :CORE, :CORE])
+        for i in range(CORE, m.size):
+            out[part, i, i] = np.exp(f[:, i, i])
+    return out
 
 
 Map = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: States that depend on one another, and samples whose transitions are made at a time.
+CORE, CHUNK = 17, 128
+#: Residuals that adaptive noise looks back on.
+LATEST = 10
 
 
 @dataclass
 class State:
-    """What a filter keeps from one sample to the next."""
+    """What filters keep from one sample to the next, a row a line: x, P, the latest residuals (the newest last), how many samples there were and the time of the last."""
 
     x: np.ndarray
     p: np.ndarray
-    residuals: list[float] = field(default_factory=list)
-    t: float | None = None
-
-
-def measurement(surface: Interpolant, lat: float, lon: float, size: int) -> tuple[float, np.ndarray]:
-    """The map's value, and the derivative of the measurement by the state: the map's slope, and one for the bias."""
-    value, slopes = surface.value_and_slopes(lat, lon)
-    h = np.zeros(size)
-    h[:2] = slopes
-    h[-1] = 1
-    return value, h
-
-
-def noise_now(m: Model, residuals: Sequence[float], spread: float) -> float:
-    """Measurement variance; adaptive within limits, from the latest ten residuals."""
+    residuals: np.ndarray
+    seen: np.ndarray
+    t: np.ndarray
+
+    @staticmethod
+    def new(m: Model, lat: np.ndarray, x0: np.ndarray | None = None) -> State:
+        """States of lines that begin at these latitudes."""
+        n = len(lat)
+        s = State(np.zeros((n, m.size)), np.zeros((n, m.size, m.size)), np.zeros((n, LATEST)), np.zeros(n, int), np.full(n, np.nan))
+        for i, v in enumerate(lat):
+            s.p[i] = initial_covariance(m, v)
+        if x0 is not None:
+            s.x[:, 17 : 17 + len(x0)] = x0
+        return s
+
+    def rows(self, at: np.ndarray | slice) -> State:
+        return State(*(getattr(self, f.name)[at].copy() for f in fields(self)))
+
+    def put(self, at: np.ndarray | slice, other: State) -> None:
+        for f in fields(self):
+            getattr(self, f.name)[at] = getattr(other, f.name)
+
+    def __add__(self, other: State) -> State:
+        return State(*(np.concatenate([getattr(self, f.name), getattr(other, f.name)]) for f in fields(self)))
+
+
+def noise_now(m: Model, s: State, spread: np.ndarray) -> np.ndarray | float:
+    """Measurement variances; adaptive within limits, from the latest ten residuals."""
     if m.noise_limits is None:
         return m.noise
-    if len(residuals) < 10:
-        return float(np.mean(m.noise_limits))
-    last = np.asarray(residuals[-10:])
-    return float(np.clip(np.mean(last**2) - spread, *m.noise_limits))
-
-
-def update(s: State, z: float, lat: float, lon: float, surface: Interpolant, m: Model, extra_h: np.ndarray | None = None, extra_value: float = 0.0, noise_factor: float = 1.0) -> tuple[State, float]:
-    """One measurement update: the state after it (before it is propagated) and the residual."""
-    at = (lat + s.x[0], lon + s.x[1])
-    value, h = measurement(surface, *at, len(s.x))
-    residual = z - (value + extra_value + s.x[-1])
-    if extra_h is not None:
-        h[17 : 17 + len(extra_h)] = extra_h
-    ph = s.p @ h
-    spread = float(h @ ph)
-    gain = ph / (spread + noise_now(m, s.residuals, spread) * noise_factor)
-    p = s.p - np.outer(gain, ph)
-    return State(s.x + gain * residual, (p + p.T) / 2, [*s.residuals[-9:], residual], s.t), residual
-
-
-def propagate(s: State, phi: np.ndarray, q: np.ndarray) -> State:
-    return replace(s, x=phi @ s.x, p=phi @ s.p @ phi.T + q)
+    return np.where(s.seen < LATEST, np.mean(m.noise_limits), np.clip(np.mean(s.residuals**2, 1) - spread, *m.noise_limits))
 
 
 @dataclass(frozen=True)
@@ -226,10 +237,68 @@ class LearntNetwork:
 
     def at(self, x: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray]:
         """The measurement's part and its slopes by the weights, for one row of inputs."""
-        now = self.net.with_parameters(weights)
-        y, inputs, sums = now.forward(x[None])
-        slopes = now.backward(np.ones((1, 1)), inputs, sums)
-        return float(y[0, 0]) * self.scale + self.bias, np.concatenate([g.ravel() for g in slopes]) * self.scale
+        y, slopes = self.at_rows(x[None], weights[None])
+        return float(y[0]), slopes[0]
+
+    def at_rows(self, x: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The measurements' parts and their slopes by the weights, for rows of inputs and of weights."""
+        act, slope = ACTIVATIONS[self.net.activation]
+        layers, inputs, sums, at, last = [], [], [], 0, len(self.net.layers) - 1
+        for i, (w, _) in enumerate(self.net.layers):
+            layers.append(weights[:, at : at + w.size].reshape(-1, *w.shape))
+            bias = weights[:, at + w.size : at + w.size + w.shape[1]]
+            at += w.size + w.shape[1]
+            inputs.append(x)
+            sums.append(np.einsum("bi,bij->bj", x, layers[-1]) + bias)
+            x = sums[-1] if i == last else act(sums[-1])
+        grad, out = np.ones((len(x), 1)), []
+        for i in range(last, -1, -1):
+            if i < last:
+                grad = grad * slope(sums[i])
+            out[:0] = [(inputs[i][:, :, None] * grad[:, None, :]).reshape(len(x), -1), grad]
+            grad = np.einsum("bij,bj->bi", layers[i], grad)
+        return x[:, 0] * self.scale + self.bias, np.concatenate(out, 1) * self.scale
+
+
+def in_step(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(lines, rows) of each step of lines that lie one behind the other: every line's next row, as long as it has one."""
+    start = np.cumsum(sizes) - sizes
+    turn = np.argsort(-sizes, kind="stable")
+    for t in range(int(sizes.max(initial=0))):
+        live = turn[: np.count_nonzero(sizes > t)]
+        yield live, start[live] + t
+
+
+def filter_lines(s: State, sizes: np.ndarray, motion: np.ndarray, cnb: np.ndarray, z: np.ndarray, surface: Interpolant, m: Model, extra_h: np.ndarray | None = None, noise_factor: np.ndarray | None = None, network: LearntNetwork | None = None, dt: np.ndarray | None = None, full: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(states, covariances or variances, residuals) of the next samples of many lines, each as it is after its update; ``s`` moves on.
+
+    The samples lie line after line, as many as ``sizes`` says, and all lines step together.
+    """
+    phi, q = transition(motion, cnb, m, dt), process_noise(m if dt is None else replace(m, dt=1.0))
+    xs, rs = np.zeros((len(z), m.size)), np.zeros(len(z))
+    ps = np.zeros((len(z), m.size, m.size) if full else (len(z), m.size))
+    for lines, at in in_step(sizes):
+        now = s.rows(lines)
+        value, slopes = surface.values_and_slopes(motion[at, 0] + now.x[:, 0], motion[at, 1] + now.x[:, 1])
+        h = np.zeros_like(now.x)
+        h[:, :2], h[:, -1] = slopes, 1
+        extra: np.ndarray | float = 0.0
+        if extra_h is not None:
+            k = len(m.extra)
+            extra, by_coef = network.at_rows(extra_h[at], now.x[:, 17 : 17 + k]) if network else (np.einsum("bi,bi->b", extra_h[at], now.x[:, 17 : 17 + k]), extra_h[at])
+            h[:, 17 : 17 + k] = by_coef
+        rs[at] = residual = z[at] - (value + extra + now.x[:, -1])
+        ph = np.einsum("bij,bj->bi", now.p, h)
+        spread = np.einsum("bi,bi->b", h, ph)
+        gain = ph / (spread + noise_now(m, now, spread) * (1.0 if noise_factor is None else 1.0 + noise_factor[at]))[:, None]
+        xs[at] = x = now.x + gain * residual[:, None]
+        p = now.p - gain[:, :, None] * ph[:, None, :]
+        p = (p + p.transpose(0, 2, 1)) / 2
+        ps[at] = p if full else np.diagonal(p, axis1=1, axis2=2)
+        step = phi[at]
+        p = step @ p @ step.transpose(0, 2, 1) + (q if dt is None else q * dt[at][:, None, None])
+        s.put(lines, State(np.einsum("bij,bj->bi", step, x), p, np.concatenate([now.residuals[:, 1:], residual[:, None]], 1), now.seen + 1, now.t))
+    return xs, ps, rs
 
 
 def ekf(motion: np.ndarray, cnb: np.ndarray, z: np.ndarray, surface: Interpolant, m: Model, extra_h: np.ndarray | None = None, x0: np.ndarray | None = None, noise_factor: np.ndarray | None = None, p0: np.ndarray | None = None, network: LearntNetwork | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -240,50 +309,68 @@ def ekf(motion: np.ndarray, cnb: np.ndarray, z: np.ndarray, surface: Interpolant
     ``network``, ``extra_h`` holds its inputs, and the coefficients are its weights:
     its output and slopes are taken anew at each sample, at the weights of then.
     """
-    phi, q = transition(motion, cnb, m), process_noise(m)
-    s = State(np.zeros(m.size), initial_covariance(m, motion[0, 0]) if p0 is None else p0)
-    if x0 is not None:
-        s.x[17 : 17 + len(x0)] = x0
-    xs, ps, rs = np.zeros((len(z), m.size)), np.zeros((len(z), m.size, m.size)), np.zeros(len(z))
-    for i, value in enumerate(z):
-        h = None if extra_h is None else extra_h[i]
-        if network is not None:
-            extra, h = network.at(h, s.x[17 : 17 + len(x0)])
-        else:
-            extra = 0.0 if h is None else float(h @ s.x[17 : 17 + len(h)])
-        s, rs[i] = update(s, float(value), motion[i, 0], motion[i, 1], surface, m, h, extra, 1.0 if noise_factor is None else 1.0 + noise_factor[i])
-        xs[i], ps[i] = s.x, s.p
-        s = propagate(s, phi[i], q)
-    return xs, ps, rs
+    s = State.new(m, motion[:1, 0], x0)
+    if p0 is not None:
+        s.p[0] = p0
+    return filter_lines(s, np.array([len(z)]), motion, cnb, np.asarray(z, float), surface, m, extra_h, noise_factor, network)
 
 
-def step(s: State | None, t: float, motion: np.ndarray, cnb: np.ndarray, z: float, surface: Interpolant, m: Model) -> tuple[State, np.ndarray, np.ndarray, float]:
-    """One sample of a filter that runs in real time: (state to keep, x, P and residual after the update).
+def later(s: State, sizes: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, steps) of a filter that runs in real time: samples later than the one before and than the line's last, and the time since then, nan at a line's first one.
+
+    ``t``: times line after line, each line's in order.
+    """
+    start = np.cumsum(sizes) - sizes
+    before = np.concatenate([[np.nan], t[:-1]])
+    begins = start[sizes > 0]
+    before[begins] = s.t[sizes > 0]
+    # a line's samples are in order, so those that aren't later than the state's time stand in front
+    before = np.fmax(before, np.repeat(s.t, sizes))
+    keep = ~(t <= before)
+    return np.flatnonzero(keep), (t - before)[keep]
 
-    The step is the model's for the first sample, and then the time since the
+
+def filter_later(s: State, sizes: np.ndarray, t: np.ndarray, motion: np.ndarray, cnb: np.ndarray, z: np.ndarray, surface: Interpolant, m: Model, full: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows taken, states, covariances or variances, residuals) of many lines in real time; ``s`` moves on.
+
+    The step is the model's for a line's first sample, and then the time since the
     last. A sample that isn't later than the last one leaves the state alone.
     """
-    s = s or State(np.zeros(m.size), initial_covariance(m, motion[0]))
-    if s.t is not None and t <= s.t:
-        return s, s.x, s.p, float("nan")
-    now = m if s.t is None else replace(m, dt=t - s.t)
-    s, r = update(s, z, motion[0], motion[1], surface, m)
-    x, p = s.x, s.p
-    s = propagate(s, transition(motion[None], cnb[None], now)[0], process_noise(now))
-    return replace(s, t=t), x, p, r
+    rows, dt = later(s, sizes, t)
+    line = np.repeat(np.arange(len(sizes)), sizes)[rows]
+    xs, ps, rs = filter_lines(s, np.bincount(line, minlength=len(sizes)), motion[rows], cnb[rows], z[rows], surface, m, dt=np.where(np.isnan(dt), m.dt, dt), full=full)
+    s.t[line] = t[rows]  # the last one stays
+    return rows, xs, ps, rs
+
+
+def step(s: State | None, t: float, motion: np.ndarray, cnb: np.ndarray, z: float, surface: Interpolant, m: Model) -> tuple[State, np.ndarray, np.ndarray, float]:
+    """One sample of one line in real time, as ``filter_later``: (state to keep, x, P and residual after the update)."""
+    now = State.new(m, motion[None, 0]) if s is None else s.rows(slice(None))
+    rows, xs, ps, rs = filter_later(now, np.ones(1, int), np.array([t]), motion[None], cnb[None], np.array([z]), surface, m)
+    if not len(rows):
+        return s, s.x[0], s.p[0], float("nan")
+    return now, xs[0], ps[0], float(rs[0])
+
+
+def bound_lines(s: State, sizes: np.ndarray, motion: np.ndarray, cnb: np.ndarray, surface: Interpolant, m: Model, full: bool = True) -> np.ndarray:
+    """Covariances (or variances) of the Cramer-Rao bound of many lines: the filter's recursion along the true paths; ``s`` moves on."""
+    phi, q = transition(motion, cnb, m), process_noise(m)
+    h = np.zeros((len(motion), m.size))
+    h[:, :2], h[:, -1] = surface.values_and_slopes(motion[:, 0], motion[:, 1])[1], 1
+    ps = np.zeros((len(motion), m.size, m.size) if full else (len(motion), m.size))
+    for lines, at in in_step(sizes):
+        p = s.p[lines]
+        ph = np.einsum("bij,bj->bi", p, h[at])
+        p = p - ph[:, :, None] * (ph / (np.einsum("bi,bi->b", h[at], ph) + m.noise)[:, None])[:, None, :]
+        p = (p + p.transpose(0, 2, 1)) / 2
+        ps[at] = p if full else np.diagonal(p, axis1=1, axis2=2)
+        s.p[lines] = phi[at] @ p @ phi[at].transpose(0, 2, 1) + q
+    return ps
 
 
 def lower_bound(motion: np.ndarray, cnb: np.ndarray, surface: Interpolant, m: Model) -> np.ndarray:
-    """Covariances of the Cramer-Rao bound: the filter's recursion along the true path."""
-    phi, q, p = transition(motion, cnb, m), process_noise(m), initial_covariance(m, motion[0, 0])
-    out = np.zeros((len(motion), m.size, m.size))
-    for i in range(len(motion)):
-        h = measurement(surface, motion[i, 0], motion[i, 1], m.size)[1]
-        ph = p @ h
-        p = p - np.outer(ph, ph) / (h @ ph + m.noise)
-        out[i] = p = (p + p.T) / 2
-        p = phi[i] @ p @ phi[i].T + q
-    return out
+    """Covariances of the Cramer-Rao bound of one line."""
+    return bound_lines(State.new(m, motion[:1, 0]), np.array([len(motion)]), motion, cnb, surface, m)
 
 
 def resample(weights: np.ndarray, u: float) -> np.ndarray:
@@ -297,48 +384,81 @@ def weighted_covariance(weights: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (d * weights[:, None]).T @ d
 
 
-def particle_filter(motion: np.ndarray, cnb: np.ndarray, z: np.ndarray, surface: Interpolant, m: Model, particles: int = 1000, threshold: float = 0.8, seed: int = 2) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(states, covariances, converged) of a Rao-Blackwellized filter.
+class Particles:
+    """A Rao-Blackwellized filter of one line, sample after sample.
 
     Latitude and longitude errors are particles; all other states share one
-    Kalman covariance and have a mean each. It ends early, not converged, when
-    all weights vanish.
+    Kalman covariance and have a mean each. ``rows`` holds a row a state and a
+    column a particle, so a move of all particles is one matrix product.
     """
-    rng, n, size = np.random.default_rng(seed), len(z), m.size
-    phi, q, p = transition(motion, cnb, m), process_noise(m), initial_covariance(m, motion[0, 0])
-    xn = rng.standard_normal((particles, 2)) * np.sqrt(np.diag(p)[:2])
-    xl, pl, w = np.zeros((particles, size - 2)), p[2:, 2:].copy(), np.full(particles, 1 / particles)
-    xs, ps = np.zeros((n, size)), np.zeros((n, size, size))
-    for i in range(n):
-        h = np.zeros(size - 2)
-        h[-1] = 1
-        v = float(h @ pl @ h) + m.noise
-        error = z[i] - np.asarray(surface(motion[i, 0] + xn[:, 0], motion[i, 1] + xn[:, 1])) - xl @ h
-        w = w * np.exp(-0.5 * (error**2 - np.min(error**2)) / v)
-        if not np.isfinite(w.sum()) or w.sum() <= np.finfo(float).eps:
-            return xs[:i], ps[:i], False
-        w = w / w.sum()
-        gain = pl @ h / v
-        xl = xl + error[:, None] * gain
-        pl = pl - np.outer(gain, h @ pl)
-        both = np.concatenate([xn, xl], 1)
-        xs[i], ps[i] = w @ both, weighted_covariance(w, both)
-        ps[i, 2:, 2:] += pl
-        if 1 / np.sum(w**2) < threshold * particles:
-            at = resample(w, rng.random())
-            xn, xl, w = xn[at], xl[at], np.full(particles, 1 / particles)
-        # particles move by what the linear states say, which in turn learn from the move
-        a_nn, a_nl, a_ln, a_ll = phi[i][:2, :2], phi[i][:2, 2:], phi[i][2:, :2], phi[i][2:, 2:]
-        spread = a_nl @ pl @ a_nl.T + q[:2, :2]
-        root = np.linalg.cholesky(spread + 1e-40 * np.eye(2))
-        moved = xl @ a_nl.T
-        noise = rng.standard_normal((particles, 2)) @ root.T
-        k = a_ll @ pl @ a_nl.T @ np.linalg.inv(spread + 1e-40 * np.eye(2))
-        xl = xl @ a_ll.T + xn @ a_ln.T + noise @ k.T
-        xn = xn @ a_nn.T + moved + noise
-        pl = a_ll @ pl @ a_ll.T + q[2:, 2:] - k @ spread @ k.T
-        pl = (pl + pl.T) / 2
-    return xs, ps, True
+
+    def __init__(self, m: Model, lat: float, particles: int = 1000, threshold: float = 0.8, seed: int = 2) -> None:
+        self.m, self.threshold, self.rng, self.q, self.done = m, threshold, np.random.default_rng(seed), process_noise(m), True
+        p = initial_covariance(m, lat)
+        # the last two rows are the noise of a move
+        self.rows, self.spare = np.zeros((m.size + 2, particles)), np.zeros((m.size, particles))
+        self.rows[:2] = (self.rng.standard_normal((particles, 2)) * np.sqrt(np.diag(p)[:2])).T
+        self.p, self.w = p[2:, 2:].copy(), np.full(particles, 1 / particles)
+
+    def update(self, z: float, lat: float, lon: float, surface: Interpolant, full: bool = True) -> tuple[np.ndarray, np.ndarray] | None:
+        """(state, covariance or variances) after a measurement; None, and no more from then on, when all weights vanish."""
+        s, p, spare = self.rows[:-2], self.p, self.spare
+        v = float(p[-1, -1]) + self.m.noise
+        error = z - surface(lat + s[0], lon + s[1]) - s[-1]
+        square = error * error
+        w = self.w * np.exp((square - square.min()) * (-0.5 / v))
+        total = w.sum()
+        if not np.isfinite(total) or total <= np.finfo(float).eps:
+            self.done = False
+            return None
+        self.w = w = w / total
+        gain = p[:, -1] / v
+        s[2:] += np.multiply(gain[:, None], error, out=spare[2:])
+        self.p = p = p - gain[:, None] * p[-1]
+        mean = s @ w
+        d = np.subtract(s, mean[:, None], out=spare)
+        if full:
+            cov = (d * w) @ d.T
+            cov[2:, 2:] += p
+        else:
+            cov = np.square(d, out=d) @ w
+            cov[2:] += p.diagonal()
+        return mean, cov
+
+    def move(self, phi: np.ndarray) -> None:
+        """Particles move by what the linear states say, which in turn learn from the move."""
+        n, rows = len(self.w), self.rows
+        if 1 / (self.w @ self.w) < self.threshold * n:
+            rows[:-2] = rows[:-2].take(resample(self.w, self.rng.random()), 1, out=self.spare, mode="clip")
+            self.w = np.full(n, 1 / n)
+        rows[-2:] = self.rng.standard_normal((n, 2)).T
+        p, a_nl, a_ll = self.p, phi[:2, 2:], phi[2:, 2:]
+        both = a_nl @ p
+        spread = both @ a_nl.T + self.q[:2, :2]
+        # of two by two numbers, root and inverse are written out
+        (a, _), (b, c) = (spread + 1e-40 * np.eye(2)).tolist()
+        top = math.sqrt(a)
+        root = np.array([[top, 0.0], [b / top, math.sqrt(c - (b / top) ** 2)]])
+        k = a_ll @ (both.T @ (np.array([[c, -b], [-b, a]]) / (a * c - b * b)))
+        rows[:-2] = np.matmul(np.concatenate([phi, np.concatenate([root, k @ root])], 1), rows, out=self.spare)
+        p = a_ll @ p @ a_ll.T + self.q[2:, 2:] - k @ spread @ k.T
+        self.p = (p + p.T) / 2
+
+
+def particle_filter(motion: np.ndarray, cnb: np.ndarray, z: np.ndarray, surface: Interpolant, m: Model, particles: int = 1000, threshold: float = 0.8, seed: int = 2) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(states, covariances, converged) of a Rao-Blackwellized filter. It ends early, not converged, when all weights vanish."""
+    f = Particles(m, motion[0, 0], particles, threshold, seed)
+    out = list(_particle_rows(f, motion, transition(motion, cnb, m), z, surface))
+    return np.array([x for x, _ in out]).reshape(-1, m.size), np.array([p for _, p in out]).reshape(-1, m.size, m.size), f.done
+
+
+def _particle_rows(f: Particles, motion: np.ndarray, phi: np.ndarray, z: np.ndarray, surface: Interpolant, full: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for i in range(len(z) if f.done else 0):
+        found = f.update(z[i], motion[i, 0], motion[i, 1], surface, full)
+        if found is None:
+            return
+        yield found
+        f.move(phi[i])
 
 
 def online_setup(design: np.ndarray, z: np.ndarray, fit: Callable[[np.ndarray, np.ndarray], np.ndarray], windows: int = 100) -> tuple[np.ndarray, np.ndarray]:
@@ -371,35 +491,113 @@ def run_filter(df: DataFrame, order: Order, surface: Interpolant, m: Model, kind
     ``extra`` are; ``m.extra`` has a deviation for each weight), noise (variance
     times 1 + ``noise_factor``), particle, crlb.
     """
-    shared = df.sparkSession.sparkContext.broadcast(surface)  # one map level of bounded size
-    keys = [f"{n} {t}" for n, t in df.select(*order.by).dtypes]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order.along), kind="stable")
-        motion, cnb = pdf[list(MOTION)].to_numpy(float), np.stack(pdf["cnb"].to_numpy()).reshape(-1, 3, 3).astype(float)
-        values, done = pdf[z].to_numpy(float), True
-        if kind == "crlb":
-            ps = lower_bound(motion, cnb, shared.value, m)
-            xs, rs = np.zeros(ps.shape[:2]), np.zeros(len(ps))
-        elif kind == "particle":
-            xs, ps, done = particle_filter(motion, cnb, values, shared.value, m, particles, seed=seed)
-            rs = np.full(len(xs), np.nan)
-        else:
-            h = pdf[list(extra)].to_numpy(float) if kind in ("online", "network") else None
-            factor = pdf[noise_factor].to_numpy(float) if kind == "noise" else None
-            xs, ps, rs = ekf(motion, cnb, values, shared.value, m, h, start, factor, network=network if kind == "network" else None)
-        flat = ps.reshape(len(ps), -1) if full else np.diagonal(ps, axis1=1, axis2=2)
-        out = pd.DataFrame({"tt": pdf[tt].to_numpy(float)[: len(xs)], "x": list(xs), "p": list(flat), "residual": rs, "converged": done})
-        for c in reversed(order.by):
-            out.insert(0, c, pdf[c].iloc[0])
-        return out
-
     if kind not in ("ekf", "online", "network", "noise", "particle", "crlb"):
         raise ValueError(f"unknown filter {kind}")
     start = network.weights if kind == "network" and not len(x0) else np.asarray(x0, float) if kind in ("online", "network") else None
     if start is not None and len(start) != len(m.extra):
         raise ValueError(f"{len(start)} coefficients but {len(m.extra)} deviations")
-    return df.groupBy(*order.by).applyInPandas(run, ", ".join([*keys, FILTER_SCHEMA]))
+    shared = df.sparkSession.sparkContext.broadcast(surface)  # one map level of bounded size
+    by, keys = list(order.by), [f"`{n}` {t}" for n, t in df.select(*order.by).dtypes]
+    inputs = list(extra) if kind in ("online", "network") else []
+    factor = [noise_factor] if kind == "noise" else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = _particle_step(shared.value, m, particles, seed, full) if kind == "particle" else _state_step(kind, shared.value, m, start, network, full)
+        last, left = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            number = lambda c: b.column(c).to_numpy(zero_copy_only=False).astype(float)  # noqa: B023, E731
+            several = lambda names: np.stack([number(c) for c in names], 1) if names else None  # noqa: B023, E731
+            runs, first, end = sequence.runs(b, by)
+            cnb = b.column("_cnb").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 3, 3)
+            samples = Samples(np.diff(runs), several([f"_{c}" for c in MOTION]), cnb, number("_z"), several([f"_e{i}" for i in range(len(inputs))]), number("_factor") if factor else None, b.select([*by, "_tt"]))
+            out, left = step(samples, left if first == last else None, left)
+            last = end
+            yield from out
+        yield from step(None, None, left)[0]
+
+    columns = {f"_{c}": F.col(c) for c in MOTION} | {"_cnb": F.col("cnb"), "_z": F.col(z), "_tt": F.col(tt).cast("double")} | {f"_e{i}": F.col(c) for i, c in enumerate(inputs)} | {"_factor": F.col(c) for c in factor}
+    along = {f"_o{i}": F.col(c) for i, c in enumerate(order.along)}
+    rows = df.select(*by, *[c.cast("array<double>" if n == "_cnb" else "double").alias(n) for n, c in columns.items()], *[c.alias(n) for n, c in along.items()])
+    rows = rows.repartition(*by) if by else rows.coalesce(1)
+    return rows.sortWithinPartitions(*by, *[F.asc_nulls_last(c) for c in along]).mapInArrow(run, ", ".join([*keys, FILTER_SCHEMA]))
+
+
+@dataclass
+class Samples:
+    """Samples of a batch, line after line, as many as ``sizes`` says; ``names`` has their keys and times."""
+
+    sizes: np.ndarray
+    motion: np.ndarray
+    cnb: np.ndarray
+    z: np.ndarray
+    extra: np.ndarray | None
+    factor: np.ndarray | None
+    names: pa.RecordBatch
+
+
+def _lists(a: np.ndarray) -> pa.Array:
+    """A row's numbers as a list; null for nan."""
+    flat = a.reshape(len(a), -1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel(), pa.float64(), from_pandas=True))
+
+
+def _outputs(names: pa.RecordBatch, xs: np.ndarray, ps: np.ndarray, rs: np.ndarray, done: np.ndarray) -> pa.RecordBatch:
+    tt = pa.array(names.column(names.num_columns - 1).to_numpy(zero_copy_only=False), pa.float64(), from_pandas=True)
+    arrays = [*names.columns[:-1], tt, _lists(xs), _lists(ps), pa.array(rs, pa.float64(), from_pandas=True), pa.array(done)]
+    return pa.RecordBatch.from_arrays(arrays, names=[*names.schema.names[:-1], "tt", "x", "p", "residual", "converged"])
+
+
+#: Rows of covariances that are made and sent at a time.
+ROWS = 2048
+
+
+def _state_step(kind: str, surface: Interpolant, m: Model, x0: np.ndarray | None, network: LearntNetwork | None, full: bool) -> Callable:
+    """Outputs of a batch and the state of its last line, which may go on, given that of the line that goes on."""
+
+    def step(b: Samples | None, left: State | None, _: State | None) -> tuple[Iterator[pa.RecordBatch], State | None]:
+        if b is None:
+            return iter(()), None
+        starts = np.cumsum(b.sizes) - b.sizes
+        s = State.new(m, b.motion[starts, 0], x0)
+        if left is not None:
+            s.put(slice(0, 1), left)
+        if kind == "crlb":
+            ps = bound_lines(s, b.sizes, b.motion, b.cnb, surface, m, full)
+            xs, rs = np.zeros((len(ps), m.size)), np.zeros(len(ps))
+        else:
+            xs, ps, rs = filter_lines(s, b.sizes, b.motion, b.cnb, b.z, surface, m, b.extra, b.factor, network if kind == "network" else None, full=full)
+        parts = [slice(i, i + ROWS) for i in range(0, len(rs), ROWS)]
+        return (_outputs(b.names.slice(p.start, ROWS), xs[p], ps[p], rs[p], np.ones(len(rs[p]), bool)) for p in parts), s.rows(slice(-1, None))
+
+    return step
+
+
+def _particle_step(surface: Interpolant, m: Model, particles: int, seed: int, full: bool) -> Callable:
+    """As ``_state_step``. Whether a line converges is known at its end, so its outputs wait for that."""
+
+    def ended(left: tuple | None) -> Iterator[pa.RecordBatch]:
+        for names, xs, ps in left[1] if left else ():
+            if len(xs):
+                yield _outputs(names, xs, ps, np.full(len(xs), np.nan), np.full(len(xs), left[0].done))
+
+    def step(b: Samples | None, left: tuple | None, old: tuple | None) -> tuple[Iterator[pa.RecordBatch], tuple | None]:
+        if b is None:
+            return ended(old), None
+        out, at, phi = [] if left else list(ended(old)), 0, transition(b.motion, b.cnb, m)
+        for i, n in enumerate(b.sizes.tolist()):
+            if i:
+                out += ended(left)
+            if i or left is None:
+                left = (Particles(m, b.motion[at, 0], particles, seed=seed), [])
+            part = slice(at, at + n)
+            found = list(_particle_rows(left[0], b.motion[part], phi[part], b.z[part], surface, full))
+            left[1].append((b.names.slice(at, len(found)), np.array([x for x, _ in found]), np.array([p for _, p in found])))
+            at += n
+        return iter(out), left
+
+    return step
 
 
 STATES = ("lat", "lon", "alt", "vn", "ve", "vd", "tn", "te", "td", "ha", "ah", "ax", "ay", "az", "gx", "gy", "gz")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -242,6 +243,16 @@ def expanded_axis(start: float, stop: float, step: float, low: float, high: floa
     return [start + i * step for i in range(-before, n + after + 1)]
 
 
+def runs(b: pa.RecordBatch, by: Sequence[str]) -> tuple[np.ndarray, str, str]:
+    """Where each run of equal keys begins in a batch, and its end; and the first and the last key, to be compared with those of other batches."""
+    new = np.zeros(b.num_rows, bool)
+    for c in by:
+        code = b.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= code[1:] != code[:-1]
+    key = lambda i: repr([b.column(c)[i].as_py() for c in by])
+    return np.concatenate([[0], np.flatnonzero(new), [b.num_rows]]), key(0), key(b.num_rows - 1)
+
+
 def batches_sorted(order: Order, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in it:
         yield pdf.sort_values(list(order.along), kind="stable")

@@ -84,14 +84,14 @@ def ekf_online_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = nav.replace(MODEL, extra=(1.0, 1.0))
     rows = measured(path(spark, sf_dir)).withColumn("a1", F.sin("tt")).withColumn("a2", F.cos(F.col("tt") / 3))
     rows = rows.withColumn("z", F.col("z") + 3 * F.col("a1") - 2 * F.col("a2"))
-    out = nav.run_filter(rows, PATH, surface(), m, "online", extra=("a1", "a2"), x0=(0.0, 0.0))
+    out = nav.run_filter(rows, PATH, surface(), m, "online", extra=("a1", "a2"), x0=(0.0, 0.0), full=False)
     return out.select("line", "tt", F.element_at("x", 18).alias("c1"), F.element_at("x", 19).alias("c2"), "residual")
 
 
 @query()
 def ekf_scaled_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = measured(path(spark, sf_dir)).withColumn("r_nn", F.abs("noise"))
-    return nav.run_filter(rows, PATH, surface(), MODEL, "noise", noise_factor="r_nn").select("line", "tt", F.element_at("x", 1).alias("d_lat"), "residual")
+    return nav.run_filter(rows, PATH, surface(), MODEL, "noise", noise_factor="r_nn", full=False).select("line", "tt", F.element_at("x", 1).alias("d_lat"), "residual")
 
 
 _Q = "sqrt(1 - pow(0.0818191908426 * sin(t), 2))"

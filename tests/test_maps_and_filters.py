@@ -290,3 +290,94 @@ def test_utm_of_known_places(spark):
     east, north = geodesy.to_utm(lat, lon, F.lit(18))
     r = spark.range(1).select(east.alias("e"), north.alias("n"), geodesy.utm_zone(lon).alias("z"), geodesy.utm_zone(F.radians(F.lit(180.0))).alias("last")).first()
     assert abs(r.e - 500_000) < 1e-6 and abs(r.n - 0.9996 * 4_984_944.378) < 2e-3 and (r.z, r.last) == (18, 1)
+
+
+def by_hand(motion, cnb, z, s, m, extra=None, factor=None):
+    """The Kalman filter of one line, sample by sample, as it is written in books."""
+    phi, q = nav.transition(motion, cnb, m), nav.process_noise(m)
+    x, p, xs, ps, last = np.zeros(m.size), nav.initial_covariance(m, motion[0, 0]), [], [], []
+    for i in range(len(z)):
+        value, slopes = s.value_and_slopes(motion[i, 0] + x[0], motion[i, 1] + x[1])
+        h = np.zeros(m.size)
+        h[:2], h[-1] = slopes, 1
+        if extra is not None:
+            h[17 : 17 + extra.shape[1]] = extra[i]
+        residual = z[i] - value - x[-1] - (0 if extra is None else extra[i] @ x[17 : 17 + extra.shape[1]])
+        spread = h @ p @ h
+        noise = m.noise
+        if m.noise_limits:
+            noise = np.mean(m.noise_limits) if len(last) < 10 else np.clip(np.mean(np.square(last[-10:])) - spread, *m.noise_limits)
+        gain = p @ h / (spread + noise * (1 if factor is None else 1 + factor[i]))
+        x, p = x + gain * residual, p - np.outer(gain, h @ p)
+        xs.append(x)
+        ps.append(np.diag(p))
+        last.append(residual)
+        x, p = phi[i] @ x, phi[i] @ p @ phi[i].T + q
+    return np.array(xs), np.array(ps)
+
+
+def lines_of(sizes):
+    """Lines of different lengths over the same map, one behind the other."""
+    parts = [track(n) for n in sizes]
+    s, m = parts[0][:2]
+    motion, cnb = np.concatenate([t[3] for t in parts]), np.concatenate([t[4] for t in parts])
+    motion[:, 0] += np.repeat(np.arange(len(sizes)) * 1e-6, sizes)
+    return s, m, motion, cnb, np.concatenate([t[5] for t in parts])
+
+
+@pytest.mark.parametrize("kind", ["plain", "adaptive", "online", "noise"])
+def test_lines_step_together(kind):
+    sizes = np.array([7, 30, 1, 18])
+    s, m, motion, cnb, z = lines_of(sizes)
+    m = {"adaptive": nav.replace(m, noise_limits=(0.5, 50.0)), "online": nav.replace(m, extra=(5.0, 5.0))}.get(kind, m)
+    design = np.column_stack([np.sin(np.arange(len(z))), np.cos(np.arange(len(z)) / 3)]) if kind == "online" else None
+    factor = np.arange(len(z)) % 4 / 2 if kind == "noise" else None
+    cut = lambda a, part: None if a is None else a[part]
+    begins = np.cumsum(sizes) - sizes
+    state = nav.State.new(m, motion[begins, 0])
+    xs, ps, _ = nav.filter_lines(state, sizes, motion, cnb, z, s, m, design, factor, full=False)
+    for at, n in zip(begins, sizes, strict=True):
+        part = slice(at, at + n)
+        x, p = by_hand(motion[part], cnb[part], z[part], s, m, cut(design, part), cut(factor, part))
+        assert np.allclose(xs[part], x, rtol=1e-6, atol=1e-13) and np.allclose(ps[part], p, rtol=1e-6, atol=1e-20)
+    # a line that is cut goes on from the state that was left
+    first = nav.State.new(m, motion[7:8, 0])
+    halves = [nav.filter_lines(first, np.array([15]), motion[c], cnb[c], z[c], s, m, cut(design, c), cut(factor, c))[0] for c in (slice(7, 22), slice(22, 37))]
+    assert np.allclose(np.concatenate(halves), xs[7:37], rtol=1e-9, atol=1e-14) and first.seen[0] == 30
+
+
+def test_lines_run_on_over_batches(spark):
+    """Partitions stream through in batches smaller than their lines, and no batch is a line."""
+    sizes = np.array([25, 3, 40])
+    s, m, motion, cnb, z = lines_of(sizes)
+    line, tt = np.repeat(np.arange(3), sizes), np.concatenate([np.arange(n) for n in sizes])
+    rows = [(int(k), float(t), *map(float, v), [float(c) for c in np.eye(3).ravel()], float(y)) for k, t, v, y in zip(line, tt, motion, z, strict=True)]
+    df = spark.createDataFrame(rows[::-1], "line long, tt double, " + ", ".join(f"{c} double" for c in nav.MOTION) + ", cnb array<double>, z double").coalesce(1)
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    order, found = Order(("line",), ("tt",)), {}
+    try:
+        for kind in ("ekf", "crlb", "particle"):
+            for size in (8, 10_000):
+                spark.conf.set(key, size)
+                plan = nav.run_filter(df, order, s, m, kind, particles=50, full=False)
+                assert "FlatMapGroups" not in plan._jdf.queryExecution().toString()
+                found[kind, size] = sorted((r.line, r.tt, *r.x, *r.p, r.residual or 0, r.converged) for r in plan.collect())
+            assert len(found[kind, 8]) == len(z) and np.allclose(found[kind, 8], found[kind, 10_000], rtol=1e-9, atol=1e-18)
+    finally:
+        spark.conf.set(key, before)
+    bound = nav.lower_bound(motion[:25], cnb[:25], s, m)
+    assert np.allclose([r[20:38] for r in found["crlb", 8][:25]], np.diagonal(bound, axis1=1, axis2=2), rtol=1e-9)
+    xs, ps, _ = nav.particle_filter(motion[28:], cnb[28:], z[28:], s, m, 50)
+    assert np.allclose([r[2:20] for r in found["particle", 8][28:]], xs, rtol=1e-9, atol=1e-15) and np.allclose([r[20:38] for r in found["particle", 8][28:]], np.diagonal(ps, axis1=1, axis2=2), rtol=1e-9)
+
+
+def test_surfaces_agree_in_few_and_many_cells():
+    from fluxlane.plans.navigation import LAT0, LON0, surface
+
+    s, rng = surface(), np.random.default_rng(6)
+    for spread in (1e-7, 3e-6, 2e-5, 5e-3):  # one cell, a few, many, and beyond the edges
+        lat, lon = LAT0 + spread * rng.normal(size=300), LON0 + spread * rng.normal(size=300)
+        one = [s.value_and_slopes(a, b) for a, b in zip(lat, lon, strict=True)]
+        values, slopes = s.values_and_slopes(lat, lon)
+        assert np.allclose(s(lat, lon), [v for v, _ in one], rtol=1e-10, atol=1e-9) and np.allclose(values, [v for v, _ in one], rtol=1e-10, atol=1e-9)
+        assert np.allclose(slopes, [g for _, g in one], rtol=1e-9, atol=1e-3)
