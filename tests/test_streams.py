@@ -71,3 +71,40 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         tables.scratch(Cluster())
+
+
+def test_neighbouring_lines_share_a_state():
+    """Lines of a call step together, go on in the next, rest in between, and equal lines that have a stream each."""
+    import numpy as np
+
+    from fluxlane.plans import navigation
+
+    held = {}
+
+    class State:
+        exists = hasTimedOut = False
+
+        def update(self, v):
+            self.exists, self.get = True, v
+
+    class Samples:
+        def withColumn(self, *_):
+            return self
+
+        groupBy = withColumn
+
+        def applyInPandasWithState(self, run, *_args):
+            held["run"] = run
+
+    realtime.filtered(Samples(), navigation.surface(), navigation.MODEL)
+    motion = (navigation.LAT0, navigation.LON0, 300.0, 0.0, 70.0, 0.0, 0.0, 0.0, -9.81)
+    row = lambda line, tt: dict(zip(realtime.nav.MOTION, motion, strict=True)) | {"line": line, "tt": tt, "z": 3.0 * line + tt, "cnb": [1.0, 0, 0, 0, 1, 0, 0, 0, 1]}
+    calls = [[(5, 2.0), (3, 1.0), (5, 1.0), (3, 1.0)], [(5, 2.0), (5, 3.5)], [(3, 0.5), (3, 4.0), (9, 1.0), (5, 3.6)]]
+    together = State()
+    got = pd.concat([next(held["run"]((0,), iter([pd.DataFrame([row(*r) for r in c])]), together)) for c in calls])
+    assert sorted(zip(got["line"], got["tt"], strict=True)) == [(3, 1.0), (3, 4.0), (5, 1.0), (5, 2.0), (5, 3.5), (5, 3.6), (9, 1.0)]
+    for line in (3, 5, 9):
+        alone, mine = None, got[got["line"] == line]
+        for t, d_lat, residual in zip(mine["tt"], mine["d_lat"], mine["residual"], strict=True):
+            alone, x, _, r = realtime.nav.step(alone, t, np.array(motion), np.eye(3), 3.0 * line + t, navigation.surface(), navigation.MODEL)
+            assert np.isclose(d_lat, x[0], rtol=1e-9, atol=1e-16) and np.isclose(residual, r)
