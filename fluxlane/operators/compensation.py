@@ -24,7 +24,7 @@ from fluxlane.operators import linear, networks, tolles_lawson
 from fluxlane.operators.attention import Transformer
 from fluxlane.operators.networks import Phase
 from fluxlane.operators.select import Order
-from fluxlane.operators.sequence import trailing, without_mean
+from fluxlane.operators.sequence import trailing
 
 LINEAR = ("TL", "mod_TL", "map_TL", "elasticnet", "plsr")
 #: Head of each network, and whether coefficients are part of it.
@@ -163,8 +163,9 @@ def explained(df: DataFrame, order: Order, p: Params, model: dict) -> DataFrame:
 
 def error(predicted: DataFrame, by: tuple[str, ...]) -> float:
     """Deviation of the errors less their mean on each segment."""
-    err = predicted.select(without_mean(F.col("y_hat") - F.col("_y"), by).alias("e"))
-    return err.agg(F.stddev_samp("e")).first()[0] or 0.0
+    e = F.col("y_hat") - F.col("_y")
+    parts = predicted.groupBy(*by).agg(F.count(e).alias("n"), F.var_pop(e).alias("v"))  # a row a segment; no task holds one whole
+    return parts.agg(F.sqrt(F.try_divide(F.sum(F.col("n") * F.col("v")), F.sum("n") - 1))).first()[0] or 0.0
 
 
 def permutation_importance(df: DataFrame, order: Order, p: Params, model: dict, seed: int = 2) -> list[tuple[str, float]]:

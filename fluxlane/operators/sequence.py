@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -72,8 +73,16 @@ def joined_segments(df: DataFrame, order: Order, segment: str, columns: list[str
     return marked.withColumn("group", F.sum("_break").over(order.until_now())).drop("_jump", "_new", "_mean", "_break")
 
 
-def without_mean(x: Column, by: tuple[str, ...]) -> Column:
-    return x - F.avg(x).over(Window.partitionBy(*by))
+def without_mean(df: DataFrame, x: Column, by: tuple[str, ...], out: str) -> DataFrame:
+    """``out``: ``x`` less its mean in each segment.
+
+    Means are one aggregate that the rows join, so that no task holds a segment
+    whole. Rows with null keys are segments too.
+    """
+    held = df.withColumn(out, x)
+    means = held.groupBy(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]).agg(F.avg(out).alias("_mean"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)], F.lit(True))
+    return held.join(means, same).withColumn(out, F.col(out) - F.col("_mean")).drop("_mean", *[f"_by{i}" for i in range(len(by))])
 
 
 def without_trend(df: DataFrame, order: Order, column: str, out: str) -> DataFrame:
@@ -86,9 +95,9 @@ def without_trend(df: DataFrame, order: Order, column: str, out: str) -> DataFra
     return centred.withColumn(out, F.col("_v") - slope * F.col("_u")).drop("_rn", "_u", "_v")
 
 
-def segment_error(predicted: Column, observed: Column, by: tuple[str, ...]) -> Column:
-    """The prediction's error less its mean in each segment."""
-    return without_mean(predicted - observed, by)
+def segment_error(df: DataFrame, predicted: Column, observed: Column, by: tuple[str, ...], out: str) -> DataFrame:
+    """``out``: the prediction's error less its mean in each segment."""
+    return without_mean(df, predicted - observed, by, out)
 
 
 def autocorrelation(df: DataFrame, order: Order, column: str, lags: int) -> DataFrame:

@@ -21,7 +21,7 @@ _TYPES_SQL = "(SELECT *, CASE line % 3 WHEN 0 THEN 'Turn LEFT' WHEN 1 THEN 'flap
 SELECT line, count(*) AS n, round(sqrt(avg(d * d)), 6) + 0.0 AS rms FROM c GROUP BY line""")
 def flagship_signal_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = signal(spark, sf_dir).select("line", sequence.difference(F.col("value"), SIGNAL).alias("d"))
-    c = d.select("line", sequence.without_mean(F.col("d"), ("line",)).alias("d"))
+    c = sequence.without_mean(d, F.col("d"), ("line",), "d")
     return rounded(c.groupBy("line").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rms")))
 
 
@@ -142,7 +142,7 @@ def cumulative_weight_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SIGNAL_SQL} SELECT event_id, round(value - avg(value) OVER (PARTITION BY line) + 3e-9, 6) + 0.0 AS d FROM sig")
 def detrend_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(signal(spark, sf_dir).select("event_id", (sequence.without_mean(F.col("value"), ("line",)) + 3e-9).alias("d")))  # off the ties of rounding
+    return rounded(sequence.without_mean(signal(spark, sf_dir), F.col("value"), ("line",), "d").select("event_id", (F.col("d") + 3e-9).alias("d")))  # off the ties of rounding
 
 
 @query(f"""WITH {ROWS_SQL}, f AS (SELECT line, coalesce(CASE WHEN var_pop(rn) > 0 THEN covar_pop(value, rn) / var_pop(rn) END, 0) AS b, avg(value) AS my, avg(rn) AS mx FROM w GROUP BY line)

@@ -68,8 +68,7 @@ def denorm_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH e AS (SELECT l_returnflag, l_extendedprice - 1500 * l_quantity AS e FROM lineitem), c AS (SELECT l_returnflag, e - avg(e) OVER (PARTITION BY l_returnflag) AS err FROM e)
 SELECT l_returnflag, count(*) AS n, round(sqrt(avg(err * err)), 3) AS rms, round(max(err), 3) AS most FROM c GROUP BY 1""")
 def err_segs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    err = sequence.segment_error(F.col("l_extendedprice"), 1500 * F.col("l_quantity"), ("l_returnflag",))
-    rows = _lines(spark, sf_dir).select("l_returnflag", err.alias("err"))
+    rows = sequence.segment_error(_lines(spark, sf_dir), F.col("l_extendedprice"), 1500 * F.col("l_quantity"), ("l_returnflag",), "err")
     return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(F.col("err") ** 2)), 3).alias("rms"), F.round(F.max("err"), 3).alias("most"))
 
 

@@ -142,3 +142,17 @@ def test_windows_for_training(spark):
     contiguous = column(select.train_parts(df, ORDER, 0.5, 3, "contiguous"), "part")
     assert contiguous == ["train", None, None, "validation", None, None, "validation", None, None, None]
     assert set(column(select.train_parts(df, ORDER, 0.5, 3, "none"), "part")) <= {"train", "validation"}
+
+
+def test_segment_errors_hold_no_segment_whole(spark):
+    rows = [("a", 5.0, 1.0), ("a", 9.0, 3.0), ("a", None, 3.0), (None, 7.0, 4.0), (None, 4.0, 3.0), ("b", 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "seg string, y_hat double, y double")
+    out = sequence.segment_error(df, F.col("y_hat"), F.col("y"), ("seg",), "err")
+    assert out.columns == ["seg", "y_hat", "y", "err"] and "Window" not in out._jdf.queryExecution().toString()
+    assert sorted((r.seg or "", r.y_hat or 0, r.err) for r in out.collect() if r.y_hat is not None) == [("", 4, -1), ("", 7, 1), ("a", 5, -1), ("a", 9, 1), ("b", 2, 0)]
+    assert out.filter("y_hat is null").first().err is None and out.count() == 6
+    assert sorted(r.d for r in sequence.without_mean(df, F.col("y"), (), "d").collect()) == [1 - 16 / 6, 2 - 16 / 6, 3 - 16 / 6, 3 - 16 / 6, 3 - 16 / 6, 4 - 16 / 6]
+    from fluxlane.operators import compensation
+
+    found = compensation.error(df.withColumnRenamed("y", "_y"), ("seg",))
+    assert np.isclose(found, np.std([-1, 1, 1, -1, 0], ddof=1)) and compensation.error(df.withColumnRenamed("y", "_y").filter("seg = 'b'"), ("seg",)) == 0

@@ -73,7 +73,7 @@ def test_no_local_folder_on_a_cluster():
         tables.scratch(Cluster())
 
 
-def test_neighbouring_lines_share_a_state():
+def test_neighbouring_lines_share_a_state(spark):
     """Lines of a call step together, go on in the next, rest in between, and equal lines that have a stream each."""
     import numpy as np
 
