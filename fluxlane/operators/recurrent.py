@@ -101,11 +101,6 @@ class Recurrent:
         return total
 
 
-def _runs(keys: list[tuple]) -> np.ndarray:
-    """Where each run of equal keys begins, and the end."""
-    return np.array([0, *(n for n in range(1, len(keys)) if keys[n] != keys[n - 1]), len(keys)])
-
-
 def _streamed(df: DataFrame, order: Order, features: Sequence[str], out: str, step: Callable) -> DataFrame:
     """``df`` with what ``step`` gives for the rows of a batch: of their features, where lines begin, and what the batch before left of the first one (None at a line's start)."""
     by, kinds = list(order.by), [f"`{c}` {t}" for c, t in df.dtypes]
@@ -115,10 +110,10 @@ def _streamed(df: DataFrame, order: Order, features: Sequence[str], out: str, st
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = list(zip(*(b.column(c).to_pylist() for c in by), strict=True)) if by else [()] * b.num_rows
+            runs, first, end = sequence.runs(b, by)
             x = np.stack([b.column(f"_x{n}").to_numpy(zero_copy_only=False).astype(float) for n in range(len(features))], 1)
-            y, left = step(x, _runs(keys), left if keys[0] == last else None)
-            last = keys[-1]
+            y, left = step(x, runs, left if first == last else None)
+            last = end
             yield b.select(names).append_column(out, pa.array(y, pa.float64(), from_pandas=True))
 
     names = df.columns
@@ -251,8 +246,16 @@ def noise_loss(net: Recurrent, w: Windows, surface: Interpolant, m: Model, slope
 
 def _windows(b: pa.RecordBatch, columns: dict[str, Sequence[str]], m: Model) -> Windows:
     """The windows of a batch whose rows hold arrays of a window's samples."""
-    several = lambda names: np.stack([np.array(b.column(c).to_pylist(), float) for c in names], -1).swapaxes(0, 1)
-    motion, cnb = several(MOTION), np.array(b.column("cnb").to_pylist(), float).swapaxes(0, 1)
+    def numbers(c: str) -> np.ndarray:
+        """A column's numbers, a row a window, samples in order."""
+        values = b.column(c)
+        while pa.types.is_list(values.type):
+            values = values.flatten()
+        return values.to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+
+    several = lambda names: np.stack([numbers(c) for c in names], -1).swapaxes(0, 1)
+    motion = several(MOTION)
+    cnb = numbers("cnb").reshape(b.num_rows, -1, 9).swapaxes(0, 1)
     steps, n = motion.shape[:2]
     phi = navigation.transition(motion.reshape(-1, len(MOTION)), cnb.reshape(-1, 3, 3), m).reshape(steps, n, m.size, m.size)
     p0 = np.stack([navigation.initial_covariance(m, lat) for lat in motion[0, :, 0]])

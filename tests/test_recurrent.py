@@ -200,3 +200,17 @@ def test_hidden_network_is_relinearised_each_sample():
         d = np.zeros(len(w))
         d[n] = 1e-6
         assert np.isclose(slopes[n], (net.at(x, w + d)[0] - net.at(x, w - d)[0]) / 2e-6, atol=1e-6)
+
+
+def test_windows_of_a_batch_are_read_as_arrays():
+    import pyarrow as pa
+
+    rng, n, steps = np.random.default_rng(8), 3, 4
+    columns = {c: rng.normal(size=(n, steps)) * 0.01 + 0.7 for c in [*nav.MOTION, "z", "true_lat", "true_lon", "f1"]}
+    arrays = {c: pa.array(v.tolist()) for c, v in columns.items()} | {"cnb": pa.array(rng.normal(size=(n, steps, 9)).tolist())}
+    b = pa.record_batch(arrays).slice(1, 2)
+    w = recurrent._windows(b, {"z": ["z"], "truth": ["true_lat", "true_lon"], "x": ["f1"]}, nav.Model())
+    assert np.array_equal(w.z, columns["z"][1:].T) and np.array_equal(w.truth[2, 1], [columns["true_lat"][2, 2], columns["true_lon"][2, 2]])
+    motion = np.stack([columns[c][2] for c in nav.MOTION], 1)
+    cnb = np.array(arrays["cnb"].to_pylist())[2].reshape(-1, 3, 3)
+    assert np.allclose(w.phi[:, 1], nav.transition(motion, cnb, nav.Model()), rtol=1e-12, atol=1e-15)
