@@ -99,9 +99,11 @@ def phases(p: Params) -> tuple[Phase, ...]:
     return (Phase(),)
 
 
-def train(df: DataFrame, order: Order, p: Params) -> dict:
-    """A fitted model: what predict() needs, in numpy."""
+def train(df: DataFrame, order: Order, p: Params, kept: dict | None = None) -> dict:
+    """A fitted model: what predict() needs, in numpy. Models that are trained one after the other on one ``df`` may share ``kept`` (``networks.fit``)."""
     wide, a = _prepared(df, order, p), _columns(p)
+    if kept is not None and kept.setdefault("of", of := (p.features, p.vector, p.y, p.terms, p.window)) != of:
+        raise ValueError("models that share rows must be of the same columns")
     if p.kind in ("TL", "mod_TL", "map_TL"):
         return {"coef": linear.ridge(wide, a, p.y, p.ridge), "bias": 0.0, "on": a}
     if p.kind in ("elasticnet", "plsr"):
@@ -113,14 +115,19 @@ def train(df: DataFrame, order: Order, p: Params) -> dict:
             coef = linear.partial_least_squares(m, min(p.components, len(names)))[-1]
             bias = (m.sum_y - m.sum_x @ coef) / m.n
         return {"coef": coef, "bias": float(bias), "on": names}
-    start = None if p.kind in ("m1", "m2a") else linear.ridge(wide, a, p.y, p.ridge)
+    start = None
+    if p.kind not in ("m1", "m2a"):
+        key = ("ridge", tuple(a), p.vector, p.y, p.ridge)
+        start = kept[key] if kept and key in kept else linear.ridge(wide, a, p.y, p.ridge)
+        if kept is not None:
+            kept[key] = start
     if p.kind in NETWORKS:
-        return {"start": np.zeros(len(a)), "fitted": networks.fit(wide, _inputs(p), p.y, p.network, _given(p), NETWORKS[p.kind][0], start, phases(p))}
+        return {"start": np.zeros(len(a)), "fitted": networks.fit(wide, _inputs(p), p.y, p.network, _given(p), NETWORKS[p.kind][0], start, phases(p), kept=kept)}
     # what is trained is a change of the ridge fit, on what that leaves
     left = F.col(p.y) - linear.predict([F.col(c) for c in a], start)
     kind = "dot" if p.kind in ("m3v", "m3vc") else "plain"
     create = partial(Transformer.create, window=p.window, heads=p.heads) if p.kind == "m3tf" else networks.Network.create
-    return {"start": start, "fitted": networks.fit(wide, _inputs(p), left, p.network, _given(p), kind, np.zeros(len(a)), phases(p), create)}
+    return {"start": start, "fitted": networks.fit(wide, _inputs(p), left, p.network, _given(p), kind, np.zeros(len(a)), phases(p), create, kept)}
 
 
 def _applied(df: DataFrame, order: Order, p: Params, model: dict, parts: bool) -> DataFrame:

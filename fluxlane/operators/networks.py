@@ -349,12 +349,14 @@ class Fitted:
         return self.head.value(self.net((x - self.x_bias) / self.x_scale), a) * self.y_scale + self.y_bias
 
 
-def fit(df: DataFrame, names: Sequence[str], y: str | Column, s: Setup, a: Sequence[str] = (), kind: str = "plain", coef: np.ndarray | None = None, phases: Sequence[Phase] = (Phase(),), create: Callable[..., Network] = Network.create) -> Fitted:
+def fit(df: DataFrame, names: Sequence[str], y: str | Column, s: Setup, a: Sequence[str] = (), kind: str = "plain", coef: np.ndarray | None = None, phases: Sequence[Phase] = (Phase(),), create: Callable[..., Network] = Network.create, kept: dict | None = None) -> Fitted:
     """A network of the columns ``names``, made by ``create``, fitted to ``y`` on all rows.
 
     ``a``, ``kind`` and ``coef`` (the coefficients to start from, in y's units)
     make its head. A column of one value only is divided by 1. About
-    ``train_share`` of the rows, by a hash, is trained on.
+    ``train_share`` of the rows, by a hash, is trained on. Several fits on one
+    ``df`` may share a dictionary ``kept``: a fit that reads the very columns of the
+    one before then takes its rows from there, and they aren't sent or stored again.
     """
     target = (F.col(y) if isinstance(y, str) else y).cast("double")
     columns = [*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(names)], target.alias("_y")]
@@ -372,14 +374,29 @@ def fit(df: DataFrame, names: Sequence[str], y: str | Column, s: Setup, a: Seque
     rows = raw.withColumn("_step", step).withColumns(scaled)
     head = Head(kind, np.zeros(0) if coef is None else np.asarray(coef, float) / scale[-1])
     net = create(len(names), 1 if kind == "plain" else len(a) - (0 if coef is None or len(coef) == len(a) else len(coef)), s, np.random.default_rng(s.seed))
-    held = Held(rows) if row[0] <= s.bound else Stored(rows)
+    what = (tuple(names), str(target), tuple(a), s.seed, steps, s.train_share, row[0] <= s.bound)
+    if kept and "rows" in kept and kept["what"] == what:
+        held, bias, scale = kept["rows"], *kept["norms"]
+        head.coef = head.coef if coef is None else np.asarray(coef, float) / scale[-1]
+    else:
+        release(kept)
+        held = Held(rows) if row[0] <= s.bound else Stored(rows)
+        if kept is not None:
+            kept |= {"rows": held, "what": what, "norms": (bias, scale)}
     try:
         {"adam": train, "lbfgs": train_by_curve}[s.optimizer](held, net, head, s, phases)
     finally:
-        held.close()
+        if kept is None:
+            held.close()
     return Fitted(net, bias[:-1], scale[:-1], float(bias[-1]), float(scale[-1]), head)
 
 
+def release(kept: dict | None) -> None:
+    """Lets go of the rows that fits have shared."""
+    if kept and "rows" in kept:
+        kept.pop("rows").close()
+
+
 def fit_columns(df: DataFrame, names: Sequence[str], y: str, s: Setup) -> Fitted:
     return fit(df, names, y, s)
 

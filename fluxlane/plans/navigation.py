@@ -187,11 +187,17 @@ def compensation_train_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fluxlane.operators import compensation
 
     rows = vector(spark, sf_dir).withColumns({"scalar": F.lit(52000.0) + 10 * F.col("f1"), "map": F.lit(52000.0) + 10 * F.col("f2")})
-    out = []
-    for kind in ("TL", "mod_TL", "map_TL", "elasticnet", "plsr", "m1", "m2a", "m2b", "m2c", "m2d", "m3tl", "m3s", "m3v", "m3sc", "m3vc", "m3w", "m3tf"):
-        setup = compensation.Params(kind, features=("f1", "f2", "f3"), vector=("bx", "by", "bz"), y="mag", total={"mod_TL": "scalar", "map_TL": "map"}.get(kind), network=networks.Setup(hidden=(6,), epochs=15))
-        model = compensation.train(rows.filter("line < 7"), VECTOR, setup)
-        out += [(kind, part, float(compensation.error(compensation.predict(part_rows, VECTOR, setup, model), ("line",)))) for part, part_rows in (("train", rows.filter("line < 7")), ("test", rows.filter("line >= 7")))]
+    kinds, out, kept = ("TL", "mod_TL", "map_TL", "elasticnet", "plsr", "m1", "m2a", "m2b", "m2c", "m2d", "m3tl", "m3s", "m3v", "m3sc", "m3vc", "m3w", "m3tf"), [], {}
+    fitted = rows.filter("line < 7")
+    try:
+        # those that read the same columns one after the other, so that each table is sent once
+        for kind in sorted(kinds, key=lambda k: (k in ("m3v", "m3vc"), k in compensation.WINDOWED)):
+            setup = compensation.Params(kind, features=("f1", "f2", "f3"), vector=("bx", "by", "bz"), y="mag", total={"mod_TL": "scalar", "map_TL": "map"}.get(kind), network=networks.Setup(hidden=(6,), epochs=15))
+            model = compensation.train(fitted, VECTOR, setup, kept)
+            out += [(kind, part, float(compensation.error(compensation.predict(part_rows, VECTOR, setup, model), ("line",)))) for part, part_rows in (("train", fitted), ("test", rows.filter("line >= 7")))]
+    finally:
+        networks.release(kept)
+    out.sort(key=lambda r: kinds.index(r[0]))
     return spark.createDataFrame(out, "model string, part string, error_std double")
 
 

@@ -245,3 +245,31 @@ def test_compensation_models_fit_and_predict(table, kind):
 def test_unknown_models_are_errors():
     with pytest.raises(ValueError):
         compensation.Params("m9", (), ("a", "b", "c"), "y")
+
+
+def test_models_on_the_same_columns_send_their_rows_once(spark, monkeypatch):
+    from dataclasses import replace
+
+    from fluxlane.operators import compensation, networks
+    from fluxlane.plans.tables import VECTOR, vector
+
+    rows, sent = vector(spark, "/root/testdata/sf0.001"), []
+
+    class Counted(networks.Held):
+        def __init__(self, df):
+            sent.append(df)
+            super().__init__(df)
+
+    monkeypatch.setattr(networks, "Held", Counted)
+    params = lambda kind: compensation.Params(kind, features=("f1", "f2", "f3"), vector=("bx", "by", "bz"), y="mag", network=networks.Setup(hidden=(3,), epochs=2))
+    kinds, kept = ("m2a", "m2c", "m3s", "m3sc"), {}
+    shared = [compensation.train(rows, VECTOR, params(k), kept)["fitted"] for k in kinds]
+    assert len(sent) == 2
+    alone = [compensation.train(rows, VECTOR, params(k))["fitted"] for k in kinds]
+    assert len(sent) == 6
+    for a, b in zip(shared, alone, strict=True):
+        assert all(np.allclose(u, v, rtol=1e-9, atol=1e-12) for u, v in zip(a.net.parameters(), b.net.parameters(), strict=True)) and np.allclose(a.head.coef, b.head.coef, rtol=1e-9, atol=1e-12)
+    with pytest.raises(ValueError):
+        compensation.train(rows, VECTOR, replace(params("m2a"), y="f1"), kept)
+    networks.release(kept)
+    assert "rows" not in kept
